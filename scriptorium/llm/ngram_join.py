@@ -50,7 +50,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, data, offsets in slices(batch.column(1)):
             sets, begin = shingle_sets(*words(data, offsets))
             sizes = np.diff(begin)
-            counts += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(counts, (sets & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             classes = mix(sums(mix(sets, 1), begin) + sizes.astype(np.uint64), 2)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, len(sizes)), pa.array(sizes), signed(classes), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
