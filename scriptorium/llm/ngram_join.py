@@ -14,7 +14,9 @@ makes no crowded signature. Where neither of two sets has more than H non-empty
 such sets (short ones, mostly) also enumerate their first H + 1 single shingles.
 
 Equal sets are one class, found by their hash, and have signatures once. Classes that share a signature are
-compared with the signature's first class, then, if their components differ, with one another; every
+compared with the signature's hub, the class with most common shingles (the middle of a group of copies, if
+there is one), then, if their components differ, with one another. Pairs whose bitmaps, the parities of
+their shingles in 256 bits, differ in more places than the sets may are dropped before that; every other
 candidate's Jaccard similarity is computed from the sets themselves. Shingles and sets are compared by
 64-bit hashes.
 """
@@ -32,6 +34,9 @@ from scriptorium.llm.hashing import Words, mix, shingle_sets, signed, slices, su
 
 #: Counters of the sketch of shingle counts, and the pieces in which it is added up.
 COUNTERS, PIECES = 1 << 18, 16
+#: Longs of a set's bitmap.
+LONGS = 4
+BITS = [f"b{k}" for k in range(LONGS)]
 
 
 def bands(top: int) -> np.ndarray:
@@ -42,9 +47,23 @@ def bands(top: int) -> np.ndarray:
     return np.array(ends)
 
 
+def bitmaps(sets: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """For each set the parities of its shingles in 64 * LONGS bits: two sets differ in no fewer shingles than bits."""
+    place = mix(sets, 10)
+    bit, long = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)) % np.uint64(LONGS)
+    full, out = np.flatnonzero(np.diff(begin)), []
+    for k in range(LONGS):
+        own = np.zeros(len(begin) - 1, np.uint64)
+        if len(full):
+            own[full] = np.bitwise_xor.reduceat(np.where(long == k, bit, np.uint64(0)), begin[:-1][full])
+        out.append(own)
+    return out
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, size, class), and at the end the counts of hashed shingles in pieces."""
+    """Rows (doc_id, size, class, bitmap), and at the end the counts of hashed shingles in pieces."""
     words, counts = Words(), np.zeros(COUNTERS, np.int64)
+    names = ["doc_id", "n", "cls", *BITS, "piece", "counts"]
     for batch in batches:
         ids = batch.column(0)
         for first, data, offsets in slices(batch.column(1)):
@@ -53,14 +72,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counts, (sets & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             classes = mix(sums(mix(sets, 1), begin) + sizes.astype(np.uint64), 2)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(sizes)), pa.array(sizes), signed(classes), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
-                ["doc_id", "n", "cls", "piece", "counts"],
+                [ids.slice(first, len(sizes)), pa.array(sizes), signed(classes), *map(signed, bitmaps(sets, begin)), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names
             )
     if counts.any():
         parts = [x.tobytes() for x in np.split(counts, PIECES)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array(parts)],
-            ["doc_id", "n", "cls", "piece", "counts"],
+            [*[pa.nulls(PIECES, pa.int64())] * (3 + LONGS), pa.array(range(PIECES), pa.int32()), pa.array(parts)], names
         )
 
 
@@ -145,7 +162,8 @@ def _signer(common: np.ndarray):
                 sig, of = signatures(sets, begin, bits)
                 _, first = np.unique(classes, return_index=True)  # a slice's copies sign once
                 keep = np.isin(of, first)
-                yield pa.RecordBatch.from_arrays([signed(sig[keep]), signed(classes[of[keep]])], ["sig", "cls"])
+                common = sums(bits[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int32), begin)
+                yield pa.RecordBatch.from_arrays([signed(sig[keep]), signed(classes[of[keep]]), pa.array(common[of[keep]])], ["sig", "cls", "common"])
 
     return run
 
@@ -198,9 +216,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(docs.mapInArrow(_classes, "doc_id long, n long, cls long, piece int, counts binary"), "classes")
-    sized = rows.filter("piece is null").select("doc_id", "n", "cls")
-    reps = cut(sized.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    rows = cut(docs.mapInArrow(_classes, f"doc_id long, n long, cls long, {' long, '.join(BITS)} long, piece int, counts binary"), "classes")
+    sized = rows.filter("piece is null").select("doc_id", "n", "cls", *BITS)
+    same = [F.min(c).alias(c) for c in ("n", *BITS)]  # one value for a class
+    reps = cut(sized.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), *same), "reps")
     links = linked_reps(docs, reps, common_shingles(rows.filter("piece is not null").select("piece", "counts")))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = reps.join(roots, reps.rep == roots.node, "left").select(F.col("cls").alias("of"), F.coalesce("root", "rep").alias("root"))
@@ -212,37 +231,34 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def linked_reps(docs: DataFrame, reps: DataFrame, common: np.ndarray) -> DataFrame:
     """Links (a, b) between the first documents of classes, enough of them for the components.
 
-    A signature's classes are compared with its first class. Where components still differ within one
-    signature, all its pairs across components are compared.
+    A signature's classes are compared with its hub. Where components still differ within one signature, its
+    pairs across components whose bitmaps allow a link are compared.
     """
-    signed_rows = docs.filter("doc_id is not null").select("text").mapInArrow(_signer(common), "sig long, cls long")
-    by = Window.partitionBy("sig").orderBy("cls")
+    signed_rows = docs.filter("doc_id is not null").select("text").mapInArrow(_signer(common), "sig long, cls long, common int")
+    by = Window.partitionBy("sig").orderBy(F.desc("common"), "cls")
     shared = cut(
-        signed_rows.select("sig", "cls", F.lag("cls").over(by).alias("before"), F.first("cls").over(by).alias("first"))
-        .filter("cls <> first and cls <> before")
-        .select("sig", "cls", "first"),
+        signed_rows.select("sig", "cls", F.lag("cls").over(by).alias("before"), F.first("cls").over(by).alias("hub"))
+        .filter("cls <> hub and cls <> before")
+        .select("sig", "cls", "hub"),
         "shared",
     )
+    may = F.expr(f"9 * ({' + '.join(f'bit_count({b}_x ^ {b}_y)' for b in BITS)}) <= n_x + n_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes as pairs of their first documents."""
-        a = reps.select(F.col("cls").alias("x"), F.col("rep").alias("a"))
-        b = reps.select(F.col("cls").alias("y"), F.col("rep").alias("b"))
-        return cut(pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b"), "pairs")
+    def sketch(side: str) -> DataFrame:
+        return reps.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *BITS)))
 
-    star = named(shared.select(F.col("first").alias("x"), F.col("cls").alias("y")).distinct())
+    star = shared.select(F.col("hub").alias("x"), F.col("cls").alias("y")).distinct().join(sketch("x"), "x").join(sketch("y"), "y").filter(may)
+    star = cut(star.select("x", "y", F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), "star")
     links = cut(link_candidates(docs, star.select("a", "b")), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of = cut(reps.join(roots, reps.rep == roots.node).select("cls", "root"), "roots")
-    root = lambda name: F.coalesce(F.col(name), F.col(name.replace("root_", "")))
-    placed = (
-        shared.join(of.withColumnRenamed("root", "root_cls"), "cls", "left")
-        .join(of.select(F.col("cls").alias("first"), F.col("root").alias("root_first")), "first", "left")
-        .select("sig", "cls", root("root_cls").alias("r"), (F.col("root_first").eqNullSafe(F.col("root_cls")) & F.col("root_cls").isNotNull()).alias("with_first"))
-    )
-    placed = cut(placed, "placed")
-    apart = placed.filter("not with_first").select("sig", F.col("cls").alias("x"), F.col("r").alias("rx"))
-    other = placed.select("sig", F.col("cls").alias("y"), F.col("r").alias("ry"), "with_first")
-    rest = apart.join(other, "sig").filter("rx <> ry and (with_first or x < y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    rest = named(rest.join(star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
-    return links.unionByName(link_candidates(docs, rest.select("a", "b")))
+    place = shared.join(of.withColumnRenamed("root", "root_cls"), "cls", "left").join(of.select(F.col("cls").alias("hub"), F.col("root").alias("root_hub")), "hub", "left")
+    place = cut(place.select("sig", "cls", "root_cls", F.coalesce(F.col("root_cls") == F.col("root_hub"), F.lit(False)).alias("with_hub")), "place")
+    # a signature all of whose classes are with its hub has no more to say; else every class takes part
+    open_sigs = place.filter("not with_hub").select("sig").distinct()
+    apart = place.filter("not with_hub").select("sig", F.col("cls").alias("x"), "root_cls").join(sketch("x"), "x").withColumn("root_x", F.coalesce("root_cls", "rep_x")).drop("root_cls")
+    other = place.join(open_sigs, "sig").select("sig", F.col("cls").alias("y"), "root_cls", "with_hub").join(sketch("y"), "y").withColumn("root_y", F.coalesce("root_cls", "rep_y")).drop("root_cls")
+    rest = apart.join(other, "sig").filter(may & F.expr("root_x <> root_y and (with_hub or x < y)")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return links.unionByName(link_candidates(docs, cut(rest.join(seen, ["a", "b"], "left_anti"), "rest")))
