@@ -11,9 +11,16 @@ from scriptorium.functions.cuts import cut
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count finds at most so many rows; any larger df is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """df with a broadcast hint if a count finds at most so many rows; any larger df is left to a shuffled join.
+
+    items names an array column whose elements count besides the rows.
+    """
+    if df.limit(most + 1).count() > most:
+        return df
+    if items and (df.agg(F.sum(F.size(items)) + F.count("*")).first()[0] or 0) > most:
+        return df
+    return F.broadcast(df)
 
 
 def _least(edges: DataFrame) -> DataFrame:

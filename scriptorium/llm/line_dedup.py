@@ -208,7 +208,7 @@ def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame
     pairs = cut(x.join(y, "word").filter(F.expr(may)).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct(), "near")
     needed = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
     where = cut(earliest.join(needed, "cls").groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "where")
-    sets = cut(docs.join(small(where), "doc_id").select("text", "wanted").mapInArrow(_chosen_lines, "cls long, words binary").dropDuplicates(["cls"]), "words")
+    sets = cut(docs.join(small(where, items="wanted"), "doc_id").select("text", "wanted").mapInArrow(_chosen_lines, "cls long, words binary").dropDuplicates(["cls"]), "words")
     begin = earliest.select("cls", F.struct("doc_id", "line").alias("at"))
     full = (
         pairs.join(sets.select(F.col("cls").alias("x"), F.col("words").alias("wx")), "x")
@@ -230,7 +230,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed_lines", i), x)), lambda x: x.isNotNull())
     return (
-        docs.join(small(gone), docs.doc_id.cast("long") == F.col("gone_id"), "left")
+        docs.join(small(gone, items="gone_lines"), docs.doc_id.cast("long") == F.col("gone_id"), "left")
         .withColumn("removed_lines", F.coalesce("gone_lines", F.expr("cast(array() as array<int>)")))
         .withColumn("n_lines", F.size(lines))
         .withColumn("text", F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
