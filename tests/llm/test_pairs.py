@@ -219,3 +219,23 @@ def test_leaks(spark):
     assert clean == set(range(len(docs))) - {i for i, _ in want}
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), bench).count() == 0
     assert table.filter(F.col("doc_id") < 0).count() == 0
+
+
+def test_crowds_of_similar_lines(spark, monkeypatch):
+    """Shares of hot words, groups over many batches, and classes that meet more candidates than the first."""
+    for name, value in (("FIRST", 1), ("HOT_LOG", 3), ("ROWS", 64)):
+        monkeypatch.setattr(line_dedup, name, value)
+    r = random.Random(5)
+    base = [f"t{i}" for i in range(40)]
+    lines = []
+    for _ in range(220):
+        own = list(base)
+        for _ in range(r.randrange(7)):
+            own[r.randrange(len(own))] = r.choice([f"t{r.randrange(40)}", f"u{r.randrange(60)}"])
+        lines.append(" ".join(own))
+    docs = [(i, "\n".join(lines[2 * i : 2 * i + 2])) for i in range(110)]
+    r.shuffle(docs)
+    got = {x.doc_id: x.removed_lines for x in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS).repartition(4)).collect()}
+    sets = [set(x.split()) for x in lines]
+    gone = [any(100 * len(a & b) >= 80 * len(a | b) for a in sets[:k]) for k, b in enumerate(sets)]
+    assert got == {i: [k for k in (0, 1) if gone[2 * i + k]] for i in range(110)} and 20 < sum(gone) < 218
