@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, language, licenses, line_dedup, main_text, pieces, quality, secrets, topk
+from scriptorium.llm import decontaminate, language, licenses, line_dedup, main_text, oracles, pieces, quality, secrets, topk
 from scriptorium.llm.ngram_join import ngram_components
 
 
@@ -65,4 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN = (op1_ngram_join, op2_topk_search, op3_decontamination, op4_license_scan, op5_quality, op6_sentencepiece, op7_language_id, op8_main_text, op9_line_dedup, op10_secret_scan)
 QUERIES = {x.__name__: x for x in _OWN}
 
-ORACLES: dict[str, str] = {}
+#: The others are beyond SQL: trained models, a tokenizer, edit distances inside texts, HTML.
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op2_topk_search": oracles.TOP_K,
+    "op4_license_scan": oracles.LICENSES,
+    "op9_line_dedup": oracles.LINE_DEDUP,
+}
