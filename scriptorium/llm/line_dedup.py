@@ -3,11 +3,14 @@ Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008).
 
 A line is the set of its words. Words are ordered by rarity: by the logarithm of a count over all lines,
 kept in a sketch of fixed size, then by hash; any common order gives exact results, a good one short lists.
-Lines with equal sets are one class. A class's prefix holds its n - ceil(0.8 n) + 1 rarest words, and as the
-smaller of a pair it needs its n - ceil(8 n / 9) + 1 rarest. Classes that share a prefix word are candidates
-if their sizes (length filter) and the places of the word (positional filter) allow a Jaccard similarity of
-0.8, and if the bitmaps of their words, 64 bits of parity, differ in no more places than the sets may. The
+Lines with equal sets are one class. A class's prefix holds its n - ceil(0.8 n) + 1 rarest words. Classes that share a
+prefix word are candidates if their sizes (length filter) and the places of the word (positional filter) allow a Jaccard
+similarity of 0.8, and if the bitmaps of their words, 128 bits of parity, differ in no more places than the sets may. The
 Jaccard similarity of every candidate is then computed from the lines' words.
+
+A class goes if any earlier one is similar, so not all pairs of a crowd of copies are needed. Each class first meets
+the earliest FIRST candidates of each of its prefix words. Only classes with more candidates, of which none was similar,
+meet the rest.
 """
 
 from collections.abc import Callable, Iterator
@@ -27,6 +30,10 @@ COUNTERS, PIECES = 1 << 20, 16
 WORD_BITS, RANK_BITS = 41, 5
 #: Bytes of a slice: at most half as many lines with words, which LINE_BITS can number.
 BYTES, LINE_BITS = 1 << 18, 18
+#: Candidates of a word that a class meets at first; rows handled together; lines of a word that a task takes at once.
+FIRST, ROWS, HOT_LOG = 8, 1 << 18, 17
+#: Pairs whose bitmaps are compared at a time.
+PAIRS = 1 << 19
 NEWLINE = 10
 
 
@@ -118,35 +125,129 @@ def word_ranks(pieces: DataFrame) -> np.ndarray:
     return rank.ravel()
 
 
+PREFIX = "key long, cls long, n int, place int, b0 long, b1 long, doc long, line int"
+
+
 def _prefixes(rank_bytes: bytes) -> Callable:
+    """Rows for the prefix words of a slice's classes, each with the class's first line in the slice.
+
+    The key is the word, or the word and two of its shares: the lines of a word that more than 2 ** HOT_LOG lines hold are
+    dealt to shares, and every two shares meet under a key of their own.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rank = Words(), np.frombuffer(rank_bytes, np.uint8)
         for batch in batches:
-            for _, data, offsets, _, _ in line_slices(batch.column(0)):
+            ids_of_docs = batch.column(0).to_numpy()
+            for first, data, offsets, rows, number in line_slices(batch.column(1)):
                 ids, begin = word_sets(words, data, offsets, rank)
                 n = np.diff(begin)
-                classes = line_classes(ids, begin)
+                classes, docs = line_classes(ids, begin), ids_of_docs[first + rows]
                 # a set of three words has no partner but its equals; a slice's copies are sent once
-                _, once = np.unique(classes, return_index=True)
+                order = np.lexsort((number, docs))
+                once = order[np.unique(classes[order], return_index=True)[1]]
                 used = once[n[once] >= 4]
                 if not len(used):
                     continue
-                bits = np.zeros(len(n), np.uint64)
-                full = np.flatnonzero(n)
-                bits[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(ids, 3) >> np.uint64(58)), begin[:-1][full])
+                bits, full, where = np.zeros((2, len(n)), np.uint64), np.flatnonzero(n), mix(ids, 3) >> np.uint64(57)
+                for k in (0, 1):
+                    own = np.where(where >> np.uint64(6) == k, np.uint64(1) << (where & np.uint64(63)), np.uint64(0))
+                    bits[k, full] = np.bitwise_xor.reduceat(own, begin[:-1][full])
                 size = n[used]
                 prefix = size - (4 * size + 4) // 5 + 1
                 of = np.repeat(np.arange(len(used)), prefix)
                 place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                token = ids[begin[:-1][used][of] + place]
+                word = ids[begin[:-1][used][of] + place]
+                shares = 1 << np.maximum(rank[(word & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64) - HOT_LOG, 0)
+                again = np.repeat(np.arange(len(of)), shares)
+                other = (np.arange(len(again)) - np.repeat(np.cumsum(shares) - shares, shares)).astype(np.uint64)
+                of, place, word, shares = of[again], place[again], word[again], shares[again].astype(np.uint64)
+                own = classes[used][of] % shares
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                key = np.where(shares > 1, mix(word + (low << np.uint64(44)) + mix(high, 5), 4), mix(word, 4))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(token), signed(classes[used][of]), pa.array(size[of].astype(np.int32)), pa.array(place.astype(np.int32)), signed(bits[used][of])],
-                    ["word", "cls", "n", "place", "bits"],
+                    [signed(key), signed(classes[used][of]), pa.array(size[of].astype(np.int32)), pa.array(place.astype(np.int32)), signed(bits[0, used][of]), signed(bits[1, used][of]), pa.array(docs[used][of]), pa.array(number[used][of].astype(np.int32))],
+                    ["key", "cls", "n", "place", "b0", "b1", "doc", "line"],
                 )
 
     return run
 
 
+def _earliest(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (earlier class, class) for whole groups of rows sorted by key and line: of each class's candidates in a
+    group the first ones; and the classes that have more.
+
+    In a group, the positional filter says of the smaller line of a pair that the word is in its first ninth, and of
+    the larger one of n words that the smaller has no more than 9 / 4 (n - place) - n. With the length filter, a line's
+    smaller partners are a range of the group's lines by size.
+    """
+    key, cls = rows[0], rows[1]
+    # a class's first line in a group stands for it
+    first = np.sort(np.unique(mix(key.view(np.uint64), 6) + cls.view(np.uint64), return_index=True)[1])
+    key, cls, n, place, b0, b1 = (c[first] for c in rows)
+    n, place, b0, b1 = n.astype(np.int64), place.astype(np.int64), b0.view(np.uint64), b1.view(np.uint64)
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
+    small = np.flatnonzero(9 * place <= n)
+    small = small[np.argsort(group[small] + n[small], kind="stable")]
+    at = group[small] + n[small]
+    low = np.searchsorted(at, group + (4 * n + 4) // 5)
+    high = np.searchsorted(at, group + np.minimum(n, (9 * (n - place)) // 4 - n), side="right")
+    count = np.maximum(high - low, 0)
+    ends = np.cumsum(count)
+    xs, ys, begin = [], [], 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")))
+        own = count[begin:end]
+        large = np.repeat(np.arange(begin, end), own)
+        other = small[np.repeat(low[begin:end], own) + np.arange(len(large)) - np.repeat(np.cumsum(own) - own, own)]
+        total = n[large] + n[other]
+        apart = np.bitwise_count(b0[large] ^ b0[other]).astype(np.int64) + np.bitwise_count(b1[large] ^ b1[other])
+        hit = (9 * apart <= total) & (9 * (n[other] - place[other]) >= 4 * total)
+        hit &= (n[other] < n[large]) | (other < large)  # of two lines of one size, once
+        x, y = np.minimum(large[hit], other[hit]), np.maximum(large[hit], other[hit])
+        x, y, rank = _ranked(x, y)
+        xs.append(x[rank <= FIRST])
+        ys.append(y[rank <= FIRST])
+        begin = end
+    x, y, rank = _ranked(np.concatenate(xs), np.concatenate(ys))
+    return cls[x[rank < FIRST]], cls[y[rank < FIRST]], cls[y[rank == FIRST]]
+
+
+def _ranked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in the order of y, then x, with each one's number among those of its y."""
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
+    edge = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, np.int64)
+    return x, y, np.arange(len(y)) - np.repeat(edge, np.diff(np.concatenate([edge, [len(y)]])))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y), x earlier, from rows sorted by key and line; (null, y) where y has more candidates in a group.
+
+    Groups are handled whole, many at a time; memory is that of ROWS rows or of the largest group.
+    """
+
+    def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+        x, y, more = _earliest(rows)
+        more = np.unique(more)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(len(more), pa.int64())]), pa.array(np.concatenate([y, more]))], ["x", "y"])
+
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns[:6]])
+        count += len(batch)
+        if count < ROWS:
+            continue
+        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut_at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
+        if cut_at:
+            yield out([c[:cut_at] for c in rows])
+        held, count = [[c[cut_at:] for c in rows]], len(rows[0]) - cut_at
+    if count:
+        yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
 def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted word sets of the listed lines of each text: rows (cls, words)."""
     words = Words()
@@ -197,15 +298,28 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(cls, gone=true) of classes similar to a class that begins earlier."""
-    sent = docs.select("text").mapInArrow(_prefixes(ranks.tobytes()), "word long, cls long, n int, place int, bits long")
-    x = sent.select("word", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "place", "bits"))).filter("place_x <= n_x - (8 * n_x + 8) div 9")
-    y = sent.select("word", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "place", "bits")))
+    sent = docs.select("doc_id", "text").mapInArrow(_prefixes(ranks.tobytes()), PREFIX)
+    dealt = sent.repartition("key").sortWithinPartitions("key", "doc", "line")
+    met = cut(dealt.mapInArrow(_candidates, "x long, y long").distinct(), "met")
+    pairs = met.filter("x is not null")
+    gone = cut(_similar_later(docs, earliest, pairs), "gone")
+    # classes with more candidates than they met, none of them similar
+    left = cut(met.filter("x is null").select(F.col("y").alias("cls")).join(gone.select("cls"), "cls", "left_anti"), "left")
+    if left.isEmpty():
+        return gone
+    y = cut(sent.join(small(left), "cls").select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "place", "b0", "b1"))).distinct(), "left-rows")
+    x = sent.join(small(y.select("key").distinct()), "key").select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "place", "b0", "b1"))).distinct()
     may = (
-        "(n_x < n_y or (n_x = n_y and cls_x < cls_y)) and 5 * n_x >= 4 * n_y"
-        " and 9 * least(n_x - place_x, n_y - place_y) >= 4 * (n_x + n_y)"
-        " and 9 * bit_count(bits_x ^ bits_y) <= n_x + n_y"
+        "cls_x <> cls_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - place_x, n_y - place_y) >= 4 * (n_x + n_y)"
+        " and 9 * (bit_count(b0_x ^ b0_y) + bit_count(b1_x ^ b1_y)) <= n_x + n_y"
     )
-    pairs = cut(x.join(y, "word").filter(F.expr(may)).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct(), "near")
+    rest = x.join(y, "key").filter(F.expr(may)).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct()
+    rest = cut(rest.join(pairs, ["x", "y"], "left_anti"), "rest")
+    return gone.unionByName(_similar_later(docs, earliest, rest)).distinct()
+
+
+def _similar_later(docs: DataFrame, earliest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, gone=true) of the later class of each pair (x, y) that is similar."""
     needed = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
     where = cut(earliest.join(needed, "cls").groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "where")
     sets = cut(docs.join(small(where, items="wanted"), "doc_id").select("text", "wanted").mapInArrow(_chosen_lines, "cls long, words binary").dropDuplicates(["cls"]), "words")
