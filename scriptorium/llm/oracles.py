@@ -52,8 +52,8 @@ LINE_DEDUP = rf"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
 sets AS (SELECT doc_id, k, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACED}'))) AS s FROM lines),
 classes AS (SELECT s, len(s) AS n, min(struct_pack(d := doc_id, k := k)) AS at FROM sets WHERE len(s) > 0 GROUP BY s),
-later AS (SELECT DISTINCT y.s FROM classes x JOIN classes y ON x.at < y.at AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
-  WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+later AS (SELECT DISTINCT s FROM (SELECT y.s, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS shared FROM classes x JOIN classes y ON x.at < y.at AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n)
+  WHERE 9 * shared >= 4 * total),
 marked AS (SELECT l.doc_id, l.k, l.line, len(l.s) > 0 AND (g.s IS NOT NULL OR struct_pack(d := l.doc_id, k := l.k) <> c.at) AS gone
   FROM sets l LEFT JOIN classes c ON c.s = l.s LEFT JOIN later g ON g.s = l.s)
 SELECT doc_id, count(*) AS n_lines, coalesce(list(CAST(k AS INTEGER) ORDER BY k) FILTER (gone), []) AS removed_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256
