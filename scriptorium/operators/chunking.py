@@ -35,7 +35,9 @@ def _rows(docs: DataFrame, spans: Column, carried: list[str]) -> DataFrame:
         ),
     )
     kept = docs.withColumn("__spans", F.filter(found, lambda s: ~T.is_blank(s["content"])))
-    return kept.select(*carried, F.posexplode("__spans").alias("__at", "__s")).select(*carried, (F.col("__at") + 1).alias("chunk_no"), "__s.*")
+    # outer, as Spark would filter on the array's size below all projections, and so cut lines anew for each span
+    rows = kept.select(*carried, F.posexplode_outer("__spans").alias("__at", "__s")).filter("__at is not null")
+    return rows.select(*carried, (F.col("__at") + 1).alias("chunk_no"), "__s.*")
 
 
 def fixed_lines(docs: DataFrame, max_lines: int) -> DataFrame:

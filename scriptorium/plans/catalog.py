@@ -111,12 +111,13 @@ def fixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {C.SQL_CONV}, {SQL_HEADS} SELECT path, CAST(ln AS INTEGER) AS line, CAST(level AS INTEGER) AS level, title FROM heads")
 def find_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.conv_md(spark, sf_dir)
-    return docs.select("path", F.inline(H.find_headings(T.split_lines(F.col("text")))))
+    lined = docs.select("path", T.split_lines(F.col("text")).alias("lines"))
+    return lined.select("path", F.inline_outer(H.find_headings(F.col("lines")))).filter("line is not null")
 
 
 @query(f"WITH {C.SQL_CONV}, {SQL_HEADS} SELECT path, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(level AS INTEGER) AS level, title, heading_path FROM blocks")
 def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.structure(C.conv_md(spark, sf_dir)).select("path", F.inline("__blocks"))
+    return chunking.structure(C.conv_md(spark, sf_dir)).select("path", F.inline_outer("__blocks")).filter("start_line is not null")
 
 
 @query(f"""WITH RECURSIVE {C.SQL_CONV}, {SQL_HEADS}, {SQL_SPLIT} SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line) AS INTEGER) AS chunk_no, CAST(start_line AS INTEGER) AS start_line,
