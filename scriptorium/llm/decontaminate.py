@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are reduced to words of letters and digits in lower case, one space apart. An item of n characters may
-be found with k = n // 12 edits. It is cut into k + 1 pieces; k edits leave one of them whole, so every place of the item
+be found with k = n // 12 edits, but one of few words and few characters only exactly and as whole words. An item is cut into k + 1 pieces; k edits leave one of them whole, so every place of the item
 has an exact hit of a piece (found for all pieces at once by an Aho-Corasick automaton), at a place that is off by k
 at most. The window around each hit is verified by Myers' bit-parallel edit distance ("A Fast Bit-Vector Algorithm for
 Approximate String Matching Based on Dynamic Programming", 1999).
@@ -9,6 +9,7 @@ Approximate String Matching Based on Dynamic Programming", 1999).
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,11 +24,16 @@ from scriptorium.llm.hashing import NOT_ALNUM, slices
 
 #: Characters of an item for each edit that it may have, and the words an item needs to take part.
 PER_EDIT, LEAST_WORDS = 12, 5
+#: Items of fewer words than FEW_WORDS are short if they have fewer characters than this; they are found without edits, as whole words.
+FEW_WORDS, SHORT = 5, 24
 #: Characters of items that are searched for in one pass over the documents; more items make more passes.
 PASS_CHARS = 4 << 20
 #: Windows whose distances a task remembers.
 REMEMBERED = 1 << 14
 
+#: Blocks of scripts that are written without spaces: Thai to Tibetan, Myanmar, Khmer, kana and Han with their extensions.
+_UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+
 _SPACE = np.isin(np.arange(256), list(NOT_ALNUM))
 
 
@@ -71,11 +77,20 @@ def bit_sets(item: str) -> dict[str, int]:
     return out
 
 
+def joined(a: str, b: str) -> bool:
+    """Whether two neighbours are of one word: letters, digits and marks are, but for those of scripts without spaces (whose marks still belong to the letter before)."""
+    x, y = unicodedata.category(a)[0], unicodedata.category(b)[0]
+    if x not in "LNM" or y not in "LNM":
+        return False
+    return y == "M" or not any(low <= ord(c) <= high for c in (a, b) for low, high in _UNSPACED)
+
+
 class Finder:
     """Finds items in normalized texts."""
 
     def __init__(self, items: list[tuple[int, str]], per_edit: int):
-        self.items = [(key, text, len(text) // per_edit, bit_sets(text), bit_sets(text[::-1])) for key, text in items]
+        self.short = [len(text) < SHORT and text.count(" ") < FEW_WORDS - 1 for _, text in items]
+        self.items = [(key, text, 0 if short else len(text) // per_edit, bit_sets(text), bit_sets(text[::-1])) for (key, text), short in zip(items, self.short, strict=True)]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, k, _, _) in enumerate(self.items):
             edges = [j * len(text) // (k + 1) for j in range(k + 2)]
@@ -95,6 +110,10 @@ class Finder:
             for i, offset in where:
                 _, item, k, bits, back = self.items[i]
                 begin = end + 1 - length - offset
+                if self.short[i]:  # hits come in order of their ends, so the first place is the first hit
+                    if i not in found and not (begin and joined(text[begin - 1], item[0])) and not (end + 1 < len(text) and joined(item[-1], text[end + 1])):
+                        found[i] = (0, begin, len(item))
+                    continue
                 a, b = max(0, begin - k), min(len(text), begin + len(item) + k)
                 if b - a < len(item) - k or (i in last and last[i][0] <= a and b <= last[i][1]):
                     continue
@@ -137,7 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, least
     """A row for each document and item found in it: doc_id, item_id, edits, first_word and n_words of the best place.
 
     docs has doc_id (integer) and text, benchmark has item_id (integer) and text; other columns are ignored, and so are
-    rows with a null among these. Items of fewer than ``least_words`` words take no part. Words are runs of letters and
+    rows with a null among these. Items of fewer than ``least_words`` words take no part; with 1, all that have a letter or digit
+    do. Of those of fewer than FEW_WORDS words, the ones of fewer than SHORT characters must stand exactly and as whole words. Words are runs of letters and
     digits, counted from 0. Items with equal texts are all found; rows with equal doc_id and item_id count as one
     document and one item, with the fewest edits. An empty table gives no rows.
     """

@@ -239,3 +239,28 @@ def test_crowds_of_similar_lines(spark, monkeypatch):
     sets = [set(x.split()) for x in lines]
     gone = [any(100 * len(a & b) >= 80 * len(a | b) for a in sets[:k]) for k, b in enumerate(sets)]
     assert got == {i: [k for k in (0, 1) if gone[2 * i + k]] for i in range(110)} and 20 < sum(gone) < 218
+
+
+def test_leaks_of_items_of_few_words(spark):
+    chinese = "光合作用是绿色植物利用光能把二氧化碳和水合成为有机物并释放氧气的过程" * 4
+    items = [chinese, "你好世界", "Who?", "internationalization considerations explained", "cat", "...", "café", "สวัสดี"]
+    docs = [f"前言{chinese}结尾", "他说你好世界然后离开", "and WHO, then", "whoever", f"{chinese[:60]}错{chinese[61:]}", "an internationalisation considerations explained here", "concatenate", "the “cat” sat", "", "cafés", "café café", "ไทยสวัสดีครับ", "x"]
+    table = spark.createDataFrame(list(enumerate(docs)), DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(0, 0): 0, (1, 1): 0, (2, 2): 0, (4, 0): 1, (5, 3): 1, (7, 4): 0, (10, 6): 0, (11, 7): 0}
+    for chars in (1 << 20, 10):
+        assert {(x.doc_id, x.item_id): x.edits for x in decontaminate.leaks(table, bench, least_words=1, pass_chars=chars).collect()} == want
+    place = decontaminate.leaks(table, bench, least_words=1).filter("doc_id = 2").first()
+    assert (place.first_word, place.n_words) == (1, 1)
+    assert {x.doc_id for x in decontaminate.decontaminate(table, bench, least_words=1).collect()} == {3, 6, 8, 9, 12}
+
+
+def test_queries_search_for_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from scriptorium.llm.registry import QUERIES
+
+    spark.createDataFrame([(1, "他说你好世界然后离开", "zh", "a", 10), (2, "nothing of it", "en", "a", 13)], f"{DOCS}, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "你好世界")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(x.doc_id, x.item_id) for x in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [x.doc_id for x in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()] == [2]
