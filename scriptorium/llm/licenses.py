@@ -6,6 +6,9 @@ their frequency in all documents, rarest first. Of a template of n words that ne
 of the first n - o + 1 (prefix filter); it needs o distinct words or more (length filter); and if the first of them that
 it holds is number p, then n - p >= o (positional filter, which the prefix length gives). What is left is counted out.
 
+With ``wrapped``, a block is also every run of as many consecutive words as the template has, wherever lines end; the same
+filters hold, and words are looked at around those of the prefix only.
+
 Phrases are found besides: places where their words stand consecutively.
 """
 
@@ -38,6 +41,8 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved"),
 ]
 CONTAINMENT = 0.8
+#: Places of words that are held at once while runs of words are counted.
+PLACES = 1 << 20
 
 
 def word_hashes(words: Words, phrase: str) -> np.ndarray:
@@ -66,12 +71,15 @@ def frequencies(docs: DataFrame, tokens: np.ndarray) -> dict[int, int]:
 class Scan:
     """Finds phrases and contained templates in slices of texts."""
 
-    def __init__(self, counts: dict[int, int], phrases: dict[str, str], templates: list[tuple[str, str]], containment: float):
+    def __init__(self, counts: dict[int, int], phrases: dict[str, str], templates: list[tuple[str, str]], containment: float, wrapped: bool = False):
+        self.wrapped = wrapped
         self.words, self.newline = Words(NOT_ALNUM), 10
         self.phrases = [(label, word_hashes(self.words, p)) for p, label in phrases.items()]
-        self.templates = []
+        self.templates, self.sizes = [], []
         for label, text in templates:
-            own = sorted({int(h) for h in word_hashes(self.words, text)}, key=lambda h: (counts.get(h, 0), h))
+            all_words = word_hashes(self.words, text)
+            self.sizes.append(len(all_words))
+            own = sorted({int(h) for h in all_words}, key=lambda h: (counts.get(h, 0), h))
             need = max(1, math.ceil(containment * len(own) - 1e-9))
             self.templates.append((label, np.array(own, np.uint64), need))
         self.firsts = np.unique(np.concatenate([own[: len(own) - need + 1] for _, own, need in self.templates] or [np.zeros(0, np.uint64)]))
@@ -123,10 +131,40 @@ class Scan:
                 shared = int(np.isin(template, own).sum())
                 if shared >= need:
                     yield row, label, shared / len(template)
+        if self.wrapped:
+            yield from self.runs(hashes, begin, hit)
+
+    def runs(self, hashes: np.ndarray, begin: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """The texts in which a run of as many words as a template has contains it. hit are the places of all templates' first words."""
+        for (label, template, need), size in zip(self.templates, self.sizes, strict=True):
+            own = hit[np.isin(hashes[hit], template[: len(template) - need + 1])]
+            order = np.argsort(template)
+            around = np.arange(1 - size, size)
+            step = max(1, PLACES // len(around)) if size else 1
+            for at in (own[k : k + step] for k in range(0, len(own), step)):
+                row = np.searchsorted(begin, at, side="right") - 1
+                place = at[:, None] + around
+                inside = (place >= begin[row][:, None]) & (place < begin[row + 1][:, None])
+                word = hashes[np.clip(place, 0, len(hashes) - 1)]
+                number = order[np.minimum(np.searchsorted(template, word, sorter=order), len(template) - 1)]
+                inside &= template[number] == word
+                shared = np.zeros((len(at), size), np.int64)
+                for first in range(0, len(template), 64):  # a bit for each word of the template, 64 at a time
+                    lane = inside & (number >= first) & (number < first + 64)
+                    bits = np.where(lane, np.uint64(1) << ((number - first) & 63).astype(np.uint64), np.uint64(0))
+                    done = 1
+                    while done < size:  # bits of runs of ``done`` words
+                        more = min(done, size - done)
+                        bits = bits[:, : bits.shape[1] - more] | bits[:, more:]
+                        done += more
+                    shared += np.bitwise_count(bits)
+                most = shared.max(axis=1)
+                for i in np.flatnonzero(most >= need):
+                    yield int(row[i]), label, int(most[i]) / len(template)
 
 
 def scan_licenses(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, wrapped: bool = False
 ) -> DataFrame:
     """docs' columns, and (which replace any of those names) n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -134,6 +172,7 @@ def scan_licenses(
     null without a place). base_labels are the phrases' labels, labels those and the templates', distinct, sorted and
     joined by commas (empty if none); score is the largest containment found, 1 for a phrase, 0 for none. A null text
     is an empty one. Whole texts are scanned; repeated rows get equal results.
+    A block is a line; with ``wrapped`` notices that go over line ends are found too.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = docs.drop(*new)
@@ -142,7 +181,7 @@ def scan_licenses(
     counts = frequencies(docs, np.concatenate([word_hashes(tool, t) for _, t in templates])) if templates else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan(counts, phrases, templates, containment)
+        scan = Scan(counts, phrases, templates, containment, wrapped)
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         for part in text_slices(batches):
             rows = [x for _, data, offsets in slices(part.column("text")) for x in scan(data, offsets)]

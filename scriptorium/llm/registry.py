@@ -33,7 +33,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True).drop("text")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

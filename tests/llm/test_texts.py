@@ -116,6 +116,38 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df, templates=[]).filter("labels <> base_labels").count() == 0
 
 
+def test_licenses_over_line_ends(spark, tmp_path):
+    import textwrap
+
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    comment = lambda t, n: "\n".join(" * " + x for x in textwrap.wrap(t, n))
+    texts = [comment(bsd, 72), comment(mpl, 70), "\n".join(mpl.split()), "all\nrights", "redistribution and use\n" + "word " * 20 + "\nforms with or without modification are permitted"]
+    got = [x.labels for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), DOCS), wrapped=True).orderBy("doc_id").collect()]
+    assert got == ["bsd", "mpl-2", "mpl-2", "", ""]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [x.labels for x in QUERIES["op4_license_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()] == got
+    r = random.Random(8)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    long = ("long", " ".join(f"w{i}" for i in range(150)) + " w1 w2")
+    templates = [*licenses.TEMPLATES, long]
+    words = " ".join(t for _, t in licenses.TEMPLATES).split() + ["x", "é", "\n", "\n"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    for _, t in templates * 8:
+        own = [r.choice(["x", "\n", w, w, w, w, w, w, w, w, w + "\n"]) for w in t.split()]
+        texts.append(" ".join(own))
+    for row in licenses.scan_licenses(_odd(spark, texts), templates=templates, wrapped=True).collect():
+        w = word.findall((row.text or "").lower())
+        found = {x: 1.0 for x in row.base_labels.split(",") if x}
+        for label, t in templates:
+            size, t = len(t.split()), set(t.split())
+            blocks = [set(word.findall(x)) for x in (row.text or "").lower().split("\n")] + [set(w[i : i + size]) for i in range(len(w))]
+            share = max(len(t & b) / len(t) for b in blocks)
+            if share >= licenses.CONTAINMENT:
+                found[label] = max(share, found.get(label, 0))
+        assert (row.labels, row.score) == (",".join(sorted(found)), max(found.values(), default=0)), row.text
+
+
 def test_secrets(spark):
     forest = secrets.train(trees=20)
     key = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
