@@ -11,13 +11,18 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
+def sample(rows: DataFrame, label: str, most: int, key: str = "doc_id", skip: int = 0) -> DataFrame:
     """Some most rows of each label (all, if fewer), the same ones at each run: those whose hashed key is least.
 
+    With skip, those that come after a sample of so many rows.
+
     The number of labels must be small; their counts go to the driver.
     """
     counts = {x[0]: x[1] for x in rows.groupBy(label).count().collect()}
-    share = F.lit(0.0)
+    share, before = F.lit(0.0), F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) <= share * (1 << 20))
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, (skip + most) / n))).otherwise(share)
+        before = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, skip / n))).otherwise(before)
+    at = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20))
+    chosen = rows.filter(at <= share * (1 << 20))
+    return chosen.filter(at > before * (1 << 20)) if skip else chosen

@@ -67,6 +67,23 @@ def test_language(spark):
     assert none.lang_pred == "und" and not none.accepted
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_unlearned_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_on_documents(docs)
+    r = random.Random(1)
+    unknown = [
+        "Il governo ha annunciato ieri una nuova legge per la protezione dei lavoratori e delle famiglie che vivono nelle grandi città del paese.",
+        "Rząd ogłosił wczoraj nową ustawę o ochronie pracowników oraz rodzin, które mieszkają w dużych miastach naszego kraju.",
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(40)),
+    ]
+    assert not any(x.accepted for x in language.predict(spark.createDataFrame([(t,) for t in unknown], "text string"), model).collect())
+    held = language.predict(docs.filter(language.held_out()), model).filter("lang_pred = lang").select("accepted").collect()
+    assert len(held) > 300 and sum(x.accepted for x in held) / len(held) > 0.98
+    two = language.fit_on_documents(docs.filter("lang in ('de', 'fr')"))  # the largest probability of two is never under a half
+    assert not any(x.accepted for x in language.predict(spark.createDataFrame([(t,) for t in unknown], "text string"), two).collect())
+
+
 def test_quality(spark):
     r = random.Random(3)
     good = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(40)) + "."
