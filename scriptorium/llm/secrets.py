@@ -50,7 +50,10 @@ DICTIONARY = (
 _NAME_BEFORE = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{1,40})[\"'\]]{0,2}\s*(?:=>|:=|=|:)\s*[\"'`]?$")
 _SECRET_NAME = re.compile("|".join(SECRET_NAMES), re.I)
 _OTHER_NAME = re.compile(r"\b(?:" + "|".join(OTHER_NAMES) + r")\b", re.I)
-_ASSIGNED = re.compile(r"\s*[\"'`]?([^\s\"'`,;<>(){}]{6,400})")
+#: White space (that of Unicode too) and quotes before an assigned value, and what ends one.
+_BLANK = rb"[\t-\r\x1c- ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+_LEAD = re.compile(rb"(?:" + _BLANK + rb")*[\"'`]?")
+_END = re.compile(_BLANK + rb"|[\"'`,;<>(){}]")
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)), re.I)
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -78,16 +81,18 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
         a += len(data[a:b]) - len(data[a:b].lstrip(b".-="))
         if b - a >= LEAST:
             spans.append((a, b))
+    end = bare = 0  # where the last value looked at ends, with and without the punctuation at its end
     for at in np.flatnonzero(_ASSIGN[codes]).tolist():
         before = data[max(0, at - CONTEXT) : at + 1].decode(errors="replace")
         name = _NAME_BEFORE.search(before)
         if name and _SECRET_NAME.search(name[1]):
-            found = _ASSIGNED.match(data[at + 1 : at + 401].decode(errors="replace"))
-            if found:
-                value = found[1].rstrip("!#$%&*.?")
-                head = at + 1 + len(found.string[: found.start(1)].encode())
-                if len(value) >= VALUE_LEAST:
-                    spans.append((head, min(len(data), head + len(value.encode()))))
+            head = _LEAD.match(data, at + 1).end()
+            if head >= end:  # else it is a part of that value, and ends where it does
+                stop = _END.search(data, head)
+                end = stop.start() if stop else len(data)
+                bare = head + len(data[head:end].rstrip(b"!#$%&*.?"))
+            if bare > head and len(data[head : min(bare, head + 4 * VALUE_LEAST)].decode(errors="ignore")) >= VALUE_LEAST:
+                spans.append((head, bare))
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int]] = []
     for s in spans:
@@ -102,13 +107,17 @@ def _kind(c: str) -> int:
 
 def describe(value: str, before: str, after: str) -> list[float]:
     """Features of a candidate in its context."""
-    n = len(value)
-    shape = value[:400]
-    kinds = [_kind(c) for c in shape]
-    m = len(shape)
-    share = [kinds.count(k) / m for k in range(4)]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, m - 1)
-    entropy = -sum(k / m * math.log2(k / m) for k in Counter(shape.lower()).values())
+    n = m = len(value)
+    shape = value
+    signs, at, times = np.unique(np.frombuffer(value.encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
+    kinds = np.array([_kind(chr(c)) for c in signs])
+    share = (np.bincount(kinds, times, 4) / m).tolist()
+    changes = int(np.count_nonzero(np.diff(kinds[at]))) / max(1, m - 1)
+    lower: Counter[str] = Counter()
+    for c, k in zip(signs.tolist(), times.tolist(), strict=True):
+        for x in chr(c).lower():
+            lower[x] += k
+    entropy = -sum(k / m * math.log2(k / m) for k in lower.values())
     covered = sum(len(x) for x in _WORDS.findall(shape)) / m
     runs = [len(x) for x in re.findall(r"[A-Za-z]+", shape)]
     name = _NAME_BEFORE.search(before)

@@ -187,6 +187,21 @@ def test_secrets(spark):
         secrets.train(own.limit(0))
 
 
+def test_assigned_secrets_are_whole(spark):
+    r = random.Random(9)
+    value = "".join(r.choice("abcXYZ019%&:!é") for _ in range(3000)) + "Zé9"
+    data = f"password:\u00a0 '{value}' and more, token={value}\u2003end".encode()
+    assert [data[a:b].decode() for a, b in secrets.candidates(data)] == [value, value]
+    late = ("passwd =" + " " * 600 + "hunter2!x9").encode()
+    assert [late[a:b] for a, b in secrets.candidates(late)] == [b"hunter2!x9"]
+    assert secrets.candidates(b"token=ab!!!!!!! token=") == []
+    nested = b"token=" * 20000 + b"!" * 20000
+    assert len(secrets.candidates(nested)) == 1
+    head = "Ab3" * 140
+    assert secrets.describe(head + "/" * 400, "", "")[1:5] != secrets.describe(head + "x" * 400, "", "")[1:5]
+    assert secrets.describe(head + "/" * 400, "", "")[13] == 400
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=x>home</a></header>
 <div class="cookie-notice">We use cookies, a lot of cookies, please accept them all now.</div><div class="content-with-sidebar"><div class="post">
 <h1>Title &amp; more</h1><p>Short.</p><p>Long  paragraph of text with <a href=q>a link</a> inside and going on.<section><h2>Sub</h2><p>Next<br>line &lt;b&gt; &copy 2020</p>
