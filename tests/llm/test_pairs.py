@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, hashing, line_dedup, topk
+from scriptorium.llm import decontaminate, hashing, line_dedup, ngram_join, topk
 from scriptorium.llm.graphs import components
 from scriptorium.llm.ngram_join import ngram_components
 
@@ -85,6 +85,53 @@ def test_ngram_components_of_odd_tables(spark):
     assert got == [(0, 2, 0), (3, 1, 3), (3, 1, 3), (4, 1, 3), (5, 20011, 5), (7, 0, 7), (9, 20012, 5)]
 
 
+def test_linked_sets_share_a_signature():
+    r = np.random.default_rng(0)
+    common = np.zeros(ngram_join.COUNTERS, bool)
+    common[::3] = True
+    for t in range(1500):
+        n = int(r.integers(4, 700 if t % 2 else 40))
+        m = int(r.integers((4 * n + 4) // 5, n * 5 // 4 + 1))
+        both = -(-4 * (n + m) // 9)
+        x = r.integers(1, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[:both], r.integers(1, 2**63, m - both, dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        assert 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+        sig, of, _ = ngram_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), common)
+        assert len(np.intersect1d(sig[of == 0], sig[of == 1]))
+
+
+def _brute_components(rows):
+    """By row number: rows with equal ids are apart unless their texts link."""
+    sets = [_shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = _roots(range(len(rows)), links)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[roots[k]] = min(i, least.get(roots[k], i))
+    return sorted((i, len(s), least[roots[k]]) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def test_ngram_components_of_repeated_ids(spark):
+    r = random.Random(4)
+    u, b = ([f"{p}{i}" for i in range(60)] for p in "ub")
+    rows = [(1, " ".join(u)), (3, " ".join([*u, "x"])), (3, " ".join(b)), (8, " ".join(b)), (8, " ".join(b)), (9, " ".join(u))]
+    rows += [(r.randrange(6), " ".join(_mutated(r, u if k % 2 else b, r.randrange(4)))) for k in range(40)]
+    got = ngram_components(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(tuple(x) for x in got) == _brute_components(rows)
+
+
+def test_ngram_components_of_crowds(spark, monkeypatch):
+    """A thousand near copies around several centres, in blocks of few; many of them are apart from their hub."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    r = random.Random(9)
+    centres = [[f"c{k}w{i}" for i in range(150)] for k in range(3)]
+    centres.append(_mutated(r, centres[0], 5))
+    rows = [(i, " ".join(_mutated(r, r.choice(centres), r.randrange(9)))) for i in range(1000)]
+    got = sorted(tuple(x) for x in ngram_components(spark.createDataFrame(rows, DOCS).repartition(4)).collect())
+    assert got == _brute_components(rows) and len({x[2] for x in got}) > 20
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None), (7, 7)]
