@@ -39,8 +39,6 @@ from scriptorium.llm.prefilter import Bloom, bloom
 COUNTERS, PIECES, GROUPS = 1 << 18, 16, 64
 #: Shares of a signature of common shingles, members of a hub in a block, and classes with copies that the filter names.
 SHARES, BLOCK, COPIED = 64, 4096, 1 << 22
-#: A class of equal sets: the least doc_id that has it, and 64 bits of its hash.
-NODE = "struct<rep:long,cls:long>"
 
 
 def bands(top: int) -> np.ndarray:
@@ -265,11 +263,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (x, y) that may link, of rows sorted by block; a block has those of one hub that are in one or two shares."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        key = np.stack([batch.column(c).to_numpy() for c in ("hub_rep", "hub_cls", "low", "high")])
+        key = np.stack([batch.column(c).to_numpy() for c in ("hub", "low", "high")])
         edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = batch.slice(a, b - a)
-            if held and any(held[0].column(c)[0] != own.column(c)[0] for c in ("hub_rep", "hub_cls", "low", "high")):
+            if held and any(held[0].column(c)[0] != own.column(c)[0] for c in ("hub", "low", "high")):
                 yield from _block(pa.Table.from_batches(held).combine_chunks().to_batches())
                 held = []
             if len(own):
@@ -282,17 +280,16 @@ def _block(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     (rows,) = batches
     n, share, low, high = (rows.column(c).to_numpy() for c in ("n", "share", "low", "high"))
     is_open, least, most = rows.column("is_open").to_numpy(zero_copy_only=False), rows.column("least").to_numpy(), rows.column("most").to_numpy()
-    root = rows.column("root").flatten()
-    root, cls = np.stack([x.to_numpy() for x in root]), rows.column("node").field("cls").to_numpy()
+    root, node = rows.column("root").to_numpy(), rows.column("node").to_numpy()
     words = np.array([len(x.as_buffer()) // 8 for x in rows.column("bits")])
     maps = {w: (np.flatnonzero(words == w), _maps(rows.column("bits"), np.flatnonzero(words == w))) for w in set(words.tolist())}
     short = {(w, v): folded(m, v) for w, (_, m) in maps.items() for v in maps if v <= w}
     xs, ys = [], []
     for i in np.flatnonzero(is_open):
-        may = (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])) & (root != root[:, i : i + 1]).any(axis=0)
+        may = (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])) & (root != root[i])
         may &= (least[i] - most <= 0.2 + 1e-9) & (least - most[i] <= 0.2 + 1e-9)
         may &= (share != share[i]) | (low[i] == high[i])
-        may &= ~is_open | (cls > cls[i])
+        may &= ~is_open | (node > node[i])
         for w, (at, _) in maps.items():
             hit = may[at]
             if hit.any():
@@ -302,8 +299,8 @@ def _block(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = at[hit][9 * apart <= n[at[hit]] + n[i]]
                 xs.append(np.full(len(found), i))
                 ys.append(found)
-    x, y = (pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (xs, ys))
-    yield pa.RecordBatch.from_arrays([rows.column("node").take(x), rows.column("node").take(y)], ["x", "y"])
+    x, y = (node[np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (xs, ys))
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
 
 def _sets(wanted: Bloom):
@@ -335,53 +332,51 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["x", "y", "shared", "union_size"])
 
 
-def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (x, y) of classes with shared and union_size. Texts are read again, but only sets in pairs are shuffled."""
-    needed = cut(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct().select("node.rep", "node.cls"), "needed")
+def measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes with shared and union_size. Texts are read again, but only sets in pairs are shuffled."""
+    ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    needed = cut(nodes.join(small(ids), "node").select("node", "rep", "cls"), "needed")
     found = docs.filter("doc_id is not null").mapInArrow(_sets(bloom(needed, "rep")), "rep long, cls long, shingles binary")
-    sets = cut(found.join(small(needed), ["rep", "cls"]).dropDuplicates(["rep", "cls"]).select(F.struct("rep", "cls").alias("node"), "shingles"), "sets")
+    sets = cut(found.join(small(needed), ["rep", "cls"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
     both = pairs.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("y", "set_y"), "y")
-    return cut(both.select("x", "y", "set_x", "set_y").mapInArrow(_compare, f"x {NODE}, y {NODE}, shared long, union_size long"), "measured")
+    return cut(both.select("x", "y", "set_x", "set_y").mapInArrow(_compare, "x long, y long, shared long, union_size long"), "measured")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
     return pairs.filter("100 * shared >= 80 * union_size").select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def links(docs: DataFrame, sized: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Links (u, v) between classes, enough of them for the components."""
+def class_nodes(sized: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, cls, cls2, rep, n, bits) of the classes in near, numbered."""
     ids = near.select("cls").unionByName(near.select(F.col("hub").alias("cls"))).distinct()
-    firsts = classes.join(ids, "cls").select("cls", "cls2", F.col("rep").alias("doc_id"))
-    nodes = sized.join(firsts, ["cls", "cls2", "doc_id"]).dropDuplicates(["doc_id", "cls"])
-    nodes = cut(nodes.select("cls", F.struct(F.col("doc_id").alias("rep"), "cls").alias("node"), "n", "bits"), "nodes")
+    firsts = classes.join(small(ids), "cls").select("cls", "cls2", F.col("rep").alias("doc_id"))
+    nodes = sized.join(small(firsts), ["cls", "cls2", "doc_id"]).dropDuplicates(["cls", "cls2"])
+    return cut(nodes.select(F.monotonically_increasing_id().alias("node"), "cls", "cls2", F.col("doc_id").alias("rep"), "n", "bits"), "nodes")
+
+
+def links(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes, enough of them for the components."""
 
     def side(key: str, name: str) -> DataFrame:
         return nodes.select(F.col("cls").alias(key), F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
 
     star = near.join(side("hub", "x"), "hub").join(side("cls", "y"), "cls").select("x", "y", "n_x", "n_y", "bits_x", "bits_y")
-    star = cut(star.mapInArrow(_sketched, f"x {NODE}, y {NODE}, may boolean, least double"), "star")
-    first = measured(docs, star.filter("may").select("x", "y"))
-    rooted = components(linked(first)).select("node", "root")
-
+    star = cut(star.mapInArrow(_sketched, "x long, y long, may boolean, least double"), "star")
+    first = measured(docs, nodes, star.filter("may").select("x", "y"))
+    rooted = small(cut(components(linked(first)), "rooted"))
     # members of hubs, with what is known of their distance from the hub
     known = star.join(first, ["x", "y"], "left").join(rooted.toDF("x", "root_x"), "x", "left").join(rooted.toDF("y", "root_y"), "y", "left")
-    exact = 1 - F.col("shared") / F.col("union_size")
-    known = cut(
-        known.select(
-            "x", "y", F.coalesce("root_y", "y").alias("root"), (F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).alias("is_open"), F.coalesce(exact, "least").alias("least"), F.coalesce(exact, F.lit(1.0)).alias("most")
-        ),
-        "members",
-    )
-    hubs = known.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"), F.max("is_open").alias("any")).filter("any and shares > 0").drop("any")
-    dealt = known.join(hubs, "x").join(nodes.select(F.col("node").alias("y"), "n", "bits"), "y").withColumn("share", F.pmod(F.col("y.cls"), F.col("shares")).cast("int"))
+    exact, root_x, root_y = 1 - F.col("shared") / F.col("union_size"), F.coalesce("root_x", "x"), F.coalesce("root_y", "y")
+    known = cut(known.select("x", "y", root_y.alias("root"), (root_x != root_y).alias("is_open"), F.coalesce(exact, "least").alias("least"), F.coalesce(exact, F.lit(1.0)).alias("most")), "members")
+    hubs = known.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"), F.max("is_open").alias("any")).filter("any").drop("any")
+    dealt = known.join(hubs, "x").join(nodes.select(F.col("node").alias("y"), "n", "bits"), "y").withColumn("share", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     block = dealt.select(
-        F.col("x.rep").alias("hub_rep"), F.col("x.cls").alias("hub_cls"), F.least("share", "other").alias("low"), F.greatest("share", "other").alias("high"), "share", F.col("y").alias("node"), "n", "bits", "root", "is_open", "least", "most"
+        F.col("x").alias("hub"), F.least("share", "other").alias("low"), F.greatest("share", "other").alias("high"), "share", F.col("y").alias("node"), "n", "bits", "root", "is_open", "least", "most"
     )
-    by = ["hub_rep", "hub_cls", "low", "high"]
-    rest = block.repartition(*by).sortWithinPartitions(*by).mapInArrow(_members, f"x {NODE}, y {NODE}")
-    rest = cut(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "rest")
-    return linked(first).unionByName(linked(measured(docs, rest)))
+    by = ["hub", "low", "high"]
+    rest = cut(block.repartition(*by).sortWithinPartitions(*by).mapInArrow(_members, "x long, y long").distinct(), "rest")
+    return linked(first).unionByName(linked(measured(docs, nodes, rest)))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -398,7 +393,11 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     sized = rows.filter("piece is null").drop("piece", "counts")
     common = common_shingles(rows.filter("piece is not null").select("piece", "counts"))
     classes = cut(sized.filter("n > 0 and doc_id is not null").groupBy("cls", "cls2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    roots = components(links(docs, sized, classes, near_classes(docs, classes, common)))
-    found = classes.join(roots, F.struct(classes.rep, classes.cls) == roots.node, "left").select(F.col("cls").alias("of"), F.col("cls2").alias("of2"), F.coalesce("root.rep", "rep").alias("least"))
+    near = near_classes(docs, classes, common)
+    nodes = class_nodes(sized, classes, near)
+    roots = cut(components(links(docs, nodes, near)).join(nodes.select("node", "rep", "cls", "cls2"), "node").select("root", "rep", "cls", "cls2"), "roots")
+    least = roots.groupBy("root").agg(F.min("rep").alias("least"))
+    found = roots.join(least, "root").select(F.col("cls").alias("of"), F.col("cls2").alias("of2"), "least")
+    found = small(found.unionByName(classes.filter("copies > 1").join(roots, ["cls", "cls2"], "left_anti").select("cls", "cls2", "rep").toDF("of", "of2", "least")))
     same = (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("cls") == F.col("of")) & (F.col("cls2") == F.col("of2"))
     return sized.join(found, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
