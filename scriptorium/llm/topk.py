@@ -1,13 +1,16 @@
 """Exact top-k search by inner product with dual cover trees (Beygelzimer, Kakade and Langford, "Cover Trees for Nearest
 Neighbor", 2006; Curtin and Ram, "Dual-Tree Fast Exact Max-Kernel Search", 2014).
 
-The upper levels of both trees are tables: vectors go to the nearest of a few pivots, and what is near one pivot is
-dealt to blocks of bounded size. Each pair of a query block and a candidate block has a bound: with centres q and c and
-covering radii Q and C, no product exceeds <q, c> + Q |c| + C |q| + Q C. Each query block first meets the candidate
-block with the largest bound; that gives every query a worst kth score. Of the other pairs, those whose bound is under the
-least of these are pruned, the rest are searched. Within a pair of blocks, both get a cover tree (the radii of children
-are at most half their parent's; a node that would need too many children is a leaf), and pairs of nodes are pruned by
-the same bound. Leaves are multiplied as matrices.
+Queries and candidates are indexed alike. A node's children are a net of its vectors: each next centre is the vector farthest
+from those before, until the net covers the node at 1/1.3 of its radius or has as many children as a node may have; so
+centres are apart by the radius that the net covers, and each vector goes to its nearest one. The two upper levels, pivots
+and cells, are nets of a bounded sample, by which all vectors are dealt to blocks (a table); below a block, the trees are
+built where the block lies, down to leaves of a few vectors.
+
+Of a pair of nodes with centres q and c and covering radii Q and C, no product exceeds <q, c> + Q |c| + C |q| + Q C. Each query
+block first meets the blocks with the best centres below the best pivot; that gives every query a worst kth score. Then pairs of
+pivots, of blocks below surviving pivots, and of nodes below surviving blocks are pruned whose bound is under the
+least worst score of the pair's queries. Leaves that are left are multiplied as matrices.
 
 Of equal vectors, only as many as can be results are kept, those with the least ids.
 """
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.cuts import cut
 
-#: Vectors in a block of candidates and of queries, about; pivots at most, and sampled vectors for each pivot.
-CANDIDATES, QUERIES, PIVOTS, SAMPLED = 8192, 1024, 512, 8
-#: Vectors of a leaf that is not split further, and children of a node at most.
-LEAF, CHILDREN = 128, 48
+#: Vectors in a block of candidates and of queries, about.
+CANDIDATES, QUERIES = 8192, 1024
+#: Pivots at most, cells of a pivot at most, sampled vectors for each cell, and the components of all sampled vectors.
+PIVOTS, CELLS, SAMPLED, COMPONENTS = 64, 64, 8, 1 << 21
+#: Vectors of a leaf that is not split further, children of a node at most, and how much their radius is smaller.
+LEAF, CHILDREN, RATIO = 64, 48, 1.3
 #: Products held at a time.
 TILE = 1 << 20
 _EXACT = 2.0**52
@@ -59,45 +64,61 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
     return out
 
 
-def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Some vectors of a small sample, each far from those before."""
-    got = vectors.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(max(1, count * SAMPLED)).select("v").collect()
-    x = _matrix(pa.array([bytes(r[0]) for r in got], pa.binary()))
-    chosen, far = [0], np.full(len(x), np.inf)
-    while len(chosen) < min(count, len(x)):
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-        chosen.append(int(far.argmax()))
-    return x[chosen]
-
+def net(x: np.ndarray, most: int, start: int = 0, limit: float = 0.0) -> tuple[list[int], np.ndarray]:
+    """Rows of x that are centres, each farthest from those before, and for each row the nearest centre's number.
 
-def blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """vectors (vec_id, v) with the number of its block, and how many blocks there are (0 for no vectors)."""
+    There are at most so many centres; after the second, none is added once all rows are within limit of one.
+    """
+    centres, near, part = [start], ((x - x[start]) ** 2).sum(axis=1), np.zeros(len(x), np.int64)
+    while len(centres) < most and near.max() > (limit**2 if len(centres) > 1 else 0.0):
+        centres.append(int(near.argmax()))
+        d = ((x - x[centres[-1]]) ** 2).sum(axis=1)
+        part[d < near] = len(centres) - 1
+        near = np.minimum(near, d)
+    return centres, part
+
+
+def upper_levels(vectors: DataFrame, cells: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pivot, its cells' centres): two levels of nets of a sample, of cells * SAMPLED vectors and COMPONENTS components at most."""
+    ordered = vectors.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v")
+    width = max(1, (vectors.agg(F.max(F.octet_length("v"))).first()[0] or 0) // 8)
+    got = ordered.limit(max(1, min(cells * SAMPLED, COMPONENTS // width))).select("v").collect()
+    x = _matrix(pa.array([bytes(r[0]) for r in got], pa.binary()), width)
+    centres, _ = net(x, min(cells, PIVOTS * CELLS))
+    # the farthest come first, so the pivots are a coarser net of the same centres
+    pivots, below = x[centres[: min(PIVOTS, math.ceil(math.sqrt(len(centres))))]], x[centres]
+    part = np.array([((pivots - c) ** 2).sum(axis=1).argmin() for c in below])
+    return [(p, below[part == k]) for k, p in enumerate(pivots)]
+
+
+def blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """vectors (vec_id, v) with pivot and block, of about so many vectors at most. Blocks are numbered over all pivots."""
     n = vectors.count()
-    if not n:
-        return vectors.withColumn("block", F.lit(0)), 0
-    count = min(PIVOTS, -(-n // size))
-    if count == 1:
-        return vectors.withColumn("block", F.lit(0)), 1
-    pivots = _pivots(vectors, count)
+    if n <= size:
+        return vectors.select("vec_id", "v", F.lit(0).alias("pivot"), F.lit(0).alias("block"))
+    levels = upper_levels(vectors, 2 * -(-n // size))
+    first = np.cumsum([0, *(len(below) for _, below in levels)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v"), pivots.shape[1])
-            p = np.zeros((len(pivots), x.shape[1]))
-            p[:, : pivots.shape[1]] = pivots
-            near = ((p**2).sum(axis=1)[None] - 2 * x @ p.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], ["vec_id", "v", "pivot"])
-
-    placed = cut(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v binary, pivot int"), "placed")
-    counts = dict(placed.groupBy("pivot").count().collect())  # PIVOTS rows at most
-    first, total, parts, starts = {}, 0, [], []
-    for pivot in range(count):
-        first[pivot] = total
-        starts.append(total)
-        parts.append(max(1, -(-counts.get(pivot, 0) // size)))
-        total += parts[-1] if counts.get(pivot) else 0
-    at = lambda values: F.element_at(F.lit(values), F.col("pivot") + 1)
-    return placed.select("vec_id", "v", (at(starts) + F.pmod(F.xxhash64("vec_id"), at(parts))).cast("int").alias("block")), total
+            x = _matrix(batch.column("v"), levels[0][0].shape[0])
+            pad = lambda c: np.pad(c, ((0, 0), (0, x.shape[1] - c.shape[1])))
+            nearest = lambda rows, c: ((c**2).sum(axis=1)[None] - 2 * rows @ c.T).argmin(axis=1)
+            pivot, cell = nearest(x, pad(np.stack([p for p, _ in levels]))), np.zeros(len(x), np.int64)
+            for k, (_, below) in enumerate(levels):
+                own = np.flatnonzero(pivot == k)
+                if len(own):
+                    cell[own] = nearest(x[own], pad(below))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot.astype(np.int32)), pa.array((first[pivot] + cell).astype(np.int32))], ["vec_id", "v", "pivot", "cell"])
+
+    placed = cut(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v binary, pivot int, cell int"), "placed")
+    rows, total = [], 0
+    for cell, count in sorted(placed.groupBy("cell").count().collect()):  # PIVOTS * CELLS rows at most
+        rows.append((cell, total, -(-count // size)))
+        total += rows[-1][2]
+    sizes = vectors.sparkSession.createDataFrame(rows, "cell int, start int, parts int")
+    placed = placed.join(F.broadcast(sizes), "cell")
+    return placed.select("vec_id", "v", "pivot", (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"))
 
 
 def _cover(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +126,17 @@ def _cover(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     x = _matrix(pa.chunked_array([b.column("v") for b in batches]))
     centre = x.mean(axis=0)
     radius = math.sqrt(float(((x - centre) ** 2).sum(axis=1).max()))
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([centre.tobytes()]), pa.array([radius])], ["block", "centre", "radius"])
+    keys = [pa.array([k.as_py()], pa.int32()) for k in key]
+    yield pa.RecordBatch.from_arrays([*keys, pa.array([centre.tobytes()]), pa.array([radius]), pa.array([len(x)])], ["pivot", "block", "centre", "radius", "n"])
+
+
+def _cover_all(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A pivot's centre and covering radius, from those of its blocks."""
+    whole = pa.Table.from_batches(list(batches))
+    x, radius = _matrix(whole.column("centre")), whole.column("radius").to_numpy()
+    centre = x.mean(axis=0)
+    most = float((np.sqrt(((x - centre) ** 2).sum(axis=1)) + radius).max())
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([centre.tobytes()]), pa.array([most])], ["pivot", "centre", "radius"])
 
 
 def bound(q: np.ndarray, c: np.ndarray, radius_q: float, radius_c: float) -> float:
@@ -114,14 +145,19 @@ def bound(q: np.ndarray, c: np.ndarray, radius_q: float, radius_c: float) -> flo
     return float(q @ c) + radius_q * b + radius_c * a + radius_q * radius_c + 1 + 1e-9 * (a + radius_q) * (b + radius_c)
 
 
-def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes (one, other) with their bound and the product of their centres."""
     for batch in batches:
         q, c = _matrix(batch.column("centre_q")), _matrix(batch.column("centre"))
         width = max(q.shape[1], c.shape[1])
         q, c = np.pad(q, ((0, 0), (0, width - q.shape[1]))), np.pad(c, ((0, 0), (0, width - c.shape[1])))
         radii = zip(batch.column("radius_q").to_pylist(), batch.column("radius").to_pylist(), strict=True)
         found = [bound(x, y, *r) for x, y, r in zip(q, c, radii, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("qblock"), batch.column("block"), pa.array(found, pa.float64())], ["qblock", "block", "bound"])
+        yield pa.RecordBatch.from_arrays([batch.column("one"), batch.column("other"), pa.array(found, pa.float64()), pa.array((q * c).sum(axis=1))], ["one", "other", "bound", "product"])
+
+
+def bounded(pairs: DataFrame) -> DataFrame:
+    return pairs.select("one", "other", "centre_q", "radius_q", "centre", "radius").mapInArrow(_bounded, "one int, other int, bound double, product double")
 
 
 class Tree:
@@ -130,20 +166,12 @@ class Tree:
     def __init__(self, x: np.ndarray, rows: np.ndarray):
         own = x[rows]
         self.rows, self.centre, self.children = rows, own.mean(axis=0), []
-        self.radius = math.sqrt(float(((own - self.centre) ** 2).sum(axis=1).max()))
-        if len(rows) <= LEAF or self.radius == 0:
-            return
-        best, part = ((own - self.centre) ** 2).sum(axis=1), np.zeros(len(rows), np.int64)
-        start, limit = int(best.argmin()), (self.radius / 2) ** 2
-        best[:], centres = np.inf, []
-        while best.max() > limit:
-            if len(centres) == CHILDREN:
-                return  # no cover by few balls of half the radius
-            centres.append(start if not centres else int(best.argmax()))
-            d = ((own - own[centres[-1]]) ** 2).sum(axis=1)
-            part[d < best] = len(centres) - 1
-            best = np.minimum(best, d)
-        self.children = [Tree(x, rows[part == k]) for k in range(len(centres))]
+        away = ((own - self.centre) ** 2).sum(axis=1)
+        self.radius = math.sqrt(float(away.max()))
+        if len(rows) > LEAF and self.radius > 0:
+            centres, part = net(own, CHILDREN, int(away.argmin()), self.radius / RATIO)
+            if len(centres) > 1:
+                self.children = [Tree(x, rows[part == k]) for k in range(len(centres))]
 
 
 class Search:
@@ -155,6 +183,8 @@ class Search:
         #: Products at or over the worst kth score are of use.
         self.worst = least.astype(np.float64)
         self.scores = [[] for _ in q_ids]
+        #: Products computed; what is pruned lacks to len(q) * len(c).
+        self.products = 0
         largest = math.sqrt(float((q**2).sum(axis=1).max())) * math.sqrt(float((c**2).sum(axis=1).max()))
         self.exact = largest < _EXACT
         self._visit(Tree(self.q, np.arange(len(q))), Tree(self.c, np.arange(len(c))))
@@ -181,6 +211,7 @@ class Search:
             rows = queries[at : at + step]
             for to in range(0, len(candidates), TILE):
                 columns = np.sort(candidates[to : to + TILE])
+                self.products += len(rows) * len(columns)
                 self._keep(rows, columns, self._products(rows, columns))
 
     def _products(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -236,18 +267,25 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
     clean = cut(clean.distinct(), "vectors")
     copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     kept = cut(clean.withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy"), "distinct")
-    c, n_blocks = blocks(kept, candidates)
-    q, n_queries = blocks(cut(clean.filter(queries), "queries"), query_block)
-    c, q = cut(c, "candidates"), cut(q.withColumnRenamed("block", "qblock"), "queries")
-    if not n_blocks or not n_queries:
+    of_queries = cut(clean.filter(queries), "queries")
+    if kept.isEmpty() or of_queries.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    covers = "block int, centre binary, radius double"
-    of_c = c.groupBy("block").applyInArrow(_cover, covers)
-    of_q = q.withColumnRenamed("qblock", "block").groupBy("block").applyInArrow(_cover, covers).toDF("qblock", "centre_q", "radius_q")
-    every = of_q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(of_c, "block")
-    pairs = cut(every.mapInArrow(_bounds, "qblock int, block int, bound double"), "pairs")
-    order = F.row_number().over(Window.partitionBy("qblock").orderBy(F.desc("bound"), "block"))
-    ranked = cut(pairs.withColumn("order", order), "ranked")
+    c = cut(blocks(kept, candidates), "candidates")
+    q = cut(blocks(of_queries, query_block).withColumnsRenamed({"block": "qblock", "pivot": "qpivot"}), "queries")
+    covers = "pivot int, block int, centre binary, radius double, n long"
+    of_c = cut(c.groupBy("pivot", "block").applyInArrow(_cover, covers), "covers")
+    of_q = cut(q.groupBy("qpivot", "qblock").applyInArrow(_cover, covers), "covers").drop("n").toDF("qpivot", "qblock", "centre_q", "radius_q")
+    # pivots are PIVOTS at most on either side, so their pairs are few whatever the input
+    upper = "pivot int, centre binary, radius double"
+    up_c = of_c.groupBy("pivot").applyInArrow(_cover_all, upper)
+    up_q = of_q.select(F.col("qpivot").alias("pivot"), F.col("centre_q").alias("centre"), F.col("radius_q").alias("radius")).groupBy("pivot").applyInArrow(_cover_all, upper).toDF("one", "centre_q", "radius_q")
+    upper_pairs = up_q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(PIVOTS - 1)))).join(up_c.withColumnRenamed("pivot", "other"), "other")
+    upper_pairs = cut(bounded(upper_pairs), "pivots").withColumnsRenamed({"one": "qpivot", "other": "pivot"})
+
+    def below(chosen: DataFrame) -> DataFrame:
+        """Pairs of blocks below pairs of pivots."""
+        both = of_q.join(chosen.select("qpivot", "pivot"), "qpivot").join(of_c, "pivot")
+        return bounded(both.withColumnsRenamed({"qblock": "one", "block": "other"})).withColumnsRenamed({"one": "qblock", "other": "block"})
 
     def search(chosen: DataFrame, q: DataFrame) -> DataFrame:
         left = q.join(chosen.select("qblock", "block"), "qblock").select("qblock", "block", "vec_id", "v", "worst")
@@ -255,11 +293,20 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
         by = ["qblock", "block"]
         return cut(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_searcher(k), "query_id long, vec_id long, score long"), "found")
 
+    near = Window.partitionBy("qpivot").orderBy(F.desc("product"), "pivot")
+    start = below(upper_pairs.withColumn("order", F.row_number().over(near)).filter("order = 1"))
+    # the best blocks that have k vectors besides a query together
+    ahead = Window.partitionBy("qblock").orderBy(F.desc("product"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = start.join(of_c.select("block", "n"), "block").withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    seeds = cut(seeds.filter(F.col("before") <= k).select("qblock", "block"), "seeds")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = search(ranked.filter("order = 1"), q.withColumn("worst", F.lit(None).cast("long")))
+    first = search(seeds, q.withColumn("worst", F.lit(None).cast("long")))
     worst = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("worst"))
     q = cut(q.join(worst, "vec_id", "left"), "worst")
-    least = q.groupBy("qblock").agg(F.when(F.count("worst") == F.count("*"), F.min("worst")).alias("least"))
-    rest = search(ranked.filter("order > 1").join(least, "qblock").filter("least is null or bound >= least"), q)
+    # a query without k scores keeps all pairs of its block and pivot
+    least = F.when(F.count("worst") == F.count("*"), F.min("worst")).alias("least")
+    alive = upper_pairs.join(q.groupBy("qpivot").agg(least), "qpivot").filter("least is null or bound >= least")
+    open_pairs = below(alive).join(q.groupBy("qblock").agg(least), "qblock").filter("least is null or bound >= least")
+    rest = search(cut(open_pairs.join(seeds, ["qblock", "block"], "left_anti").select("qblock", "block"), "pairs"), q)
     ranks = first.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

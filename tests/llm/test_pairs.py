@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.cuts import cut
 from scriptorium.llm import decontaminate, hashing, line_dedup, ngram_join, topk
 from scriptorium.llm.graphs import components
 from scriptorium.llm.ngram_join import ngram_components
@@ -212,6 +213,41 @@ def test_top_k(spark, blocks):
     assert got.count() == len(_brute_top(rows, 10))
 
 
+@pytest.mark.parametrize("spread, most", [(0.05, 0.2), (0.3, 0.7)])
+def test_trees_prune_products(spread, most):
+    """Vectors in clusters of 64 dimensions: most products are never computed, and no result is lost."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 64))
+    x = np.floor(1024 * (centres[r.integers(0, 40, 4000)] + spread * r.normal(size=(4000, 64))))
+    q, ids = x[:400], np.arange(4000)
+    tree = topk.Tree(x, ids)
+    stack, seen, depth = [(tree, 1)], [], 0
+    while stack:
+        node, level = stack.pop()
+        depth = max(depth, level)
+        assert np.sqrt(((x[node.rows] - node.centre) ** 2).sum(axis=1)).max() <= node.radius + 1e-6
+        assert sorted(i for c in node.children for i in c.rows) == sorted(node.rows) or not node.children
+        stack += [(c, level + 1) for c in node.children]
+        seen += [] if node.children else node.rows.tolist()
+    assert sorted(seen) == ids.tolist() and depth > 2
+    found = topk.Search(q, ids[:400], x, ids, 10, np.full(400, -np.inf))
+    want = [sorted((-int(s), int(j)) for j, s in enumerate(x @ v) if j != i)[:10] for i, v in enumerate(q)]
+    assert found.scores == want and found.products <= most * 400 * 4000
+
+
+def test_pivots_prune_blocks(spark, monkeypatch):
+    """Clusters far apart: few pairs of blocks are searched, and all results are those of brute force."""
+    r = random.Random(2)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(12)]
+    rows = [(i, [x + r.gauss(0, 0.02) for x in centres[i // 100]]) for i in range(1200)]
+    met = []
+    monkeypatch.setattr(topk, "cut", lambda df, name: met.append((name, cut(df, name))) or met[-1][1])
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), candidates=100, query_block=1).collect()
+    assert {tuple(x) for x in got} == _brute_top(rows, 10)
+    blocks = dict(met)["candidates"].select("block").distinct().count()
+    assert blocks >= 12 and dict(met)["pairs"].count() <= 0.4 * 12 * blocks
+
+
 def test_top_k_of_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(one).count() == 0 and topk.top_k(one.limit(0)).count() == 0
