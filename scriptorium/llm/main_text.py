@@ -1,22 +1,25 @@
 """Main text of web pages by composite text density (Sun, Song and Liao, "DOM Based Content Extraction via Text
 Density", 2011).
 
-The nodes are a page's block elements; what is named as no part of an article (menus, page headers, footers, sidebars,
-notices, adverts, forms, comments, scripts) is taken out first. A node of C characters, T tags, LC characters in links
-and LT links has the density
+The nodes are a page's block elements; inline elements are a part of their block. Elements that hold no article by their
+tag (scripts, forms, nav, aside, footer and so on), hidden ones and containers whose whole name says so (class="comments",
+"site-footer", not "share-price") are taken out first. A node of C characters, T tags, LC characters in links and LT links
+has the density
 
     C / T * log(C / LC * T / LT), to the base ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 where b is the body and a zero below a line counts as 1. The node whose children's densities have the largest sum is
 the core. The least density on its path from the body is the threshold; every node that reaches it, in the core's
-article if it has one, marks its own largest-sum node. The text is that of the smallest subtree that holds all marks,
-without parts that are mostly links and under the threshold.
+article if it has one, marks its own largest-sum node. The text is that of the smallest subtree that holds all marks.
+Outside of article and main elements, parts that are mostly links and under the threshold go. A paragraph or heading that is
+named as no part of an article goes only if its density is under the core's.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,36 +35,47 @@ BLOCKS = set(
 )
 SILENT = set("script style noscript template head title iframe object embed svg math canvas audio video map select option optgroup textarea datalist button label input form nav aside footer menu dialog".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class and id, and roles, of what is no part of an article.
+#: Words of class and id of what is no part of an article, words that may stand beside them, and roles.
 NOISE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments "
     "reply replies respond disqus cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription share sharing social related recommended "
     "widget toolbar pagination pager login signup signin search copyright disclaimer skip header topbar".split()
 )
+BESIDE = set(
+    "site page main user reader top bottom left right side primary secondary global list lists item items box block area section container wrapper wrap inner outer group bar row column col panel "
+    "content body posts post articles stories links link buttons button icons icon form thread threads message text label title slot unit zone region module component sticky fixed mobile desktop js".split()
+)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _IN_PARAGRAPH = set("p h1 h2 h3 h4 h5 h6".split())
+_TEXTS = _IN_PARAGRAPH | set("li dt dd td th blockquote pre figcaption caption".split())
+#: What the start of an element ends, and within what.
+_ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "keeps", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "named", "keeps", "chars", "tags", "link_chars", "links", "density", "total", "enters", "leaves")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.keeps = tag, parent, noise, False
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False):
+        #: noise goes; what is only named so is judged by its density. keeps: 2 above an article, 1 above its title.
+        self.tag, self.parent, self.noise, self.named, self.keeps = tag, parent, noise, named, 0
         #: Nodes, and (text, whether in a link) in page order.
         self.children: list[Node | tuple[str, bool]] = []
         self.chars = self.link_chars = self.links = 0
-        self.tags, self.density, self.total = 1, 0.0, 0.0
+        self.tags, self.density, self.total, self.enters, self.leaves = 1, 0.0, 0.0, 0, 0
+
+
+def _named(attrs: dict[str, str]) -> set[str]:
+    """The words for which a class or the id, as a whole, names no part of an article."""
+    found: set[str] = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+        if words & NOISE and words <= NOISE | BESIDE:
+            found |= words & NOISE
+    return found
 
 
-def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    return bool(
-        NOISE.intersection(re.split(r"[^a-z]+", named))
-        or attrs.get("role", "").lower() in ROLES
-        or "hidden" in attrs
-        or attrs.get("aria-hidden", "").lower() == "true"
-        or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I)
-    )
+def _hidden(attrs: dict[str, str]) -> bool:
+    return bool("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
 
 
 class Page(HTMLParser):
@@ -70,6 +84,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
+        self.open: Counter[str] = Counter()  # tags of the node that is open and of those around it
         self.silent: list[str] = []
         self.link: Node | None = None  # the block in which the open link began
 
@@ -93,43 +108,53 @@ class Page(HTMLParser):
         elif tag == "a":
             self.link = self.at
             self.at.links += 1
-        elif tag in BLOCKS or (tag not in VOID and _is_noise(tag, found)):
+        elif tag in BLOCKS:
             self._implied(tag)
             if tag == "hr":
                 return
-            noise = _is_noise(tag, found)
-            if tag == "header" and not self._inside("article", "main"):
-                noise = True
-            elif noise and self._inside("article", "main") and NOISE.intersection(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) == {"header"}:
-                noise = False
-            self.at.children.append(node := Node(tag, self.at, noise))
-            self.at = node
+            inside, names = self.open["article"] or self.open["main"], _named(found)
+            if tag == "header":
+                names = set() if inside else {"header"}
+            elif inside:
+                names -= {"header"}
+            text = tag in _TEXTS
+            noise = _hidden(found) or found.get("role", "").lower() in ROLES or bool(names and not text)
+            self._enter(Node(tag, self.at, noise, bool(names) and text))
             if tag in ("article", "main", "h1"):
-                x: Node | None = node
-                while x and not (tag == "h1" and x.tag == "header"):  # a site's name is no article's
-                    x.keeps, x = True, x.parent
+                level, x = 1 if tag == "h1" else 2, self.at
+                while x and x.keeps < level and not (level == 1 and x.tag == "header"):  # a site's name is no article's
+                    x.keeps, x = level, x.parent
+        elif tag not in VOID and _hidden(found):
+            self._enter(Node(tag, self.at, True))
 
-    def _inside(self, *tags: str) -> bool:
-        x: Node | None = self.at
-        while x and x.tag not in tags:
-            x = x.parent
-        return x is not None
+    def _enter(self, node: Node) -> None:
+        self.at.children.append(node)
+        self.at = node
+        self.open[node.tag] += 1
 
     def _implied(self, tag: str) -> None:
-        """Ends what a block of this tag cannot stand in."""
-        ends = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(tag, set())
-        stop = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}.get(tag, set())
-        x: Node | None = self.at
-        while x and x.parent and x.tag not in stop:
-            if x.tag in _IN_PARAGRAPH or x.tag in ends:
-                self._leave(x)
-            elif x.tag not in BLOCKS or not ends:
-                break
+        """Ends what a block of this tag cannot stand in: an open paragraph, and the row, cell or item before."""
+        while self.at.parent and self.at.tag in _IN_PARAGRAPH:
+            self._leave(self.at)
+        ends, stop = _ENDS.get(tag, (set(), set()))
+        x: Node | None = self.at if any(self.open[t] for t in ends) else None
+        last = None
+        while x and x.parent and x.tag not in stop and x.tag in BLOCKS:
+            if x.tag in ends:
+                last = x
             x = x.parent
+        if last:
+            self._leave(last)
 
     def _leave(self, node: Node) -> None:
+        """Ends a node that is open, and all that is open in it."""
         if self.link and self.link is not node.parent:
             self.link = None
+        x = self.at
+        while x is not node:
+            self.open[x.tag] -= 1
+            x = x.parent
+        self.open[node.tag] -= 1
         self.at = node.parent or self.root
 
     def handle_endtag(self, tag: str) -> None:
@@ -139,11 +164,10 @@ class Page(HTMLParser):
             return
         if tag == "a":
             self.link = None
-            return
-        x: Node | None = self.at
-        while x and x.tag != tag:
-            x = x.parent
-        if x and x.parent:
+        elif self.open[tag]:
+            x = self.at
+            while x.tag != tag:
+                x = x.parent
             self._leave(x)
 
     def handle_data(self, data: str) -> None:
@@ -181,36 +205,34 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _path(node: Node) -> list[Node]:
-    out = [node]
-    while out[-1].parent:
-        out.append(out[-1].parent)
-    return out[::-1]
-
-
-def _main(root: Node) -> tuple[Node, float]:
-    """The subtree of the main text, and the threshold of its density."""
+def _main(root: Node) -> tuple[Node, Node, float]:
+    """The subtree of the main text, the core, and the threshold of density."""
     nodes = _measure(root)
     core = max(nodes, key=lambda n: n.total)  # the first of equals is the outermost
     if core.total <= 0:
-        return root, 0.0
-    path = _path(core)
+        return root, root, 0.0
+    for k, n in enumerate(nodes):  # parents come first, and a node's descendants are the nodes that follow it
+        n.enters = n.leaves = k
+    for n in reversed(nodes):
+        if n.parent:
+            n.parent.leaves = max(n.parent.leaves, n.leaves)
+    path, x = [core], core
+    while x.parent:
+        path.append(x := x.parent)
     threshold = min(n.density for n in path)
-    top = next((n for n in path if n.tag in ("article", "main")), root)
-    # nodes come parents first: children's best is known when they are gone through backwards
+    top = next((n for n in reversed(path) if n.tag in ("article", "main")), root)
+    # a node's children's best are known when nodes are gone through backwards
     best = {}
     for n in reversed(nodes):
         best[n] = max([n, *(best[c] for c in n.children if isinstance(c, Node))], key=lambda x: x.total)
-    marks = [best[n] for n in nodes if n.density >= threshold and best[n].total > 0 and top in _path(n)]
-    common = _path(core)
-    for mark in marks:
-        if common[-1] not in (own := _path(mark)):
-            common = [a for a, b in zip(common, own, strict=False) if a is b]
-    return common[-1], threshold
+    marks = [best[n] for n in nodes[top.enters : top.leaves + 1] if n.density >= threshold and best[n].total > 0]
+    first, last = min(m.enters for m in [core, *marks]), max(m.enters for m in [core, *marks])
+    common = next(n for n in path if n.enters <= first and last <= n.leaves)
+    return common, core, threshold
 
 
-def _blocks(node: Node, threshold: float) -> Iterator[str]:
-    """The texts of blocks, in page order."""
+def _blocks(node: Node, core: Node, threshold: float, whole: bool) -> Iterator[str]:
+    """The texts of blocks, in page order; whole: no part is left out for its links."""
     open_text: list[str] = []
     stack: list[Iterator] = [iter(node.children)]
     while stack:
@@ -223,7 +245,7 @@ def _blocks(node: Node, threshold: float) -> Iterator[str]:
         open_text.clear()
         if c is None:
             stack.pop()
-        elif not (2 * c.link_chars > c.chars and c.links > 1 and c.density < threshold):
+        elif not (c.named and c.density < core.density) and (whole or not (2 * c.link_chars > c.chars and c.links > 1 and c.density < threshold)):
             stack.append(iter(c.children))
 
 
@@ -234,8 +256,11 @@ def main_text(html: str | None) -> str:
     page = Page()
     page.feed(html)
     page.close()
-    node, threshold = _main(page.root)
-    return "\n".join(_blocks(node, threshold))
+    node, core, threshold = _main(page.root)
+    x: Node | None = core
+    while x and x.tag not in ("article", "main"):
+        x = x.parent
+    return "\n".join(_blocks(node, core, threshold, x is not None))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -220,6 +221,35 @@ def test_main_text(spark):
     assert main_text.main_text(sections).count("S") == 3 and main_text.main_text(sections).startswith("T\n")
 
 
+LONG = "The price went up in the spring, and went down again before the summer. " * 10
+
+
+def test_density_decides():
+    """Pages without article and nav elements, long paragraphs with telling names, inline elements, and lists of links."""
+    menu = "<div>" + "".join(f"<a href=x>Entry {k}</a> " for k in range(30)) + "</div>"
+    page = f"<body>{menu}<div><h2>Prices</h2>" + f"<p>{LONG}</p>" * 4 + f"</div>{menu}</body>"
+    assert main_text.main_text(page) == "\n".join(["Prices", *[LONG.strip()] * 4])
+    named = f'<article><h1>T</h1><p>{LONG}</p><p class="share-price">{LONG}</p><p class="notice">We use cookies.</p><p id="sharing">{LONG}</p><div class="reader-comments"><p>{LONG}</p></div></article>'
+    assert main_text.main_text(named) == "\n".join(["T", *[LONG.strip()] * 3])
+    inline = '<article><p>Results <span class="ad">here</span> are <b hidden>not</b> good.</p></article>'
+    assert main_text.main_text(inline) == "Results here are good."
+    sources = "".join(f"<li><a href=x>A source with a long title, number {k}</a></li>" for k in range(12))
+    assert main_text.main_text(f"<article><p>{LONG}</p><ul>{sources}</ul></article>").count("\n") == 12
+    assert main_text.main_text(f"<article><table><tr><td>{LONG}<td>b<tr><td>{LONG}</table></article>") == f"{LONG.strip()}\nb\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("html", ["<div>" * 50_000 + f"<p>{LONG}</p>", ("<div>" + "</span>" * 3) * 20_000 + f"<p>{LONG}</p>", "<div><p>a b c</p>" * 30_000, "<h1>a</h1><div>" * 30_000, "<header>" * 30_000 + LONG + "</header>" * 30_000 + LONG, "<p>" + LONG * 20_000])
+def test_large_pages_take_seconds(html):
+    began = time.time()
+    assert main_text.main_text(html)
+    assert time.time() - began < 20
+
+
+def test_pages_of_an_empty_table(spark):
+    empty = main_text.extract(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
 @tables
 def test_pages_of_the_driver(spark):
     import html as H
