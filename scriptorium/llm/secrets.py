@@ -1,7 +1,8 @@
 """Secret scans: candidates by form, and a random forest that removes false findings.
 
 A candidate is a run of 16 or more characters of keys (letters, digits, + / _ - . =) with a digit, or a value of six
-or more signs, not counting punctuation at its end, that is assigned (= or :) to a name of a secret. The forest (Breiman, "Random Forests", 2001; bootstrap
+or more signs, not counting punctuation at its end, that is assigned (= or :) to a name of a secret, a run of letters,
+digits, _ . and - of any length. The forest (Breiman, "Random Forests", 2001; bootstrap
 samples, a few random features a split, Gini impurity, in numpy) judges each candidate by its length, its character
 classes and their transitions, the share of it that dictionary words cover, its likeness to paths, and the words
 before and after. It is trained from labelled findings, a table that is a parameter; without one, from findings that
@@ -47,7 +48,6 @@ DICTIONARY = (
     "style summary support system table target task template test theme thread title token tool total track update upload user value version video view web"
 ).split()
 
-_NAME_BEFORE = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{1,40})[\"'\]]{0,2}\s*(?:=>|:=|=|:)\s*[\"'`]?$")
 _SECRET_NAME = re.compile("|".join(SECRET_NAMES), re.I)
 _OTHER_NAME = re.compile(r"\b(?:" + "|".join(OTHER_NAMES) + r")\b", re.I)
 #: White space (that of Unicode too) and quotes before an assigned value, and what ends one.
@@ -60,6 +60,30 @@ _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _KEY_BYTE = np.array([chr(x).isascii() and (chr(x).isalnum() or chr(x) in "+/_-.=") for x in range(256)])
 _DIGIT = np.array([0x30 <= x <= 0x39 for x in range(256)])
 _ASSIGN = np.array([chr(x) in "=:" for x in range(256)])
+_WHITE, _IN_NAME = frozenset(b"\t\n\x0b\x0c\r "), frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+
+
+def assigned_name(data: bytes, at: int) -> str | None:
+    """The name to which what begins at a place is assigned: before =, :, := or =>, with quotes or a bracket after it."""
+    if at and data[at - 1] in b"\"'`":
+        at -= 1
+    while at and data[at - 1] in _WHITE:
+        at -= 1
+    if data[max(0, at - 2) : at] in (b"=>", b":="):
+        at -= 2
+    elif data[max(0, at - 1) : at] in (b"=", b":"):
+        at -= 1
+    else:
+        return None
+    while at and data[at - 1] in _WHITE:
+        at -= 1
+    for _ in range(2):
+        at -= bool(at and data[at - 1] in b"\"']")
+    end = at
+    while at and data[at - 1] in _IN_NAME:
+        at -= 1
+    name = data[at:end].decode().lstrip("0123456789_.-")
+    return name if len(name) > 1 else None
 
 
 def candidates(data: bytes) -> list[tuple[int, int]]:
@@ -83,9 +107,9 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
             spans.append((a, b))
     end = bare = 0  # where the last value looked at ends, with and without the punctuation at its end
     for at in np.flatnonzero(_ASSIGN[codes]).tolist():
-        before = data[max(0, at - CONTEXT) : at + 1].decode(errors="replace")
-        name = _NAME_BEFORE.search(before)
-        if name and _SECRET_NAME.search(name[1]):
+        at += data[at : at + 2] == b"=>"
+        name = assigned_name(data, at + 1)
+        if name and _SECRET_NAME.search(name):
             head = _LEAD.match(data, at + 1).end()
             if head >= end:  # else it is a part of that value, and ends where it does
                 stop = _END.search(data, head)
@@ -105,8 +129,8 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def describe(value: str, before: str, after: str) -> list[float]:
-    """Features of a candidate in its context."""
+def describe(value: str, before: str, after: str, name: str | None) -> list[float]:
+    """Features of a candidate in its context, and of the name that it is assigned to."""
     n = m = len(value)
     shape = value
     signs, at, times = np.unique(np.frombuffer(value.encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
@@ -120,7 +144,6 @@ def describe(value: str, before: str, after: str) -> list[float]:
     entropy = -sum(k / m * math.log2(k / m) for k in lower.values())
     covered = sum(len(x) for x in _WORDS.findall(shape)) / m
     runs = [len(x) for x in re.findall(r"[A-Za-z]+", shape)]
-    name = _NAME_BEFORE.search(before)
     words = re.findall(r"[A-Za-z_]+", before)[-3:]
     near = " ".join(words)
     parts = re.split(r"[/.]", shape)
@@ -128,7 +151,7 @@ def describe(value: str, before: str, after: str) -> list[float]:
         math.log(n), *share, changes, entropy, entropy / math.log2(max(2, m)), covered, max(runs, default=0) / m,
         float(bool(_HEX.fullmatch(shape))), float(bool(_UUID.fullmatch(shape))), float(n in (32, 40, 64)),
         shape.count("/"), shape.count("."), shape.count("-") + shape.count("_"), len(parts), max(map(len, parts)) / m,
-        float(bool(name)), float(bool(name and _SECRET_NAME.search(name[1]))), float(bool(_SECRET_NAME.search(near))), float(bool(_OTHER_NAME.search(near))),
+        float(bool(name)), float(bool(name and _SECRET_NAME.search(name))), float(bool(_SECRET_NAME.search(near))), float(bool(_OTHER_NAME.search(near))),
         float(before[-1:] in ("'", '"', "`") and before[-1:] == after[:1]), float("@" in after[:2] or "@" in before[-2:]), float(before.endswith(("/", "://", "\\"))),
         float(bool(re.search(r"example|sample|dummy|placeholder|your|xxxx|1234567|changeme", shape, re.I))),
     ]
@@ -187,7 +210,8 @@ class Forest:
 
 def example_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, bool]]:
     """Labelled findings (value, before, after, true) made from a seed: keys of common formats and passwords that are
-    assigned to names of secrets, and hashes, ids, paths, addresses, numbers and samples that are not secrets."""
+    assigned to names of secrets, keys of known forms and lines of key files that stand alone, and hashes, ids, paths,
+    addresses, numbers and samples that are not secrets."""
     r = random.Random(seed)
     pick = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
     hexes, mixed, word = "0123456789abcdef", string.ascii_letters + string.digits, lambda: r.choice(DICTIONARY)
@@ -195,7 +219,12 @@ def example_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
     true = [
         lambda: pick(hexes, 40, 40), lambda: pick(hexes, 32, 32), lambda: pick(hexes, 64, 64), lambda: pick(mixed, 20, 64), lambda: pick(mixed + "+/", 38, 64) + "==",
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16), lambda: "ghp_" + pick(mixed, 36, 36), lambda: "sk-" + pick(mixed, 32, 48),
-        lambda: pick(mixed + "_-", 20, 30) + "." + pick(mixed + "_-", 20, 60), lambda: pick(mixed + "!#%&*?", 8, 16),
+        lambda: pick(mixed + "_-", 20, 30) + "." + pick(mixed + "_-", 20, 60), lambda: pick(mixed + "!#%&*?", 8, 16), lambda: pick(mixed + "!#%&*?", 60, 1200),
+    ]
+    bare = [
+        lambda: ("AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16), " "), lambda: ("ghp_" + pick(mixed, 36, 36), " "), lambda: ("sk-" + pick(mixed, 24, 48), " "),
+        lambda: (f"xoxb-{pick(string.digits, 11, 12)}-{pick(string.digits, 11, 12)}-{pick(mixed, 24, 24)}", " "), lambda: (pick(mixed + "+/", 64, 64), " KEY-----\n"), lambda: (pick(mixed + "+/", 64, 64), pick(mixed + "+/", 50, 63) + "\n"),
+        lambda: ("sk-" + pick(mixed, 24, 48), f" https://{word()}.example.com/?{word()}="), lambda: ("ghp_" + pick(mixed, 36, 36), " https://"),
     ]
     false = [
         lambda: (pick(hexes, 40, 40), f" {r.choice(['commit', 'revision', 'tree', 'sha1', 'blob'])} "), lambda: (pick(hexes, 64, 64), f" {r.choice(['sha256', 'digest', 'checksum'])}: "),
@@ -214,27 +243,45 @@ def example_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
         lead = f"{filler()} {name}{r.choice([' = ', '=', ': ', ' := '])}{quote}"
         value = r.choice(true)()
         end = quote + r.choice(["", "!!", "###", "$$$", ";", ","]) + " " + filler()
-        out.append((cased(value), cased(lead)[-CONTEXT:], cased(end)[:CONTEXT], True))
+        if r.random() < 0.3:
+            value, lead = r.choice(bare)()
+            out.append((value, (filler() + lead)[-CONTEXT:], (r.choice(["", ".", ",", "\n", "@"]) + " " + filler())[:CONTEXT], True))
+        else:
+            out.append((cased(value), cased(lead)[-CONTEXT:], cased(end)[:CONTEXT], True))
         value, lead = r.choice(false)()
         out.append((cased(value), cased(filler() + lead)[-CONTEXT:], cased(r.choice(["", ".", ",", "%%%"]) + " " + filler())[:CONTEXT], False))
     return out
 
 
+def _described(value: str, before: str, after: str) -> list[float]:
+    """Features of a labelled finding, whose name is in its context."""
+    own = before.encode()
+    return describe(value, before[-CONTEXT:], after[:CONTEXT], assigned_name(own, len(own)))
+
+
 def train(findings: DataFrame | None = None, rows: int = ROWS, **forest) -> Forest:
     """A forest from labelled findings (value, before, after, label true for a secret; nulls ignored).
 
-    At most ``rows`` of them, those with the least hash, go to the driver, cut to a candidate's context.
+    Of at most ``rows`` of them, those with the least hash, the features go to the driver, never the texts.
     """
     if findings is None:
-        got = example_findings()
+        got = [(*_described(v, b, a), float(y)) for v, b, a, y in example_findings()]
     else:
-        whole = findings.filter("value is not null and value <> '' and label is not null")
-        cut = [F.substring("value", 1, 4096).alias("value"), F.expr(f"right(coalesce(before, ''), {CONTEXT})").alias("before"), F.expr(f"left(coalesce(after, ''), {CONTEXT})").alias("after")]
-        got = [tuple(x) for x in whole.select(*cut, F.col("label").cast("boolean").alias("label")).orderBy(F.xxhash64("value", "before", "after"), "value", "before", "after").limit(rows).collect()]
+        whole = findings.filter("value is not null and value <> '' and label is not null").select(
+            "value", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("boolean").alias("label")
+        )
+        chosen = whole.orderBy(F.xxhash64("value", "before", "after"), "value", "before", "after").limit(rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [[*_described(*x[:3]), float(x[3])] for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64()))], ["x"])
+
+        got = [r[0] for r in chosen.mapInArrow(run, "x array<double>").collect()]
         if not got:
             raise ValueError("no labelled finding to train from")
-    x = np.array([describe(v, b, a) for v, b, a, _ in got])
-    return Forest(**forest).fit(x, np.array([float(y) for *_, y in got]))
+    x = np.array(got)
+    return Forest(**forest).fit(x[:, :-1], x[:, -1])
 
 
 def scan_secrets(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
@@ -251,11 +298,16 @@ def scan_secrets(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFra
             for first, data, offsets in slices(part.column("text")):
                 for i in range(len(offsets) - 1):
                     text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    for a, b in candidates(text):
+                    spans = candidates(text)
+                    if not spans:
+                        continue
+                    # a character begins at each byte that goes on with none
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                    for a, b in spans:
                         value, before, after = (text[p:q].decode(errors="replace") for p, q in ((a, b), (max(0, a - CONTEXT), a), (b, b + CONTEXT)))
-                        name = _NAME_BEFORE.search(before)
-                        rows.append((first + i, len(text[:a].decode(errors="replace")), value, name[1] if name else None))
-                        x.append(describe(value, before, after))
+                        name = assigned_name(text, a)
+                        rows.append((first + i, int(chars[a]), value, name))
+                        x.append(describe(value, before, after, name))
             if rows:
                 score = forest(np.array(x))
                 keep = np.flatnonzero(score >= least)
