@@ -13,6 +13,7 @@ the earliest FIRST candidates of each of its prefix words. Only classes with mor
 meet the rest.
 """
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.cuts import cut
 from scriptorium.llm.graphs import small
-from scriptorium.llm.hashing import Words, mix, signed, slices
+from scriptorium.llm.hashing import Words, mix, signed, slices, sums
+from scriptorium.llm.prefilter import Bloom, bloom
 
-#: Counters of the sketch of word counts, and the pieces in which it is added up.
-COUNTERS, PIECES = 1 << 20, 16
+#: Counters of the sketch of word counts, the pieces in which it is added up, and the groups that add up a piece first.
+COUNTERS, PIECES, GROUPS = 1 << 20, 16, 64
 #: Bits of a word's identity within a line; with a line's number and a rank they fill 64.
 WORD_BITS, RANK_BITS = 41, 5
 #: Bytes of a slice: at most half as many lines with words, which LINE_BITS can number.
@@ -88,10 +90,15 @@ def line_classes(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(total + n.astype(np.uint64), 2)
 
 
+def line_names(ids: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """64 more bits of the hash of each line's set."""
+    return mix(sums(mix(ids, 7), begin) ^ mix(classes, 8), 9)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, line, class) of lines with words, and at the end the counts of hashed words in pieces."""
+    """Rows (doc_id, line, class in 128 bits) of lines with words, and at the end the counts of hashed words in pieces."""
     words, counts = Words(), np.zeros(COUNTERS, np.int64)
-    names = ["doc_id", "line", "cls", "piece", "counts"]
+    names = ["doc_id", "line", "cls", "cls2", "piece", "counts"]
     for batch in batches:
         for first, data, offsets, rows, number in line_slices(batch.column(1)):
             ids, begin = word_sets(words, data, offsets, None)
@@ -99,13 +106,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(np.diff(begin))
             if not len(full):
                 continue
-            classes = line_classes(ids, begin)[full]
+            classes = line_classes(ids, begin)
+            more, classes = line_names(ids, begin, classes)[full], classes[full]
             docs = batch.column(0).take(pa.array(first + rows[full]))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(number[full].astype(np.int32)), signed(classes), pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([docs, pa.array(number[full].astype(np.int32)), signed(classes), signed(more), pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.binary())], names)
     if counts.any():
         parts = pa.array([x.astype(np.uint32).tobytes() for x in np.split(np.minimum(counts, 2**32 - 1), PIECES)])
         none = pa.nulls(PIECES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(PIECES, pa.int32()), none, pa.array(range(PIECES), pa.int32()), parts], names)
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(PIECES, pa.int32()), none, none, pa.array(range(PIECES), pa.int32()), parts], names)
 
 
 def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +121,17 @@ def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     for batch in batches:
         for x in batch.column("counts"):
             total += np.frombuffer(x.as_py(), np.uint32)
-    rank = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(rank, 31).tobytes()])], ["piece", "ranks"])
+    total = np.minimum(total, 2**32 - 1).astype(np.uint32)  # over any rank
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["piece", "counts"])
 
 
 def word_ranks(pieces: DataFrame) -> np.ndarray:
-    """For each counter the logarithm of its count, 0 to 31. 1 MB whatever the input."""
+    """For each counter the logarithm of its count, 0 to 31. 4 MB reach the driver whatever the input; a task's counts are
+    added up in groups first, so no task meets those of all tasks."""
+    groups = pieces.groupBy("piece", F.pmod(F.xxhash64("counts"), F.lit(GROUPS)).alias("own")).applyInArrow(_added, "piece int, counts binary")
     rank = np.zeros((PIECES, COUNTERS // PIECES), np.uint8)
-    for piece, x in pieces.groupBy("piece").applyInArrow(_added, "piece int, ranks binary").collect():
-        rank[piece] = np.frombuffer(x, np.uint8)
+    for piece, x in groups.groupBy("piece").applyInArrow(_added, "piece int, counts binary").collect():
+        rank[piece] = np.minimum(np.ceil(np.log2(np.maximum(np.frombuffer(x, np.uint32), 1))), 31)
     return rank.ravel()
 
 
@@ -248,21 +258,27 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted word sets of the listed lines of each text: rows (cls, words)."""
-    words = Words()
-    for batch in batches:
-        wanted = batch.column(1).to_pylist()
-        for first, data, offsets, rows, number in line_slices(batch.column(0)):
-            keep = [i for i, (r, k) in enumerate(zip(rows, number, strict=True)) if int(k) in wanted[first + r]]
-            if not keep:
-                continue
-            ids, begin = word_sets(words, data, offsets, None)
-            classes = line_classes(ids, begin)[keep]
-            yield pa.RecordBatch.from_arrays([signed(classes), pa.array([ids[begin[i] : begin[i + 1]].tobytes() for i in keep], pa.binary())], ["cls", "words"])
+def _chosen_lines(of_docs: Bloom, of_classes: Bloom):
+    """Sorted word sets of lines whose doc_id and class may be wanted: rows (cls, cls2, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            batch = batch.filter(pa.array(of_docs(batch.column(0).to_numpy())))
+            for _, data, offsets, _, _ in line_slices(batch.column(1)):
+                ids, begin = word_sets(words, data, offsets, None)
+                classes = line_classes(ids, begin)
+                keep = np.flatnonzero(of_classes(classes.view(np.int64)) & (np.diff(begin) > 0))
+                keep = keep[np.unique(classes[keep], return_index=True)[1]]
+                if len(keep):
+                    found = pa.array([ids[begin[i] : begin[i + 1]].tobytes() for i in keep], pa.binary())
+                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(line_names(ids, begin, classes)[keep]), found], ["cls", "cls2", "words"])
+
+    return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["x", "x2", "y", "y2"]
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("wx"), batch.column("wy"), strict=True)):
@@ -272,7 +288,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if 100 * shared >= 80 * (len(x) + len(y) - shared):
                 keep.append(i)
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["x", "y"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in names], names)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -284,20 +300,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     without words, and rows without text or doc_id, have no part.
     """
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(docs.mapInArrow(_lines, "doc_id long, line int, cls long, piece int, counts binary"), "lines")
-    lines = rows.filter("piece is null").select("doc_id", "line", "cls")
+    rows = cut(docs.mapInArrow(_lines, "doc_id long, line int, cls long, cls2 long, piece int, counts binary"), "lines")
+    lines = rows.filter("piece is null").select("doc_id", "line", "cls", "cls2")
     ranks = word_ranks(rows.filter("piece is not null").select("piece", "counts"))
-    earliest = cut(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("cls", "at.doc_id", "at.line"), "earliest")
+    earliest = cut(lines.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("cls", "cls2", "at.doc_id", "at.line"), "earliest")
     near = cut(_later(docs, earliest, ranks), "later")
     # all lines of a class but the first, and the first too where an earlier class is similar
     mine = lines.join(
-        earliest.join(small(near), "cls", "left").select("cls", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone")), "cls"
+        earliest.join(small(near), ["cls", "cls2"], "left").select("cls", "cls2", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone")), ["cls", "cls2"]
     )
     return mine.filter("gone or doc_id <> d or line <> l").select("doc_id", "line")
 
 
 def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(cls, gone=true) of classes similar to a class that begins earlier."""
+    """(cls, cls2, gone=true) of classes similar to a class that begins earlier."""
     sent = docs.select("doc_id", "text").mapInArrow(_prefixes(ranks.tobytes()), PREFIX)
     dealt = sent.repartition("key").sortWithinPartitions("key", "doc", "line")
     met = cut(dealt.mapInArrow(_candidates, "x long, y long").distinct(), "met")
@@ -319,34 +335,46 @@ def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame
 
 
 def _similar_later(docs: DataFrame, earliest: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, gone=true) of the later class of each pair (x, y) that is similar."""
-    needed = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
-    where = cut(earliest.join(needed, "cls").groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "where")
-    sets = cut(docs.join(small(where, items="wanted"), "doc_id").select("text", "wanted").mapInArrow(_chosen_lines, "cls long, words binary").dropDuplicates(["cls"]), "words")
-    begin = earliest.select("cls", F.struct("doc_id", "line").alias("at"))
+    """(cls, cls2, gone=true) of the later class of each pair (x, y) that is similar.
+
+    Texts are read again, but only the word sets of lines that may be in pairs are shuffled.
+    """
+    needed = cut(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct(), "needed")
+    first = cut(earliest.join(small(needed), "cls"), "first")
+    chosen = _chosen_lines(bloom(first, "doc_id"), bloom(first, "cls"))
+    sets = cut(docs.select("doc_id", "text").mapInArrow(chosen, "cls long, cls2 long, words binary").join(small(first), ["cls", "cls2"]).dropDuplicates(["cls", "cls2"]), "words")
     full = (
-        pairs.join(sets.select(F.col("cls").alias("x"), F.col("words").alias("wx")), "x")
-        .join(sets.select(F.col("cls").alias("y"), F.col("words").alias("wy")), "y")
-        .select("x", "y", "wx", "wy")
-        .mapInArrow(_similar, "x long, y long")
+        pairs.join(sets.select(F.col("cls").alias("x"), F.col("cls2").alias("x2"), F.col("words").alias("wx")), "x")
+        .join(sets.select(F.col("cls").alias("y"), F.col("cls2").alias("y2"), F.col("words").alias("wy")), "y")
+        .select("x", "x2", "y", "y2", "wx", "wy")
+        .mapInArrow(_similar, "x long, x2 long, y long, y2 long")
     )
-    both = full.join(begin.select(F.col("cls").alias("x"), F.col("at").alias("ax")), "x").join(begin.select(F.col("cls").alias("y"), F.col("at").alias("ay")), "y")
-    return both.select(F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x")).alias("cls")).distinct().withColumn("gone", F.lit(True))
+    begin = first.select("cls", "cls2", F.struct("doc_id", "line").alias("at"))
+    both = full.join(small(begin).toDF("x", "x2", "ax"), ["x", "x2"]).join(small(begin).toDF("y", "y2", "ay"), ["y", "y2"])
+    later = F.when(F.col("ax") < F.col("ay"), F.struct(F.col("y").alias("cls"), F.col("y2").alias("cls2"))).otherwise(F.struct(F.col("x").alias("cls"), F.col("x2").alias("cls2")))
+    return both.select(later.alias("c")).select("c.cls", "c.cls2").distinct().withColumn("gone", F.lit(True))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without the lines that ``repeated_lines`` finds, all columns kept, and two more:
-    n_lines (lines of the text) and removed_lines (numbers of the lines taken out, in order).
+    """docs without the lines that ``repeated_lines`` finds, all columns kept, and two more (which replace columns of these
+    names): n_lines (lines of the text) and removed_lines (numbers of the lines taken out, in order).
 
-    Rows with a null text or doc_id keep their text. A text all of whose lines go becomes empty.
+    Rows with a null text or doc_id keep their text; a null text has null n_lines. A text all of whose lines go becomes
+    empty. Of repeated rows each loses the lines that one of them loses. A table without rows gives none.
     """
-    gone = cut(repeated_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_set("line")).alias("gone_lines")), "gone")
+    mark = "__" + uuid.uuid4().hex  # no column of docs has that name
+    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias(f"{mark}_id")).agg(F.array_sort(F.collect_set("line")).alias(f"{mark}_lines"))
+    gone = cut(gone, "gone")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed_lines", i), x)), lambda x: x.isNotNull())
+    # bound by a lambda, so that a text is split once; what stays is found by hashing, so time is that of the lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"{mark}_lines"))
+    whole = F.transform(F.array(F.struct(lines.alias("l"), stay.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n"))
     return (
-        docs.join(small(gone, items="gone_lines"), docs.doc_id.cast("long") == F.col("gone_id"), "left")
-        .withColumn("removed_lines", F.coalesce("gone_lines", F.expr("cast(array() as array<int>)")))
+        docs.drop("removed_lines", "n_lines")
+        .join(small(gone, items=f"{mark}_lines"), docs.doc_id.cast("long") == F.col(f"{mark}_id"), "left")
+        .withColumn("removed_lines", F.when(F.col("text").isNotNull(), F.col(f"{mark}_lines")))
+        .withColumn("removed_lines", F.coalesce("removed_lines", F.expr("cast(array() as array<int>)")))
         .withColumn("n_lines", F.size(lines))
-        .withColumn("text", F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("gone_id", "gone_lines")
+        .withColumn("text", F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.get(whole, F.lit(0))))
+        .drop(f"{mark}_id", f"{mark}_lines")
     )

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,26 @@ def test_line_dedup(spark, seed):
     assert got == want
 
 
+def test_line_dedup_of_odd_columns(spark):
+    """Columns of internal names, those that are replaced, repeated rows, and an id in a text column's type."""
+    rows = [(i, t, "u", [9], 7, "cls", i) for i, t in [(1, "a b c d e\nx"), (2, "A b c  d e\ny"), (2, "A b c  d e\ny"), (3, None), (None, "a b c d e")]]
+    docs = spark.createDataFrame(rows, f"{DOCS}, gone_lines string, removed_lines array<int>, n_lines int, cls string, gone_id int")
+    got = [(x.doc_id, x.text, x.removed_lines, x.gone_lines, x.cls, x.gone_id) for x in line_dedup.dedup_lines(docs).collect()]
+    want = [(1, "a b c d e\nx", [], "u", "cls", 1), (2, "y", [0], "u", "cls", 2), (2, "y", [0], "u", "cls", 2), (3, None, [], "u", "cls", 3), (None, "a b c d e", [], "u", "cls", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_line_dedup_of_long_texts(spark):
+    """A text of 20 MB, all of whose lines but the first are repeated, and one of a single line."""
+    base = [f"line {k} of {k * 7} has {k % 13} words {k + 5}" for k in range(300_000)]
+    one = " ".join(f"w{k}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(["first of all words here", *base])), (3, one), (4, one + " more")], DOCS)
+    began = time.time()
+    got = {x.doc_id: (x.n, x.text) for x in line_dedup.dedup_lines(docs).select("doc_id", F.size("removed_lines").alias("n"), "text").collect()}
+    assert got[2] == (300_000, "first of all words here") and got[3] == (0, one) and got[4] == (1, "")
+    assert time.time() - began < 240
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
