@@ -335,7 +335,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (x, y) of nodes with shared and union_size. Texts are read again, but only sets in pairs are shuffled."""
     ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    needed = cut(nodes.join(small(ids), "node").select("node", "rep", "cls"), "needed")
+    needed = cut(nodes.join(ids, "node").select("node", "rep", "cls"), "needed")
     found = docs.filter("doc_id is not null").mapInArrow(_sets(bloom(needed, "rep")), "rep long, cls long, shingles binary")
     sets = cut(found.join(small(needed), ["rep", "cls"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
     both = pairs.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("y", "set_y"), "y")
@@ -349,7 +349,7 @@ def linked(pairs: DataFrame) -> DataFrame:
 def class_nodes(sized: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
     """(node, cls, cls2, rep, n, bits) of the classes in near, numbered."""
     ids = near.select("cls").unionByName(near.select(F.col("hub").alias("cls"))).distinct()
-    firsts = classes.join(small(ids), "cls").select("cls", "cls2", F.col("rep").alias("doc_id"))
+    firsts = classes.join(ids, "cls").select("cls", "cls2", F.col("rep").alias("doc_id"))
     nodes = sized.join(small(firsts), ["cls", "cls2", "doc_id"]).dropDuplicates(["cls", "cls2"])
     return cut(nodes.select(F.monotonically_increasing_id().alias("node"), "cls", "cls2", F.col("doc_id").alias("rep"), "n", "bits"), "nodes")
 
@@ -363,7 +363,7 @@ def links(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     star = near.join(side("hub", "x"), "hub").join(side("cls", "y"), "cls").select("x", "y", "n_x", "n_y", "bits_x", "bits_y")
     star = cut(star.mapInArrow(_sketched, "x long, y long, may boolean, least double"), "star")
     first = measured(docs, nodes, star.filter("may").select("x", "y"))
-    rooted = small(cut(components(linked(first)), "rooted"))
+    rooted = cut(components(linked(first)), "rooted")
     # members of hubs, with what is known of their distance from the hub
     known = star.join(first, ["x", "y"], "left").join(rooted.toDF("x", "root_x"), "x", "left").join(rooted.toDF("y", "root_y"), "y", "left")
     exact, root_x, root_y = 1 - F.col("shared") / F.col("union_size"), F.coalesce("root_x", "x"), F.coalesce("root_y", "y")
