@@ -18,6 +18,11 @@ from scriptorium.functions import text as T
 from scriptorium.operators import headings as H
 from scriptorium.operators.filters import filter_chunks
 
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 Strategy = Callable[[DataFrame, int], DataFrame]
 
 
@@ -25,8 +30,13 @@ def _content(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, start, end - start + 1), "\n")
 
 
+MADE = ("chunk_no", "start_line", "end_line", "content", "heading_path")
+
+
 def _rows(docs: DataFrame, spans: Column, carried: list[str]) -> DataFrame:
-    """A row for each span (start_line, end_line, heading_path) of __lines that is not blank."""
+    """A row for each span (start_line, end_line, heading_path) of __lines that is not blank. Columns of docs that have a
+    chunk's names are replaced."""
+    carried = [_quoted(c) for c in carried if c not in MADE]
     lines = F.col("__lines")
     found = F.transform(
         spans,
@@ -105,7 +115,7 @@ def code_ast(docs: DataFrame, max_lines: int) -> DataFrame:
     """Top-level statements of Python files, and what lies between them, whole; other files, and texts that do not parse
     or give nothing, in fixed windows."""
     carried = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema)
     parsed = docs.mapInArrow(_spans, f"{schema}, __spans_py array<struct<start_line:int,end_line:int>>").withColumn("__lines", T.split_lines(F.col("text")))
     n, lines = F.size("__lines"), F.col("__lines")
     starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(max_lines))).otherwise(F.expr("cast(array() as array<int>)"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from scriptorium.config import ChunkConfig
@@ -43,3 +43,14 @@ def chunk_counts(cases: DataFrame, config: ChunkConfig) -> DataFrame:
     """(path, chunks) of the cases' files."""
     sources = cases.select("path", F.col("source_text").alias("text")).distinct()
     return chunking.chunk(sources, config).groupBy("path").agg(F.count("*").alias("chunks"))
+
+
+def of_family(cases: DataFrame, family: str) -> DataFrame:
+    return cases.filter(F.col("family") == family)
+
+
+def summary(rows: list[Row]) -> str:
+    """One line of what ``by_family`` gives for one setting."""
+    (whole,) = [r for r in rows if r.family == "all"]
+    parts = ", ".join(f"{r.family}:{r.hits}/{r.total}" for r in sorted(rows, key=lambda r: r.family) if r.family != "all")
+    return f"{whole.strategy}(max_lines={whole.max_lines}) hit_rate={whole.hits}/{whole.total}={whole.hits / whole.total:.2f} [{parts}]"

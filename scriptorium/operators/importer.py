@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,6 +28,11 @@ class ImportReport:
     failed: int
     ledger_discarded: bool
 
+    def summary(self) -> str:
+        notes = [f"{self.documents} documents, {self.chunks} chunks", *([f"{self.repaired} repaired"] * bool(self.repaired)), *([f"{self.orphans} orphans cleared"] * bool(self.orphans))]
+        notes += [f"{self.failed} failed"] * bool(self.failed) + ["the ledger told of another store"] * self.ledger_discarded
+        return f"{planner.summary(self.actions)} ({'; '.join(notes)})"
+
     @property
     def succeeded(self) -> int:
         return sum(self.actions.get(a, 0) for a in planner.WORK) - self.failed
@@ -39,13 +45,16 @@ def import_documents(
     config: ImportConfig | None = None,
     chunker: Callable[[DataFrame], DataFrame] | None = None,
     remove: bool = True,
+    clear_orphans: bool = True,
 ) -> ImportReport:
     """Brings the store up to the files (path, size, content or text). now is an ISO time.
 
     Two versions are committed: a claim, whose ledger marks what is worked on, and the result. A crash between them leaves
     rows that the next import takes over when their time is over. chunker makes chunks of docs (doc_id, path, text) and may
     give rows with a text in ``error`` instead: those documents are marked failed, the others are imported. Without
-    remove, files are taken as a part of the corpus: what they lack stays.
+    remove, files are taken as a part of the corpus: what they lack stays. Documents of the store that neither the ledger nor
+    the files know are cleared; without clear_orphans they count as removals, which the settings limit. Everything that
+    can refuse an import is checked before the claim, so a refused one leaves no trace.
     """
     config = config or ImportConfig()
     chunker = chunker or (lambda docs: chunking.chunk(docs, config.chunk))
@@ -62,17 +71,23 @@ def import_documents(
     known = ledger.count()
     planner.check_removals(plan, known, config.max_removal_ratio)
     work = planner.needs_work(plan).select("doc_id", "path", "action", "previous_doc_id")
+    texts = docs.join(work.select("doc_id"), "doc_id", "left_semi").select("doc_id", "path", "text")
+    planner.check_found(work.count(), texts.count())
+    stale = cut(store.orphans(store_docs, ledger.select("doc_id").unionByName(work.select("doc_id"))), "orphans")
+    n_orphans = stale.count()
+    if n_orphans and not clear_orphans:
+        planner.check_removals(plan, max(known, store_docs.count()), config.max_removal_ratio, n_orphans)
 
     # the claim: rows in work take the place of all rows of their id or path
     claimed = work.select("doc_id", "path", F.lit("processing").alias("status"), F.lit(0).alias("chunk_count"), F.lit(now).alias("started_at"), F.lit("").alias("ready_at"))
     kept = ledger.join(work.select("doc_id"), "doc_id", "left_anti").join(work.select("path"), "path", "left_anti")
     claim = target.commit(before, ledger=target.write(kept.select(claimed.columns).unionByName(claimed), "ledger"), store_id=target.store_id or before.store_id)
 
-    part = target.new_folder("chunks")
-    made = cut(_with_error(chunker(docs.join(work.select("doc_id"), "doc_id", "left_semi").select("doc_id", "path", "text"))), "chunks")
+    part = uuid.uuid4().hex
+    made = cut(_with_error(chunker(texts)), "chunks")
     failed = made.filter("error is not null").select("doc_id").distinct()
     good = made.filter("error is null").join(failed, "doc_id", "left_anti")
-    good.select("doc_id", "chunk_no", "start_line", "end_line", "content", "heading_path").write.parquet(f"{target.root}/{part}")
+    good.select("doc_id", "chunk_no", "start_line", "end_line", "content", "heading_path").write.parquet(target.chunk_folder(part))
     counts = good.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_chunks"))
 
     mark = failed.withColumn("bad", F.lit(True))
@@ -87,10 +102,6 @@ def import_documents(
     rest = rest.withColumn("path", F.coalesce("new_path", "path")).select(rows.columns)
     final = cut(rest.unionByName(rows), "ledger")
 
-    stale = cut(store.orphans(store_docs, ledger.unionByName(claimed)), "orphans")
-    n_orphans = stale.count()
-    if before.number and store_docs.count():
-        planner.check_removals(plan, max(known, store_docs.count()), config.max_removal_ratio, n_orphans)
     stay = store_docs.join(work.select("doc_id"), "doc_id", "left_anti").join(final.select("doc_id"), "doc_id", "left_semi").join(moved, "doc_id", "left")
     stay = stay.withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
     fresh = done.filter("bad is null").select("doc_id", "path", "n_chunks", F.lit(part).alias("part"))

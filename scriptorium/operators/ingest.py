@@ -1,12 +1,15 @@
-"""From files to documents: every file gets a status, in one pass and one shuffle by document identity."""
+"""From files to documents: every file gets a status, in one pass over contents and one shuffle of ids and paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from scriptorium.config import AdmissionConfig
 from scriptorium.functions import text as T
+from scriptorium.functions.cuts import cut, small
 from scriptorium.operators import admission
 
 
@@ -15,12 +18,13 @@ def path_order(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def ingest(files: DataFrame, config: AdmissionConfig | None = None) -> DataFrame:
+def ingest(files: DataFrame, config: AdmissionConfig | None = None, more: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """A row for each file: path, status (admitted, rejected, skipped), stage, rule, detail, doc_id, text, line_count.
 
     files has path, size and content (binary; null if it could not be read) or text in its place. Names are judged
     before suffixes, so files with keys are on record; then sizes; content is touched for what is left. Of files
-    with one text the first in scan order is admitted.
+    with one text the first in scan order is admitted. more: rules of the user by name, each from the columns of path and
+    normalized text to a condition, tried after the built-in ones.
     """
     config = config or AdmissionConfig()
     name_rule = admission.secret_name(F.col("path")) if config.block_secret_filenames else F.lit(None).cast("string")
@@ -37,15 +41,16 @@ def ingest(files: DataFrame, config: AdmissionConfig | None = None) -> DataFrame
     read = early.withColumn("text", F.when(F.col("early").isNull(), T.normalize(F.col("raw")))).drop("raw")
     unread = F.when(F.col("early").isNull() & (F.col("text").isNull() | (F.col("text") == "")), "unreadable")
     secret = admission.secret_text(F.col("text")) if config.scan_content_for_secrets else F.lit(None).cast("string")
-    judged = read.withColumn("late", F.coalesce(unread, secret))
-    judged = judged.withColumn("doc_id", F.when(F.col("early").isNull() & F.col("late").isNull(), T.fingerprint(F.col("text"))))
+    own = [F.when(breaks(F.col("path"), F.col("text")), F.lit(name)) for name, breaks in (more or {}).items()]
+    judged = read.withColumn("late", F.coalesce(unread, secret)).withColumn("own", F.when(F.col("early").isNull() & F.col("late").isNull(), F.coalesce(*own, F.lit(None))).cast("string"))
+    judged = judged.withColumn("doc_id", F.when(F.coalesce("early", "late", "own").isNull(), T.fingerprint(F.col("text"))))
+    # files are read and judged once; of what follows only ids and paths are shuffled, never texts
+    judged = cut(judged, "judged")
     order = F.struct(path_order(F.col("path")).alias("parts"), "path")
-    # a key that is never null: what is not admitted is its own group, and no filter on null repeats the rules below the join
-    judged = judged.withColumn("__key", F.coalesce("doc_id", "path", F.lit("")))
-    first = judged.groupBy("__key").agg(F.min(order).getField("path").alias("first_path"))
-    found = judged.join(first, "__key", "left")
-    copy = F.col("doc_id").isNotNull() & (F.col("first_path") != F.col("path"))
-    rule = F.coalesce("early", F.when(F.col("late") == "unreadable", "unreadable"), F.when(F.col("late").isNotNull(), "secret_content"), F.when(copy, "duplicate"))
+    groups = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.min(order).getField("path").alias("first_path"), F.count("*").alias("n"))
+    found = judged.join(small(cut(groups.filter("n > 1").drop("n"), "copies")), "doc_id", "left")
+    copy = F.coalesce(F.col("first_path") != F.col("path"), F.lit(False))
+    rule = F.coalesce("early", F.when(F.col("late") == "unreadable", "unreadable"), F.when(F.col("late").isNotNull(), "secret_content"), "own", F.when(copy, "duplicate"))
     admitted = rule.isNull()
     return found.select(
         "path",
@@ -78,3 +83,8 @@ def report(ingested: DataFrame) -> DataFrame:
         is_("stage", "loading").alias("rejected_loading"),
         F.coalesce(F.sum("line_count"), F.lit(0)).cast("long").alias("total_lines"),
     )
+
+
+def summary(row: Row) -> str:
+    """One line of a report's row."""
+    return f"{row.scanned} scanned: {row.admitted} admitted with {row.total_lines} lines, {row.skipped} skipped, {row.rejected_admission} refused, {row.rejected_loading} unreadable"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import ImportConfig
 
+#: Also the schema for a ledger from rows: createDataFrame(rows, LEDGER).
 LEDGER = "doc_id string, path string, status string, chunk_count int, started_at string, ready_at string"
 #: Actions that cost chunking and embedding.
 WORK = ("added", "updated", "resumed")
@@ -82,10 +83,43 @@ def needs_work(plan: DataFrame) -> DataFrame:
     return plan.filter(F.col("action").isin(*WORK))
 
 
+def blocks_progress(plan: DataFrame) -> DataFrame:
+    """What other imports work on now."""
+    return plan.filter("action = 'locked'")
+
+
+def in_order(plan: DataFrame) -> DataFrame:
+    """The plan by path, then action."""
+    return plan.orderBy("path", "action")
+
+
+def described(plan: DataFrame) -> DataFrame:
+    """The plan with a sentence about each row."""
+    said = (
+        F.when(F.col("action") == "renamed", F.concat("previous_path", F.lit(" -> "), "path", F.lit(" (same content)")))
+        .when(F.col("action") == "updated", F.concat("path", F.lit(" (new content, was "), "previous_doc_id", F.lit(")")))
+        .when(F.col("action") == "removed", F.concat("path", F.lit(" (gone)")))
+        .when(F.col("action") == "locked", F.concat("path", F.lit(" (in work elsewhere)")))
+        .when(F.col("action") == "resumed", F.concat("path", F.lit(" ("), F.coalesce("reason", F.lit("taken over")), F.lit(")")))
+    )
+    return plan.withColumn("description", F.coalesce(said, "path"))
+
+
+def summary(counts: dict[str, int]) -> str:
+    """One line of a plan's action counts."""
+    return ", ".join(f"{counts[a]} {a}" for a in ACTIONS if counts.get(a)) or "nothing to do"
+
+
 def action_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("n"))
 
 
+def check_found(planned: int, found: int) -> None:
+    """Every planned document must be among the scanned ones, once."""
+    if planned != found:
+        raise ValueError(f"{planned} documents are planned, {found} are in the scan")
+
+
 def check_removals(plan: DataFrame, known: int, most: float, more: int = 0) -> None:
     """Refuses a plan that would remove more than a share of the known documents; more: removals besides the plan's."""
     gone = plan.filter("action = 'removed'").count() + more

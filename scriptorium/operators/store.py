@@ -1,16 +1,17 @@
 """Versioned tables of chunks and the ledger, committed together.
 
-A version is one small JSON file that names the folders of its tables. Creating that file, which fails if another
-import made it first, is the commit. Chunks lie in the folder of the import that made them and are never rewritten;
-``docs`` says for each document where its chunks are and what its path is now. So a rename rewrites a row of ``docs``, and
-an import writes no more chunks than it makes.
+A version is one small JSON file that names the folders of its tables. It is written under another name and then
+renamed, which fails if another import made that version first: that is the commit, and readers see whole files only. Chunks
+lie in the folder of the import that made them (``chunks/part=...``) and are never rewritten; ``docs`` says for each document
+where its chunks are and what its path is now. So a rename rewrites a row of ``docs``, and an import writes no more chunks
+than it makes.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,46 +70,90 @@ class CorpusStore:
         return self.spark.read.schema(DOCS).parquet(version.docs) if version.docs else self.spark.createDataFrame([], DOCS)
 
     def chunks(self, version: Version) -> DataFrame:
-        """Chunks of the version's documents with their present paths."""
+        """Chunks of the version's documents with their present paths, from one scan of all its parts."""
         if not version.parts:
             return self.spark.createDataFrame([], f"{CHUNKS}, path string")
-        rows = None
-        for part in version.parts:
-            own = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{part}").withColumn("part", F.lit(part))
-            rows = own if rows is None else rows.unionByName(own)
+        folders = [self.chunk_folder(part) for part in version.parts]
+        rows = self.spark.read.schema(f"{CHUNKS}, part string").option("basePath", f"{self.root}/chunks").parquet(*folders)
         return rows.join(self.docs(version).select("doc_id", "part", "path"), ["doc_id", "part"]).drop("part")
 
     def document(self, version: Version, doc_id: str) -> DataFrame:
-        return self.chunks(version).filter(F.col("doc_id") == doc_id)
+        """One document's chunks; only its part is read."""
+        where = self.docs(version).filter(F.col("doc_id") == doc_id).select("part").first()
+        if where is None:
+            return self.spark.createDataFrame([], f"{CHUNKS}, path string")
+        return self.chunks(replace(version, parts=(where[0],))).filter(F.col("doc_id") == doc_id)
+
+    def put(self, doc_id: str, path: str, chunks: DataFrame) -> Version:
+        """Commits a document's chunks (chunk_no, start_line, end_line, content, heading_path) in place of those it had."""
+        if not doc_id:
+            raise ValueError("a document needs an id")
+        now, part = self.current(), uuid.uuid4().hex
+        rows = chunks.select(F.lit(doc_id).alias("doc_id"), "chunk_no", "start_line", "end_line", "content", "heading_path")
+        rows.write.parquet(self.chunk_folder(part))
+        n = self.spark.read.schema(CHUNKS).parquet(self.chunk_folder(part)).count()
+        own = self.spark.createDataFrame([(doc_id, path, n, part)], DOCS)
+        return self.commit(now, docs=self.write(self.docs(now).filter(F.col("doc_id") != doc_id).unionByName(own), "docs"), parts=(*now.parts, part))
+
+    def delete(self, doc_id: str) -> int:
+        """Commits the store without a document; the number of its chunks, 0 for one that is not there."""
+        now = self.current()
+        known = self.docs(now).filter(F.col("doc_id") == doc_id).select("n_chunks").first()
+        if known is None:
+            return 0
+        self.commit(now, docs=self.write(self.docs(now).filter(F.col("doc_id") != doc_id), "docs"))
+        return known[0]
+
+    def doc_ids(self, version: Version) -> DataFrame:
+        return self.docs(version).select("doc_id").orderBy("doc_id")
 
-    def new_folder(self, kind: str) -> str:
-        return f"{kind}/{uuid.uuid4().hex}"
+    def counts(self, version: Version) -> DataFrame:
+        """One row: documents, chunks."""
+        return self.docs(version).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"))
+
+    def views(self, version: Version, prefix: str = "corpus") -> None:
+        """The version's tables as temporary views <prefix>_ledger, <prefix>_docs and <prefix>_chunks, kept in memory once read."""
+        for name, table in (("ledger", self.ledger(version)), ("docs", self.docs(version)), ("chunks", self.chunks(version))):
+            table.cache().createOrReplaceTempView(f"{prefix}_{name}")
+
+    def chunk_folder(self, part: str) -> str:
+        return f"{self.root}/chunks/part={part}"
 
     def write(self, df: DataFrame, kind: str) -> str:
         """Writes a table to a folder of its own; the folder's whole path."""
-        path = f"{self.root}/{self.new_folder(kind)}"
+        path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
     def commit(self, before: Version, **changes) -> Version:
         """Makes the version after ``before`` current."""
         after = Version(**asdict(before) | changes | {"number": before.number + 1})
-        path = self._path(f"{self.root}/versions/{after.number:010d}.json")
-        try:
-            out = self._fs.create(path, False)
-        except Exception as e:
-            raise Conflict(f"version {after.number} was committed by another import") from e
+        target = f"{self.root}/versions/{after.number:010d}.json"
+        self._put(json.dumps(asdict(after)), target, f"version {after.number} was committed by another import")
+        return after
+
+    def _put(self, text: str, target: str, conflict: str) -> None:
+        """Writes a small file whole or not at all, and never over another."""
+        jvm, path, draft = self.spark._jvm, self._path(target), self._path(f"{target}.{uuid.uuid4().hex}.draft")
+        out = self._fs.create(draft, False)
         try:
-            out.write(bytearray(json.dumps(asdict(after)).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return after
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, options)
+        except Exception as e:
+            self._fs.delete(draft, False)
+            if self._fs.exists(path):
+                raise Conflict(conflict) from e
+            raise
 
     def compact(self) -> Version:
         """Rewrites the live chunks to one folder; the older ones are left to whoever clears up."""
         now = self.current()
-        part = self.new_folder("chunks")
-        self.chunks(now).drop("path").write.parquet(f"{self.root}/{part}")
+        part = uuid.uuid4().hex
+        self.chunks(now).drop("path").write.parquet(self.chunk_folder(part))
         return self.commit(now, parts=(part,), docs=self.write(self.docs(now).withColumn("part", F.lit(part)), "docs"))
 
 
@@ -125,8 +170,11 @@ def orphans(store_docs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def read_json_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A ledger from one JSON file {version, store_id, docs: {doc_id: row}}; older rows lack a status (then ready) or
-    have imported_at for ready_at."""
+    have imported_at for ready_at. A file that is not there is an empty ledger."""
     row = "struct<path:string,status:string,chunk_count:int,started_at:string,ready_at:string,imported_at:string>"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+        return spark.createDataFrame([], LEDGER)
     text = spark.read.text(path, wholetext=True)
     docs = text.select(F.explode(F.from_json("value", f"struct<docs:map<string,{row}>>").getField("docs")).alias("doc_id", "r"))
     known = F.when(F.col("r.status").isin("processing", "ready", "failed"), F.col("r.status")).otherwise("ready")
@@ -137,6 +185,26 @@ def read_json_ledger(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_json_ledger(ledger: DataFrame, path: str) -> None:
-    """Ledger rows as JSON lines, in a folder."""
-    ledger.write.json(path)
+def write_json_ledger(ledger: DataFrame, path: str, store_id: str = "") -> None:
+    """The ledger as one JSON file in the layout that ``read_json_ledger`` reads, keys sorted, in place of the file that was there.
+
+    For exchange only: a single file has to be written by a single task, which streams the sorted rows.
+    """
+    spark = ledger.sparkSession
+    row = F.to_json(F.struct("doc_id", "path", "status", "chunk_count", "started_at", "ready_at"))
+    first = ledger.agg(F.min("doc_id")).first()[0]
+    comma = F.when(F.col("doc_id") == F.lit(first), "").otherwise(",")
+    keyed = ledger.withColumn("quoted", F.to_json(F.array("doc_id")))
+    key = F.expr("substring(quoted, 2, length(quoted) - 2)")
+    docs = keyed.select(F.lit(1).alias("part"), "doc_id", F.concat(comma, key, F.lit(": "), row).alias("line"))
+    ends = spark.createDataFrame([(0, "", f'{{"version": 1, "store_id": {json.dumps(store_id)}, "docs": {{'), (2, "", "}}")], "part int, doc_id string, line string")
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    docs.unionByName(ends).orderBy("part", "doc_id").select("line").coalesce(1).write.text(draft)
+    jvm = spark._jvm
+    hadoop_path, conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = hadoop_path(draft).getFileSystem(conf)
+    (file,) = [x.getPath() for x in fs.listStatus(hadoop_path(draft)) if x.getPath().getName().startswith("part-")]
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(file, hadoop_path(path), options)
+    fs.delete(hadoop_path(draft), True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.config import AdmissionConfig, ChunkConfig
+from scriptorium.config import AdmissionConfig, ChunkConfig, ImportConfig
 from scriptorium.functions import text as T
-from scriptorium.operators import admission, chunking, evaluate, filters, ingest, planner, store
+from scriptorium.functions.cuts import shared_dir
+from scriptorium.operators import admission, chunking, evaluate, filters, importer, ingest, planner, store
 from scriptorium.operators import headings as H
 from scriptorium.plans import corpora as C
 from scriptorium.plans import samples
@@ -57,17 +60,25 @@ paths AS (SELECT h.path, h.ln, h.level, h.title, string_agg(a.title, ' > ' ORDER
   WHERE NOT EXISTS (SELECT 1 FROM heads b WHERE b.path = h.path AND b.ln > a.ln AND b.ln <= h.ln AND b.level <= a.level) GROUP BY ALL),
 blocks AS (SELECT path, ln AS start_line, coalesce(lead(ln) OVER (PARTITION BY path ORDER BY ln) - 1, n) AS end_line, level, title, heading_path FROM paths JOIN n_lines USING (path)
   UNION ALL SELECT path, 1, min(ln) - 1, 0, '', '' FROM heads GROUP BY path HAVING min(ln) > 1)"""
-SQL_SPLIT = f"""walk AS (
-  SELECT path, start_line AS s, end_line AS e, 0 AS i, 0 AS pos, 0 AS filled, FALSE AS cut FROM blocks WHERE end_line - start_line + 1 > {BLOCK}
+def _sql_split(most: int) -> str:
+    """Pieces of at most so many lines of the blocks."""
+    return f"""walk AS (
+  SELECT path, start_line AS s, end_line AS e, 0 AS i, 0 AS pos, 0 AS filled, FALSE AS cut FROM blocks WHERE end_line - start_line + 1 > {most}
   UNION ALL
   SELECT path, s, e, i + 1, CASE WHEN c THEN i + 1 ELSE pos END, CASE WHEN c THEN 0 ELSE f END, c FROM (
-    SELECT *, (e - s + 1 - pos > {BLOCK}) AND (i - pos + 1 >= {BLOCK} OR (blank AND i - pos + 1 >= {max(2, BLOCK // 2)} AND f >= 2)) AS c FROM (
+    SELECT *, (e - s + 1 - pos > {most}) AND (i - pos + 1 >= {most} OR (blank AND i - pos + 1 >= {max(2, most // 2)} AND f >= 2)) AS c FROM (
       SELECT w.path, w.s, w.e, w.i, w.pos, {C.sql_blank("l.line")} AS blank, w.filled + CASE WHEN {C.sql_blank("l.line")} THEN 0 ELSE 1 END AS f
       FROM walk w JOIN lines l ON l.path = w.path AND l.ln = w.s + w.i WHERE w.i <= w.e - w.s))),
 ends AS (SELECT path, s, s + i - 1 AS e FROM walk WHERE cut UNION SELECT path, start_line, end_line FROM blocks),
 pieces AS (SELECT path, coalesce(lag(e) OVER (PARTITION BY path, s ORDER BY e) + 1, s) AS start_line, e AS end_line, s FROM ends)"""
 
 
+SQL_SPLIT = _sql_split(BLOCK)
+SQL_PIECES = """SELECT p.path, p.start_line, p.end_line, b.heading_path,
+    (SELECT string_agg(l.line, chr(10) ORDER BY l.ln) FROM lines l WHERE l.path = p.path AND l.ln BETWEEN p.start_line AND p.end_line) AS content
+  FROM pieces p JOIN blocks b ON b.path = p.path AND b.start_line = p.s"""
+
+
 @query(f"WITH {C.SQL_FILES} SELECT path, substr(sha256(text), 1, 16) AS content_id, len({C.sql_lines('text')}) AS line_count FROM doc_files")
 def normalize_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.doc_texts(spark, sf_dir)
@@ -233,12 +244,67 @@ def eval_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.by_family(_cases(spark), ChunkConfig("fixed_lines", 6))
 
 
-@query()
+#: Top-level statements of the sample file of Python, as its text shows them: (path, first line, last line).
+STATEMENTS = [("service.py", 1, 1), ("service.py", 3, 3), ("service.py", 6, 11), ("service.py", 14, 20), ("service.py", 23, 25)]
+
+
+def _sql_chunks(strategy: str, k: int) -> str:
+    """Table expressions up to ``chunks``: the sample files (``sources``) by a strategy."""
+    if strategy == "fixed_lines":
+        return _sql_windows("sources", k)
+    own = "'%.py'" if strategy == "code_ast" else "'%.md'"
+    windows = f"others AS (SELECT * FROM sources WHERE path NOT LIKE {own}), " + _sql_windows("others", k).replace("chunks AS (", "windowed AS (")
+    if strategy == "code_ast":
+        spans = f"""SELECT v.path, v.start_line, v.end_line, array_to_string({C.sql_lines("text")}[v.start_line:v.end_line], chr(10)) AS content, '' AS heading_path
+  FROM (SELECT * FROM {_values(STATEMENTS, "path, start_line, end_line")}) v JOIN sources USING (path)"""
+    else:
+        windows = f"conv_md AS (SELECT path, text FROM sources WHERE path LIKE {own}), {SQL_HEADS}, {_sql_split(k)}, {windows}"
+        spans = SQL_PIECES
+    return f"""{windows}, spans AS ({spans}),
+chunks AS (SELECT * FROM windowed UNION ALL SELECT path, row_number() OVER (PARTITION BY path ORDER BY start_line) AS chunk_no, start_line, end_line, content, heading_path FROM spans WHERE NOT ({C.sql_blank("content")}))"""
+
+
+def _sql_hits(strategy: str, k: int) -> str:
+    """``by_family`` of one setting."""
+    return f"""SELECT '{strategy}' AS strategy, {k} AS max_lines, coalesce(family, 'all') AS family, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS total FROM (
+  WITH RECURSIVE {_CASES}, {_sql_chunks(strategy, k)}, {SQL_FILTERED}
+  SELECT c.family, EXISTS (SELECT 1 FROM filtered k WHERE k.drop_rule IS NULL AND k.path = c.path AND k.start_line <= c.expect_start_line AND k.end_line >= c.expect_end_line) AS hit FROM cases c) GROUP BY ROLLUP (family)"""
+
+
+SETTINGS = [(s, k) for s in ("fixed_lines", "code_ast", "markdown_heading") for k in (3, 6)]
+
+
+@query(f"SELECT strategy, CAST(max_lines AS INTEGER) AS max_lines, family, hits, total FROM ({' UNION ALL '.join(_sql_hits(*x) for x in SETTINGS)})")
 def eval_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.compare(_cases(spark), [ChunkConfig(s, k) for s in ("fixed_lines", "code_ast", "markdown_heading") for k in (3, 6)])
+    return evaluate.compare(_cases(spark), [ChunkConfig(*x) for x in SETTINGS])
 
 
-@query()
+@query(f"""WITH {_CASES}, {_sql_chunks("code_ast", 3)} SELECT path, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, content, heading_path FROM chunks""")
 def code_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _cases(spark).select("path", F.col("source_text").alias("text")).distinct()
     return chunking.code_ast(files, 3).select(_CHUNK)
+
+
+_IMPORT = f"""WITH {C.SQL_FILES}, {C.SQL_JUDGED}, {C.SQL_LEDGER}, known AS (SELECT * FROM ledger WHERE NOT (status = 'ready' AND doc_id NOT IN (SELECT doc_id FROM store_docs))),
+{SQL_PLAN.replace("FROM ledger", "FROM known")}, {_sql_windows("docs", WINDOW)}, {SQL_FILTERED},
+counted AS (SELECT path, count(*) AS n FROM filtered WHERE drop_rule IS NULL GROUP BY path),
+worked AS (SELECT p.doc_id, p.path, coalesce(n, 0) AS n FROM plan p LEFT JOIN counted c USING (path) WHERE action IN ('added', 'updated', 'resumed')),
+gone AS (SELECT doc_id FROM plan WHERE action = 'removed' UNION SELECT previous_doc_id FROM plan WHERE action = 'updated'),
+kept AS (SELECT k.doc_id, coalesce(r.path, k.path) AS path, k.status, k.chunk_count FROM known k LEFT JOIN plan r ON r.doc_id = k.doc_id AND r.action = 'renamed'
+  WHERE k.doc_id NOT IN (SELECT doc_id FROM worked) AND k.doc_id NOT IN (SELECT doc_id FROM gone)),
+final AS (SELECT * FROM kept UNION ALL SELECT doc_id, path, 'ready', n FROM worked)"""
+
+
+@query(f"""{_IMPORT} SELECT f.doc_id, f.path, status, CAST(chunk_count AS INTEGER) AS chunk_count, CAST(coalesce(w.n, s.n_chunks) AS INTEGER) AS stored
+  FROM final f LEFT JOIN worked w ON w.doc_id = f.doc_id LEFT JOIN store_docs s ON s.doc_id = f.doc_id""")
+def import_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after an import of all files into a store with finished, failed, stale, renamed, lost and orphaned documents, and
+    the number of chunks that the store has of each."""
+    ledger = C.prev_ledger(C.scanned(spark, sf_dir))
+    target = store.CorpusStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    known = C.store_docs(ledger).join(ledger.select("doc_id", "path"), "doc_id", "left").select("doc_id", "path", "n_chunks", F.lit("").alias("part"))
+    target.commit(target.current(), ledger=target.write(ledger, "ledger"), docs=target.write(known, "docs"))
+    config = ImportConfig(chunk=ChunkConfig("fixed_lines", WINDOW))
+    version = importer.import_documents(C.doc_files(spark, sf_dir), target, C.NOW, config).version
+    stored = target.docs(version).select("doc_id", F.col("n_chunks").alias("stored"))
+    return target.ledger(version).join(stored, "doc_id", "left").select("doc_id", "path", "status", "chunk_count", "stored")

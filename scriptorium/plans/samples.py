@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-SERVICE = '''import json
+SERVICE = '''import math
 
-RETRIES = 4
+GAP = 0.25
 
 
-def read_settings():
-    """Settings of the worker."""
-    return {
-        "retries": RETRIES,
-        "queue": "inbox",
-    }
+def shelf_of(year: int):
+    """The shelf and side of a year's box."""
+    shelf, place = divmod(year, 10)
+    side = "left" if place < 5 else "right"
+    where = f"{shelf}-{side}"
+    return where
 
 
-def open_queue(name: str):
-    # a queue must be named, and its name
-    # must not hold a slash
-    if not name or "/" in name:
-        raise ValueError("bad name")
-    parts = name.split(".")
-    return parts
+def total_width(boxes: list):
+    """Whole centimetres that boxes take."""
+    width = 0.0
+    for box in boxes:
+        width += box.width
+        width += GAP
+    return math.ceil(width)
 
 
-class Worker:
-    def run(self):
-        return open_queue("inbox")
+class Shelf:
+    """A row of boxes."""
+    boxes = ()
 '''
 
 GUIDE = """# Archive guide
@@ -99,10 +99,10 @@ A note is needed after the second time.
 
 #: (id, question, path, source_text, first and last expected line, family, failure_mode)
 CASES = [
-    ("read_settings", "What does the worker read?", "service.py", SERVICE, 6, 11, "code_symbol", "signature apart from body"),
-    ("open_queue", "How is a queue's name checked?", "service.py", SERVICE, 14, 20, "code_symbol", "signature apart from the check"),
-    ("worker_class", "What does a worker run?", "service.py", SERVICE, 23, 25, "code_symbol", "class apart from its method"),
-    ("retries_constant", "How often is it tried?", "service.py", SERVICE, 3, 3, "code_config", "constant lost in a large chunk"),
+    ("shelf_of", "On which shelf is a year?", "service.py", SERVICE, 6, 11, "code_symbol", "signature apart from body"),
+    ("total_width", "How wide are boxes together?", "service.py", SERVICE, 14, 20, "code_symbol", "signature apart from the sum"),
+    ("shelf_class", "What is a shelf?", "service.py", SERVICE, 23, 25, "code_symbol", "class apart from its body"),
+    ("gap_constant", "How wide is a gap?", "service.py", SERVICE, 3, 3, "code_config", "constant lost in a large chunk"),
     ("why_boxes", "Why are boxes used?", "guide.md", GUIDE, 3, 5, "doc_section", "heading apart from its text"),
     ("how_to_label", "How are boxes labelled?", "guide.md", GUIDE, 7, 9, "doc_section", "two sections in one chunk"),
     ("host_setting", "Which host is it?", "app.ini", SETTINGS, 2, 2, "code_config", "key apart from its section"),

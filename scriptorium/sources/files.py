@@ -10,6 +10,7 @@ content. Folders that are ignored or begin with a dot are not entered. The root
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from scriptorium.config import AdmissionConfig
 
 
-class _Folder(InputPartition):
-    """Files of some folders, not those below them."""
+class _Share(InputPartition):
+    """Shares of folders' own files: (folder, share, shares)."""
 
-    def __init__(self, folders: list[str]):
-        self.folders = folders
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        self.parts = parts
 
 
 class _Reader(DataSourceReader):
@@ -35,20 +36,31 @@ class _Reader(DataSourceReader):
         self.parts = int(options.get("partitions", 64))
 
     def partitions(self) -> list[InputPartition]:
-        """Folders dealt to tasks; the driver sees names of folders only."""
+        """About as many files to each task: large folders in shares by the hash of the name, small ones together. The driver
+        counts names and keeps those of folders."""
         if not os.path.isdir(self.root):
-            return [_Folder([])]
+            return [_Share([])]
         found = []
-        for folder, below, _ in os.walk(self.root):
+        for folder, below, names in os.walk(self.root):
             below[:] = [d for d in below if d not in self.ignored and not d.startswith(".")]
-            found.append(folder)
-        return [_Folder(found[k :: self.parts]) for k in range(min(self.parts, len(found)))]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        for folder in partition.folders:
+            found.append((folder, len(names)))
+        most = max(1, -(-sum(n for _, n in found) // self.parts))
+        tasks, held, count = [], [], 0
+        for folder, n in found:
+            shares = max(1, -(-n // most))
+            for k in range(shares):
+                held.append((folder, k, shares))
+                count += n / shares
+                if count >= most:
+                    tasks.append(_Share(held))
+                    held, count = [], 0
+        return [*tasks, _Share(held)] if held or not tasks else tasks
+
+    def read(self, partition: _Share) -> Iterator[tuple]:
+        for folder, share, shares in partition.parts:
             with os.scandir(folder) as entries:
                 for entry in entries:
-                    if not entry.is_file():
+                    if zlib.crc32(os.fsencode(entry.name)) % shares != share or not entry.is_file():
                         continue
                     size, content = None, None
                     try:

