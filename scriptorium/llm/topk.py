@@ -32,9 +32,9 @@ CANDIDATES, QUERIES = 8192, 1024
 #: Pivots at most, cells of a pivot at most, sampled vectors for each cell, and the components of all sampled vectors.
 PIVOTS, CELLS, SAMPLED, COMPONENTS = 64, 64, 8, 1 << 21
 #: Vectors of a leaf that is not split further, children of a node at most, and how much their radius is smaller.
-LEAF, CHILDREN, RATIO = 64, 48, 1.3
-#: Products held at a time.
-TILE = 1 << 20
+LEAF, CHILDREN, RATIO = 128, 48, 1.3
+#: Products held at a time, and candidates that a leaf of queries meets before it looks at its bounds again.
+TILE, TOGETHER = 1 << 20, 256
 _EXACT = 2.0**52
 
 
@@ -174,6 +174,33 @@ class Tree:
                 self.children = [Tree(x, rows[part == k]) for k in range(len(centres))]
 
 
+class Nodes:
+    """A tree's nodes in arrays, parents first and siblings side by side."""
+
+    def __init__(self, tree: Tree):
+        nodes, at = [tree], 0
+        begin, end = [], []
+        while at < len(nodes):
+            begin.append(len(nodes))
+            nodes += nodes[at].children
+            end.append(len(nodes))
+            at += 1
+        self.begin, self.end, self.rows = np.array(begin), np.array(end), [n.rows for n in nodes]
+        self.centre, self.radius = np.stack([n.centre for n in nodes]), np.array([n.radius for n in nodes])
+        self.norm, self.leaf = np.sqrt((self.centre**2).sum(axis=1)), self.begin == self.end
+
+    def below(self, at: np.ndarray, split: np.ndarray) -> np.ndarray:
+        """The nodes at, those to be split replaced by their children."""
+        n = self.end[at[split]] - self.begin[at[split]]
+        children = np.repeat(self.begin[at[split]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.concatenate([at[~split], children])
+
+    def bounds(self, at: np.ndarray, other: Tree) -> np.ndarray:
+        """``bound`` of each node with another tree's node."""
+        a, b, r = self.norm[at], math.sqrt(float(other.centre @ other.centre)), self.radius[at]
+        return self.centre[at] @ other.centre + r * b + other.radius * a + r * other.radius + 1 + 1e-9 * (a + r) * (b + other.radius)
+
+
 class Search:
     """The k best candidates of each query, over one pair of blocks."""
 
@@ -190,20 +217,33 @@ class Search:
         self._visit(Tree(self.q, np.arange(len(q))), Tree(self.c, np.arange(len(c))))
 
     def _visit(self, query: Tree, candidate: Tree) -> None:
-        stack = [(query, candidate)]
+        """Goes down both trees: a node of queries with the candidates' nodes that may be of use for it."""
+        nodes, stack = Nodes(candidate), [(query, np.zeros(1, np.int64))]
         while stack:
-            a, b = stack.pop()
-            if bound(a.centre, b.centre, a.radius, b.radius) < self.worst[a.rows].min():
-                continue
-            if a.children and (not b.children or a.radius >= b.radius):
-                pairs = [(x, b) for x in a.children]
-            elif b.children:
-                pairs = [(a, x) for x in b.children]
-            else:
-                self._multiply(a.rows, b.rows)
+            a, at = stack.pop()
+            while True:
+                bounds = nodes.bounds(at, a)
+                keep = bounds >= self.worst[a.rows].min()
+                at, bounds = at[keep], bounds[keep]
+                # nodes wider than the queries' give way to their children; at a leaf of queries, all do
+                split = ~nodes.leaf[at] & ((nodes.radius[at] > a.radius) | (not a.children))
+                if not split.any():
+                    break
+                at = nodes.below(at, split)
+            if a.children:
+                stack += [(c, at) for c in a.children] if len(at) else []
                 continue
-            # the best bound is met first, that is pushed last
-            stack.extend(sorted(pairs, key=lambda p: bound(p[0].centre, p[1].centre, p[0].radius, p[1].radius)))
+            order = np.argsort(-bounds, kind="stable")
+            at, bounds, begin = at[order], bounds[order], 0
+            while begin < len(at) and bounds[begin] >= self.worst[a.rows].min():
+                found = [nodes.rows[at[begin]]]
+                count = len(found[0])
+                begin += 1
+                while begin < len(at) and count < TOGETHER:
+                    found.append(nodes.rows[at[begin]])
+                    count += len(found[-1])
+                    begin += 1
+                self._multiply(a.rows, np.concatenate(found))
 
     def _multiply(self, queries: np.ndarray, candidates: np.ndarray) -> None:
         step = max(1, TILE // max(1, len(candidates)))
@@ -221,7 +261,8 @@ class Search:
         return whole(self.q[rows]) @ whole(self.c[columns]).T
 
     def _keep(self, rows: np.ndarray, columns: np.ndarray, product: np.ndarray) -> None:
-        for i, row in enumerate(rows):
+        for i in np.flatnonzero((product >= self.worst[rows][:, None]).any(axis=1)):
+            row = rows[i]
             # columns are in the order of ids, so a stable sort leaves ties to the least id
             hit = np.flatnonzero(product[i] >= self.worst[row])
             if len(hit) > 4 * self.k and self.exact:

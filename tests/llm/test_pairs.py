@@ -239,8 +239,8 @@ def test_trees_prune_products(spread, most):
     """Vectors in clusters of 64 dimensions: most products are never computed, and no result is lost."""
     r = np.random.default_rng(3)
     centres = r.normal(size=(40, 64))
-    x = np.floor(1024 * (centres[r.integers(0, 40, 4000)] + spread * r.normal(size=(4000, 64))))
-    q, ids = x[:400], np.arange(4000)
+    x = np.floor(1024 * (centres[r.integers(0, 40, 9000)] + spread * r.normal(size=(9000, 64))))
+    q, ids = x[:400], np.arange(9000)
     tree = topk.Tree(x, ids)
     stack, seen, depth = [(tree, 1)], [], 0
     while stack:
@@ -253,7 +253,7 @@ def test_trees_prune_products(spread, most):
     assert sorted(seen) == ids.tolist() and depth > 2
     found = topk.Search(q, ids[:400], x, ids, 10, np.full(400, -np.inf))
     want = [sorted((-int(s), int(j)) for j, s in enumerate(x @ v) if j != i)[:10] for i, v in enumerate(q)]
-    assert found.scores == want and found.products <= most * 400 * 4000
+    assert found.scores == want and found.products <= most * 400 * 9000
 
 
 def test_pivots_prune_blocks(spark, monkeypatch):
