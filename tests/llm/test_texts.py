@@ -134,6 +134,24 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df, templates=[]).filter("labels <> base_labels").count() == 0
 
 
+def test_whole_license_texts(spark):
+    """Texts of many lines, with a word in ten changed, within other text and in one very long text; half of one is none."""
+    import textwrap
+
+    r = random.Random(8)
+    rows, want = [], []
+    for k, (label, text) in enumerate(licenses.TEXTS.items()):
+        words = text.split()
+        changed = [w if r.random() > 0.08 else f"w{r.randrange(99)}" for w in words]
+        rows.append((3 * k, "Copyright someone\n\n" + textwrap.fill(" ".join(changed), 72) + "\nand more"))
+        rows.append((3 * k + 1, "x y z " * 100_000 + "\n".join(words)))
+        rows.append((3 * k + 2, "\n".join(textwrap.wrap(" ".join(words[: len(words) // 3]), 60))))
+        want += [(3 * k, label, True), (3 * k + 1, label, True), (3 * k + 2, label, False)]
+    none = [t for t in licenses.TEMPLATES if t[1] in {" ".join(re.findall("[a-z0-9]+", x.lower())) for x in licenses.TEXTS.values()}]
+    got = {x.doc_id: x.labels.split(",") for x in licenses.scan_licenses(spark.createDataFrame(rows, DOCS), phrases={}, templates=none, wrapped=True).collect()}
+    assert [(i, label, label in got[i]) for i, label, _ in want] == want
+
+
 def test_licenses_over_line_ends(spark, tmp_path):
     import textwrap
 
