@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Rows that go to a Python worker at once while a table is cut; of long texts, Spark's 10,000 fill a worker's memory.
+ARROW_ROWS, _ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ARROW_ROWS rows for what runs inside; the session's own setting comes back after it."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df once as Parquet under the shared folder and read it back.
 
@@ -29,7 +46,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
