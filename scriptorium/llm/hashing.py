@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: All bytes below 0x80 but digits and letters.
 NOT_ALNUM = bytes(x for x in range(0x80) if not chr(x).isalnum())
