@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths of tables that go at the end of the innermost ``scratch``.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end, so what is returned from inside must be cut by ``keep``."""
+    before = _passing.set([])
+    try:
+        yield
+    finally:
+        paths = _passing.get()
+        _passing.reset(before)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df as a table that outlives every ``scratch`` around."""
+    token = _passing.set(None)
+    try:
+        return cut(df, name)
+    finally:
+        _passing.reset(token)
+
+
 #: Rows that go to a Python worker at once while a table is cut; of long texts, Spark's 10,000 fill a worker's memory.
 ARROW_ROWS, _ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -46,6 +74,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

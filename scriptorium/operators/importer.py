@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.config import ImportConfig
-from scriptorium.functions.cuts import cut
+from scriptorium.functions.cuts import cut, scratch
 from scriptorium.operators import chunking, ingest, planner, store
 from scriptorium.operators.store import CorpusStore, Version
 
@@ -56,7 +56,11 @@ def import_documents(
     the files know are cleared; without clear_orphans they count as removals, which the settings limit. Everything that
     can refuse an import is checked before the claim, so a refused one leaves no trace.
     """
-    config = config or ImportConfig()
+    with scratch(target.spark):
+        return _import(files, target, now, config or ImportConfig(), chunker, remove, clear_orphans)
+
+
+def _import(files: DataFrame, target: CorpusStore, now: str, config: ImportConfig, chunker: Callable[[DataFrame], DataFrame] | None, remove: bool, clear_orphans: bool) -> ImportReport:
     chunker = chunker or (lambda docs: chunking.chunk(docs, config.chunk))
     before = target.current()
     docs = cut(ingest.documents(ingest.ingest(files, config.admission)), "docs")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import AdmissionConfig, ChunkConfig, FilterConfig, ImportConfig
 from scriptorium.functions import text as T
+from scriptorium.functions.cuts import shared_dir
 from scriptorium.operators import chunking, evaluate, filters, ingest, planner
 from scriptorium.operators.importer import import_documents
 from scriptorium.operators.store import Conflict, CorpusStore, read_json_ledger, write_json_ledger
@@ -226,7 +227,9 @@ def test_an_import_that_is_refused_leaves_no_trace(spark, tmp_path):
     with pytest.raises(planner.RemovalRefused):
         import_documents(files, target, NOW, clear_orphans=False)
     assert target.current() == lost and {r.path for r in target.ledger(lost).collect()} == {"d0.md", "d1.md"}
+    tables = os.listdir(shared_dir(spark).removeprefix("file:"))
     report = import_documents(files, target, NOW)
+    assert os.listdir(shared_dir(spark).removeprefix("file:")) == tables  # an import leaves none of its own
     assert report.orphans == 4 and report.summary() == "1 added, 2 unchanged (3 documents, 3 chunks; 4 orphans cleared)"
     assert set(_state(target)[0]) == {"d0.md", "d1.md", "n.md"}
     with pytest.raises(ValueError):
