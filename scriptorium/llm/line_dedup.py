@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.cuts import cut
+from scriptorium.functions.cuts import cut, keep, scratch
 from scriptorium.llm.graphs import small
 from scriptorium.llm.hashing import Words, mix, signed, slices, sums
 from scriptorium.llm.prefilter import Bloom, bloom
@@ -363,8 +363,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty. Of repeated rows each loses the lines that one of them loses. A table without rows gives none.
     """
     mark = "__" + uuid.uuid4().hex  # no column of docs has that name
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias(f"{mark}_id")).agg(F.array_sort(F.collect_set("line")).alias(f"{mark}_lines"))
-    gone = cut(gone, "gone")
+    with scratch(docs.sparkSession):
+        gone = repeated_lines(docs).groupBy(F.col("doc_id").alias(f"{mark}_id")).agg(F.array_sort(F.collect_set("line")).alias(f"{mark}_lines"))
+        gone = keep(gone, "gone")
     lines = F.split("text", "\n", -1)
     # bound by a lambda, so that a text is split once; what stays is found by hashing, so time is that of the lines
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"{mark}_lines"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.cuts import cut
+from scriptorium.functions.cuts import cut, keep, scratch
 from scriptorium.llm.graphs import components, small
 from scriptorium.llm.hashing import Words, mix, shingle_sets, signed, slices, sums
 from scriptorium.llm.prefilter import Bloom, bloom
@@ -388,6 +388,11 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     component. Repeated rows get equal results; rows with one doc_id and different texts each have the component of
     their own text. Other columns are ignored, whatever their names. A table without rows gives none.
     """
+    with scratch(docs.sparkSession):
+        return keep(_components_of(docs))
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(docs.mapInArrow(_classes, "doc_id long, n long, cls long, cls2 long, bits binary, piece int, counts binary"), "classes")
     sized = rows.filter("piece is null").drop("piece", "counts")

@@ -208,7 +208,7 @@ class Forest:
         return total / max(1, len(self.nodes))
 
 
-def example_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, bool]]:
+def example_findings(n: int = 9000, seed: int = 7) -> list[tuple[str, str, str, bool]]:
     """Labelled findings (value, before, after, true) made from a seed: keys of common formats and passwords that are
     assigned to names of secrets, keys of known forms and lines of key files that stand alone, and hashes, ids, paths,
     addresses, numbers and samples that are not secrets."""
@@ -219,10 +219,10 @@ def example_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
     true = [
         lambda: pick(hexes, 40, 40), lambda: pick(hexes, 32, 32), lambda: pick(hexes, 64, 64), lambda: pick(mixed, 20, 64), lambda: pick(mixed + "+/", 38, 64) + "==",
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16), lambda: "ghp_" + pick(mixed, 36, 36), lambda: "sk-" + pick(mixed, 32, 48),
-        lambda: pick(mixed + "_-", 20, 30) + "." + pick(mixed + "_-", 20, 60), lambda: pick(mixed + "!#%&*?", 8, 16), lambda: pick(mixed + "!#%&*?", 60, 1200),
+        lambda: pick(mixed + "_-", 20, 30) + "." + pick(mixed + "_-", 20, 60), lambda: pick(hexes, 12, 28), lambda: pick(mixed + "!#%&*?", 8, 16), lambda: pick(mixed + "!#%&*?", 60, 1200),
     ]
     bare = [
-        lambda: ("AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16), " "), lambda: ("ghp_" + pick(mixed, 36, 36), " "), lambda: ("sk-" + pick(mixed, 24, 48), " "),
+        *[lambda: ("AKIA" + pick(string.ascii_uppercase + string.digits * k, 16, 16), " ") for k in (1, 1, 2)], lambda: ("ghp_" + pick(mixed, 36, 36), " "), lambda: ("sk-" + pick(mixed, 24, 48), " "),
         lambda: (f"xoxb-{pick(string.digits, 11, 12)}-{pick(string.digits, 11, 12)}-{pick(mixed, 24, 24)}", " "), lambda: (pick(mixed + "+/", 64, 64), " KEY-----\n"), lambda: (pick(mixed + "+/", 64, 64), pick(mixed + "+/", 50, 63) + "\n"),
         lambda: ("sk-" + pick(mixed, 24, 48), f" https://{word()}.example.com/?{word()}="), lambda: ("ghp_" + pick(mixed, 36, 36), " https://"),
     ]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.cuts import cut
+from scriptorium.functions.cuts import cut, keep, scratch
 
 #: Vectors in a block of candidates and of queries, about.
 CANDIDATES, QUERIES = 8192, 1024
@@ -304,6 +304,11 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
     as followed by zeros. Rows equal in id and vector count once. A query has fewer than k rows if there are fewer
     candidates. Scores outside the range of a long are set to its ends.
     """
+    with scratch(vectors.sparkSession):
+        return keep(_best(vectors, queries, k, scale, candidates, query_block))
+
+
+def _best(vectors: DataFrame, queries: str, k: int, scale: float, candidates: int, query_block: int) -> DataFrame:
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_quantized(scale), "vec_id long, v binary")
     clean = cut(clean.distinct(), "vectors")
     copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))

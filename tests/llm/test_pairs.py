@@ -1,5 +1,7 @@
 """Near-duplicate joins, line dedup, top-k search and decontamination against brute force."""
 
+import contextlib
+import os
 import random
 import re
 import time
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.functions.cuts import cut
+from scriptorium.functions.cuts import cut, shared_dir
 from scriptorium.llm import decontaminate, hashing, line_dedup, ngram_join, topk
 from scriptorium.llm.graphs import components
 from scriptorium.llm.ngram_join import ngram_components
@@ -87,6 +89,17 @@ def test_ngram_components_of_odd_tables(spark):
     assert got == [(0, 2, 0), (3, 1, 3), (3, 1, 3), (4, 1, 3), (5, 20011, 5), (7, 0, 7), (9, 20012, 5)]
 
 
+def test_operators_leave_one_table(spark):
+    """What an operator cuts on its way is deleted at its end, but for the table that its result reads."""
+    folder = shared_dir(spark).removeprefix("file:")
+    docs = spark.createDataFrame([(1, "a b c d e f g\nh i j k l"), (2, "a b c d e f g\nh i j k l m")], DOCS)
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (100, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    for f in (lambda: ngram_components(docs), lambda: line_dedup.dedup_lines(docs), lambda: topk.top_k(vectors)):
+        before = set(os.listdir(folder))
+        found = f()
+        assert len(set(os.listdir(folder)) - before) == 1 and found.count() == 2
+
+
 def test_linked_sets_share_a_signature():
     r = np.random.default_rng(0)
     common = np.zeros(ngram_join.COUNTERS, bool)
@@ -262,6 +275,7 @@ def test_pivots_prune_blocks(spark, monkeypatch):
     centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(12)]
     rows = [(i, [x + r.gauss(0, 0.02) for x in centres[i // 100]]) for i in range(1200)]
     met = []
+    monkeypatch.setattr(topk, "scratch", lambda session: contextlib.nullcontext())
     monkeypatch.setattr(topk, "cut", lambda df, name: met.append((name, cut(df, name))) or met[-1][1])
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), candidates=100, query_block=1).collect()
     assert {tuple(x) for x in got} == _brute_top(rows, 10)

@@ -1,12 +1,14 @@
 """Operators on single texts: tokenizer, language, quality, licenses, secrets, main text; and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
 import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -68,6 +70,148 @@ def test_language(spark):
     assert none.lang_pred == "und" and not none.accepted
 
 
+def _mixed(value, salt=0):
+    """``hashing.mix`` of one number, plainly."""
+    m = (1 << 64) - 1
+    x = (value + salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & m
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+    return x ^ (x >> 31)
+
+
+def test_language_scores_against_a_restatement(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(("uno dos três", "één twee drie", "Één čaj", "x1y zz")) for _ in range(r.randint(1, 9))), r.choice("pq")) for i in range(80)]
+    model = language.fit_on_documents(spark.createDataFrame(rows, f"{DOCS}, lang string"))
+
+    def plain(text):
+        data, total, seen, n = text.lower().encode(), [0.0] * len(model.languages), 0, 0
+        letter = [c >= 0x80 or chr(c).isalpha() for c in data]
+        for k in (1, 2, 3, 4):
+            for i in range(len(data) - k + 1):
+                if (letter[i] or letter[i + k - 1]) and all(letter[i + 1 : i + k - 1]):
+                    value = k
+                    for c, own in zip(data[i : i + k], letter[i : i + k], strict=True):
+                        value = (value * 257 + (c if own else 0)) % (1 << 64)
+                    bucket = _mixed(value) % language.BUCKETS
+                    total = [t + float(s) for t, s in zip(total, model.scores[bucket], strict=True)]
+                    seen, n = seen + bool(model.known[bucket]), n + 1
+        e = [math.exp(t / n) for t in total]
+        best = max(range(len(e)), key=lambda j: e[j])
+        return model.languages[best], e[best] / sum(e), e[best] / sum(e) >= model.least_probability and seen / n >= model.least_known
+
+    texts = [t for _, t, _ in rows[:40]] + ["a", "één\n\ndos", "Ünknown words of no sample 12"]
+    for x in language.predict(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect():
+        lang, score, accepted = plain(x.text)
+        assert (x.lang_pred, x.accepted) == (lang, accepted) and abs(x.score - score) < 1e-6, x.text
+
+
+def test_language_samples_are_bounded(spark, monkeypatch):
+    """Many labels, and counts of more bytes than may go to the driver: fewer rows of each label are taken."""
+    monkeypatch.setattr(language, "ALL_BYTES", 150_000)
+    monkeypatch.setattr(language, "ALL_ROWS", 120)
+    r = random.Random(4)
+    sounds = {"aa": "lomisature", "bb": "krtschpflu"}
+    rows = [(i, " ".join("".join(r.choice(sounds[k]) for _ in range(6)) for _ in range(300)), k) for i, k in enumerate(r.choice(("aa", "bb")) for _ in range(300))]
+    got = language.identify(spark.createDataFrame(rows, f"{DOCS}, lang string")).collect()
+    assert {x.doc_id: x.lang_pred for x in got} == {i: k for i, _, k in rows}
+
+
+def test_long_and_odd_texts_of_models(spark):
+    """Empty tables, a null doc_id, a text of 20 MB, and columns with the results' names."""
+    rows = [(i, "some plain words of a text " * 3, 1) for i in range(30)] + [(100, "word " * 4_000_000, 0), (None, "no id", 1), (101, None, 0)]
+    docs = spark.createDataFrame([(*x[:2], "en", "c", False) for x in rows], f"{DOCS}, lang string, predicted string, held_out boolean")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    assert quality.rate(docs, labels).count() == language.identify(docs).count() == pieces.digests(docs, piece_model()).count() == len(rows)
+    none = docs.limit(0)
+    assert quality.rate(none, labels).count() == language.identify(none).count() == pieces.digests(none, piece_model()).count() == licenses.scan_licenses(none).count() == 0
+    assert licenses.scan_licenses(docs).filter("n_words = 4000000").count() == 1
+
+
+def test_quality_scores_against_a_restatement(spark):
+    r = random.Random(7)
+    pieces_of = ["word", "Word", "two words here", "!!", "1 2 3", "é ß", "\n", "\n\n", "| a |", "  ", "\t", "word word word"]
+    texts = ["".join(r.choice([*pieces_of, " "]) for _ in range(r.randint(0, 30))) for _ in range(120)] + ["", " ", "\n", "a"]
+    table = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    model = quality.fit(table.withColumn("label", F.when(F.col("text").contains("!"), 0).otherwise(1)))
+
+    def plain(t):
+        data, low = t.encode(), re.sub("[A-Z]+", lambda m: m.group().lower(), t)
+        n, words, lines = len(data), re.findall(r"[^\x20\x09-\x0D]+", low), [x for x in low.split("\n") if x]
+        kinds = [[x] for x in range(0x21, 0x7F) if not chr(x).isalnum()] + [list(b"0123456789"), list(range(65, 91)), list(range(97, 123)), list(range(128, 256)), [32]]
+        known = {x for k in kinds for x in k}
+        x = [sum(c in k for c in data) / max(n, 1) for k in kinds] + [sum(c not in known for c in data) / max(n, 1)]
+        runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        again = [sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1)] + [(len(y) - len(set(y))) / max(len(y), 1) for y in (words, runs)]
+        x += [*again, 1 - len(set(lines)) / max(len(lines), 1), again[1] / max(math.log1p(len(words)), 1)]
+        x = [min(10 * v, 1) for v in x] + [v**0.5 for v in x] + [math.log1p(len(words)), math.log1p(n / max(len(words), 1))]
+        strength = sum(w * max(-8, min(8, (v - c) / s)) for v, w, c, s in zip(x, model.weights, model.centre, model.scale, strict=True))
+        return 1 / (1 + math.exp(-max(-30, min(30, (strength - model.threshold) / model.spread))))
+
+    for x in quality.score(table, model).collect():
+        assert abs(x.score - plain(x.text)) < 1e-6 and x.predicted == int(x.score >= 0.5), x.text
+
+
+def test_secret_spans_and_votes_against_a_restatement():
+    r = random.Random(12)
+    key, forest = "abcXYZ019+/_-.=", secrets.train(trees=7, depth=5)
+    ends = " \t\n\"'`,;<>(){}"
+
+    def plain(t):
+        spans = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", t):
+            if re.search(r"[0-9]", m[0]):
+                a, b = m.start(), m.end()
+                if name := re.match(r"[A-Za-z_][A-Za-z0-9_.-]*=(?=.)", m[0]):
+                    a += name.end()
+                while b > a and t[b - 1] in ".-":
+                    b -= 1
+                while a < b and t[a] in ".-=":
+                    a += 1
+                spans += [(a, b)] * (b - a >= 16)
+        done = 0
+        for i, c in enumerate(t):
+            if c not in "=:":
+                continue
+            head = re.match(r"^.*?([A-Za-z][A-Za-z0-9_.-]+)[\"'\]]{0,2}[ \t\n]*(?:=>|:=|=|:)$", t[: i + 1], re.S)
+            if head and re.search("|".join(secrets.SECRET_NAMES), re.search(r"[A-Za-z][A-Za-z0-9_.-]+$", re.sub(r"[\"'\]]{0,2}[ \t\n]*(?::=|=|:)$", "", t[: i + 1]))[0], re.I):
+                a = i + 1 + len(re.match(r"[ \t\n]*[\"'`]?", t[i + 1 :])[0])
+                if a >= done:
+                    b = a
+                    while b < len(t) and t[b] not in ends:
+                        b += 1
+                    done = b
+                    while b > a and t[b - 1] in "!#$%&*.?":
+                        b -= 1
+                    stop = b
+                spans += [(a, stop)] * (stop - a >= 6)
+        out = []
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if not out or a >= out[-1][1]:
+                out.append((a, b))
+        return out
+
+    def votes(x):
+        total = 0.0
+        for feature, threshold, first, second, share in forest.nodes:
+            at = 0
+            while feature[at] >= 0:
+                at = first[at] if x[feature[at]] <= threshold[at] else second[at]
+            total += share[at]
+        return total / len(forest.nodes)
+
+    found = 0
+    for _ in range(3000):
+        t = "".join(r.choice(["token", "password", "x_pwd", " ", "=", ":", '"', "'", "!", "\n", "".join(r.choice(key) for _ in range(r.randint(1, 30)))]) for _ in range(r.randint(1, 12)))
+        spans = secrets.candidates(t.encode())
+        assert spans == plain(t), t
+        for a, b in spans:
+            x = secrets.describe(t[a:b], t[max(0, a - 64) : a], t[b : b + 64], secrets.assigned_name(t.encode(), a))
+            assert abs(float(forest(np.array([x]))[0]) - votes(x)) < 1e-9
+            found += 1
+    assert found > 1000
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
 def test_unlearned_languages_and_noise_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -196,8 +340,6 @@ def test_secrets(spark):
     assert hashlib.sha256(key.upper().encode()).hexdigest() in by_text
     assert hashlib.sha256(b"9807915762804490").hexdigest() not in by_text
     held = secrets.example_findings(1000, seed=99)
-    import numpy as np
-
     score = forest(np.array([secrets._described(*x[:3]) for x in held]))
     assert ((score >= 0.5) == [x[3] for x in held]).mean() > 0.97
     own = spark.createDataFrame([(*x, None) for x in held], "value string, before string, after string, label boolean, extra string")
