@@ -10,6 +10,7 @@ Approximate String Matching Based on Dynamic Programming", 1999).
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -191,5 +192,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, least
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:
     """docs' rows, all columns kept, without the documents in which ``leaks`` finds an item. Rows with a null text or doc_id stay."""
-    bad = leaks(docs, benchmark, **limits).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, docs.doc_id.cast("long") == F.col("__leaked"), "left_anti")
+    mark = "__" + uuid.uuid4().hex  # no column of docs has that name
+    bad = leaks(docs, benchmark, **limits).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(bad, docs.doc_id.cast("long") == F.col(mark), "left_anti")

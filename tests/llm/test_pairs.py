@@ -359,6 +359,19 @@ def test_crowds_of_similar_lines(spark, monkeypatch):
     assert got == {i: [k for k in (0, 1) if gone[2 * i + k]] for i in range(110)} and 20 < sum(gone) < 218
 
 
+def test_leaks_in_long_texts_and_odd_tables(spark):
+    """A text of 6 MB with an item at its end, repeated rows, a row without doc_id, and columns of any name."""
+    item = "what is the boiling point of water at the top of a high mountain in degrees"
+    long = "many words of no item at all " * 200_000 + item.replace("high", "hihg")
+    rows = [(1, long, 0, "x"), (2, item, 0, "x"), (2, item, 0, "x"), (None, item, 0, "x"), (3, None, 0, "x"), (4, "clean", 0, "x")]
+    docs = spark.createDataFrame(rows, f"{DOCS}, edits int, __leaked string")
+    bench = spark.createDataFrame([(7, item, "en"), (8, None, None), (7, item, "en")], "item_id long, text string, doc_id string")
+    got = sorted((x.doc_id, x.item_id, x.edits, x.first_word) for x in decontaminate.leaks(docs, bench, least_words=1).collect())
+    assert got == [(1, 7, 2, 1_400_000), (2, 7, 0, 0)]
+    left = decontaminate.decontaminate(docs, bench, least_words=1)
+    assert left.columns == docs.columns and sorted((x.doc_id or 0) for x in left.collect()) == [0, 3, 4]
+
+
 def test_leaks_of_items_of_few_words(spark):
     chinese = "光合作用是绿色植物利用光能把二氧化碳和水合成为有机物并释放氧气的过程" * 4
     items = [chinese, "你好世界", "Who?", "internationalization considerations explained", "cat", "...", "café", "สวัสดี"]

@@ -479,3 +479,22 @@ def test_pipeline(spark):
     for i in sorted(text):
         first.setdefault(text[i], i)
     assert not ids & leaked and ids <= set(first.values()) and len(ids) > 0.8 * len(set(first.values()))
+
+
+@tables
+def test_pipeline_stages_on_odd_rows(spark):
+    """Empty tables, nulls in every column, rows without doc_id, repeated rows, rows of one doc_id with two texts, clashing names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = docs.filter("lang = 'en' and n_chars between 300 and 2000").orderBy("doc_id").first().text
+    own, near = base.replace("\n", " "), base.replace("\n", " ") + " end"
+    rows = [(10**6, own), (10**6 + 1, near), (10**6 + 1, "an other text of the same number"), (10**6 + 2, near), (10**6 + 3, None), (None, own), (10**6 + 4, ""), (10**6 + 5, "one row twice"), (10**6 + 5, "one row twice"), (None, None)]
+    odd = spark.createDataFrame([(i, t, None, None, None, "u", [1], 2, True, 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rep string, removed_lines array<int>, cls int, accepted boolean, score double")
+    names = [n for n, _ in pipeline.STAGES]
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, odd, SF)
+        assert found.columns == docs.columns or name == names[-1]
+        assert found.count() == len(rows) or name != "benchmark_decontamination"
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in dict(pipeline.STAGES)["ngram_jaccard_join"](spark, odd, SF).collect()))
+    assert kept == sorted((i or 0, t or "") for i, t in rows if i != 10**6 + 2)
