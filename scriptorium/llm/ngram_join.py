@@ -207,10 +207,16 @@ def _first(first: Bloom, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return first((mix(ids.astype(np.int64).view(np.uint64), 15) ^ classes).view(np.int64))
 
 
-def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, classes = (batch.column(c).to_numpy().view(np.uint64) for c in ("rep", "cls"))
-        yield pa.RecordBatch.from_arrays([signed(mix(ids, 15) ^ classes)], ["id"])
+def _first_keys(copied: Bloom):
+    """Keys of the first rows of all classes that the filter takes for copied ones, those that it takes wrongly included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(copied(batch.column("cls").to_numpy())))
+            ids, classes = (batch.column(c).to_numpy().view(np.uint64) for c in ("rep", "cls"))
+            yield pa.RecordBatch.from_arrays([signed(mix(ids, 15) ^ classes)], ["id"])
+
+    return run
 
 
 def near_classes(docs: DataFrame, classes: DataFrame, common: np.ndarray) -> DataFrame:
@@ -222,8 +228,8 @@ def near_classes(docs: DataFrame, classes: DataFrame, common: np.ndarray) -> Dat
         if (total := total + count) > COPIED:
             break
         least = level
-    many = classes.filter(F.col("copies") >= F.lit(1 << max(1, least)))
-    signer = _signer(common, bloom(many, "cls"), bloom(many.select("rep", "cls").mapInArrow(_first_keys, "id long"), "id"))
+    copied = bloom(classes.filter(F.col("copies") >= F.lit(1 << max(1, least))), "cls")
+    signer = _signer(common, copied, bloom(classes.select("rep", "cls").mapInArrow(_first_keys(copied), "id long"), "id"))
     rows = docs.filter("doc_id is not null").mapInArrow(signer, "key long, cls long, common int, sig long")
     by = Window.partitionBy("key").orderBy(F.desc("common"), "cls")
     met = rows.select("sig", "cls", F.lag("cls").over(by).alias("before"), F.first("cls").over(by).alias("hub"), F.first("common").over(by).alias("common"))

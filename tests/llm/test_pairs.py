@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.cuts import cut, shared_dir
-from scriptorium.llm import decontaminate, hashing, line_dedup, ngram_join, topk
+from scriptorium.llm import decontaminate, hashing, line_dedup, ngram_join, prefilter, topk
 from scriptorium.llm.graphs import components
 from scriptorium.llm.ngram_join import ngram_components
 
@@ -136,6 +136,16 @@ def test_ngram_components_of_repeated_ids(spark):
     assert sorted(tuple(x) for x in got) == _brute_components(rows)
 
 
+def test_ngram_components_with_filters_that_err(spark, monkeypatch):
+    """Filters that take most classes for copied ones, and most ids for wanted ones, lose no link."""
+    for name, value in (("SPARE", 1), ("HASHES", 1), ("LEAST", 6)):
+        monkeypatch.setattr(prefilter, name, value)
+    texts = [t for t in _near_corpus(3) if t]
+    rows = list(enumerate(texts + texts[::3]))
+    got = sorted(tuple(x) for x in ngram_components(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
+    assert got == _brute_components(rows)
+
+
 def test_ngram_components_of_crowds(spark, monkeypatch):
     """A thousand near copies around several centres, in blocks of few; many of them are apart from their hub."""
     monkeypatch.setattr(ngram_join, "BLOCK", 64)
