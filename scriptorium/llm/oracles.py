@@ -58,3 +58,16 @@ marked AS (SELECT l.doc_id, l.k, l.line, len(l.s) > 0 AND (g.s IS NOT NULL OR st
   FROM sets l LEFT JOIN classes c ON c.s = l.s LEFT JOIN later g ON g.s = l.s)
 SELECT doc_id, count(*) AS n_lines, coalesce(list(CAST(k AS INTEGER) ORDER BY k) FILTER (gone), []) AS removed_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256
 FROM marked GROUP BY doc_id"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM pieces, (VALUES (1), (2), (3)) AS t(k)),
+counts AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY lang, k, p HAVING count(*) >= 10),
+cuts AS (SELECT c.lang, c.k, c.p, c.f AS a, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score, x.k AS first_words
+  FROM counts c JOIN counts x ON x.lang = c.lang AND x.k < c.k AND x.p = c.p[1:x.k] JOIN counts y ON y.lang = c.lang AND y.k = c.k - x.k AND y.p = c.p[x.k + 1:c.k]),
+scored AS (SELECT lang, k, p, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, first_words) AS o FROM cuts) WHERE o = 1),
+longest AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, p[1:2] AS p, f FROM counts WHERE k = 3 UNION ALL SELECT lang, p[2:3], f FROM counts WHERE k = 3) GROUP BY lang, p),
+kept AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.l, s.r, s.score FROM scored s LEFT JOIN longest g ON g.lang = s.lang AND g.p = s.p WHERE g.f IS NULL OR 100 * g.f < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
