@@ -28,10 +28,8 @@ from scriptorium.llm.prefilter import Bloom, bloom
 
 #: Counters of the sketch of word counts, the pieces in which it is added up, and the groups that add up a piece first.
 COUNTERS, PIECES, GROUPS = 1 << 20, 16, 64
-#: Bits of a word's identity within a line; with a line's number and a rank they fill 64.
-WORD_BITS, RANK_BITS = 41, 5
-#: Bytes of a slice: at most half as many lines with words, which LINE_BITS can number.
-BYTES, LINE_BITS = 1 << 18, 18
+#: Bits of a word's rank, and bytes of a slice.
+RANK_BITS, BYTES = 5, 1 << 18
 #: Candidates of a word that a class meets at first; rows handled together; lines of a word that a task takes at once.
 FIRST, ROWS, HOT_LOG = 8, 1 << 18, 17
 #: Pairs whose bitmaps are compared at a time.
@@ -60,39 +58,44 @@ def line_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             at = end
 
 
-def word_sets(words: Words, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's distinct words as identities of WORD_BITS, rarest first where ranks are given, and where each line's begin."""
-    hashes, begin = words(data, offsets)
-    ids = hashes >> np.uint64(64 - WORD_BITS)
-    line = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(begin))
-    full = np.flatnonzero(np.diff(begin))
-    dense = np.zeros(len(offsets) - 1, np.uint64)
-    dense[full] = np.arange(len(full), dtype=np.uint64)  # lines with words number fewer than 2 ** LINE_BITS
-    key = (dense[line.astype(np.int64)] << np.uint64(WORD_BITS + RANK_BITS)) | ids
+def word_sets(words: Words, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray | None, twice: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's distinct words as their hashes, rarest first where ranks are given and else by hash; with twice, the same words'
+    second hashes; where each line's begin."""
+    hashes, second, begin = words.twice(data, offsets) if twice else (*(found := words(data, offsets))[:1], None, found[1])
+    if not len(hashes):
+        return hashes, hashes, np.zeros(len(offsets), np.int64)
+    # the slice's words by number, so that line, rank and word fit one key
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    edge = np.ones(len(ranked), bool)
+    edge[1:] = ranked[1:] != ranked[:-1]
+    known, pick = ranked[edge], order[edge]
+    key = np.empty(len(hashes), np.uint64)
+    key[order] = np.cumsum(edge) - 1
+    bits = np.uint64(len(known).bit_length())
     if rank is not None:
-        key |= rank[(ids & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(WORD_BITS)
+        key |= (rank[(known & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << bits)[key.astype(np.int64)]
+    counts = np.diff(begin)
+    full = np.flatnonzero(counts)
+    key |= np.repeat(np.arange(len(full), dtype=np.uint64) << (bits + np.uint64(RANK_BITS)), counts[full])
     key.sort()
     keep = np.ones(len(key), bool)
     keep[1:] = key[1:] != key[:-1]
     key = key[keep]
     count = np.zeros(len(offsets) - 1, np.int64)
-    count[full] = np.bincount((key >> np.uint64(WORD_BITS + RANK_BITS)).astype(np.int64), minlength=len(full)) if len(full) else 0
-    return key & np.uint64((1 << WORD_BITS) - 1), np.concatenate([[0], np.cumsum(count)])
+    count[full] = np.bincount((key >> (bits + np.uint64(RANK_BITS))).astype(np.int64), minlength=len(full))
+    number = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return known[number], second[pick][number] if twice else known[:0], np.concatenate([[0], np.cumsum(count)])
 
 
 def line_classes(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A hash of each line's set of words; of use for lines with words only."""
-    n = np.diff(begin)
-    total = np.zeros(len(n), np.uint64)
-    full = np.flatnonzero(n)
-    if len(full):
-        total[full] = np.add.reduceat(mix(ids, 1), begin[:-1][full])
-    return mix(total + n.astype(np.uint64), 2)
+    return mix(sums(mix(ids, 1), begin) + np.diff(begin).astype(np.uint64), 2)
 
 
-def line_names(ids: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """64 more bits of the hash of each line's set."""
-    return mix(sums(mix(ids, 7), begin) ^ mix(classes, 8), 9)
+def line_names(second: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64 more bits for each line's set, from its words' second hashes."""
+    return mix(sums(mix(second, 7), begin) ^ mix(np.diff(begin).astype(np.uint64), 8), 9)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +104,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "line", "cls", "cls2", "piece", "counts"]
     for batch in batches:
         for first, data, offsets, rows, number in line_slices(batch.column(1)):
-            ids, begin = word_sets(words, data, offsets, None)
+            ids, second, begin = word_sets(words, data, offsets, None, twice=True)
             np.add.at(counts, (ids & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             full = np.flatnonzero(np.diff(begin))
             if not len(full):
                 continue
             classes = line_classes(ids, begin)
-            more, classes = line_names(ids, begin, classes)[full], classes[full]
+            more, classes = line_names(second, begin)[full], classes[full]
             docs = batch.column(0).take(pa.array(first + rows[full]))
             yield pa.RecordBatch.from_arrays([docs, pa.array(number[full].astype(np.int32)), signed(classes), signed(more), pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.binary())], names)
     if counts.any():
@@ -150,7 +153,7 @@ def _prefixes(rank_bytes: bytes) -> Callable:
         for batch in batches:
             ids_of_docs = batch.column(0).to_numpy()
             for first, data, offsets, rows, number in line_slices(batch.column(1)):
-                ids, begin = word_sets(words, data, offsets, rank)
+                ids, _, begin = word_sets(words, data, offsets, rank)
                 n = np.diff(begin)
                 classes, docs = line_classes(ids, begin), ids_of_docs[first + rows]
                 # a set of three words has no partner but its equals; a slice's copies are sent once
@@ -266,13 +269,13 @@ def _chosen_lines(of_docs: Bloom, of_classes: Bloom):
         for batch in batches:
             batch = batch.filter(pa.array(of_docs(batch.column(0).to_numpy())))
             for _, data, offsets, _, _ in line_slices(batch.column(1)):
-                ids, begin = word_sets(words, data, offsets, None)
+                ids, second, begin = word_sets(words, data, offsets, None, twice=True)
                 classes = line_classes(ids, begin)
                 keep = np.flatnonzero(of_classes(classes.view(np.int64)) & (np.diff(begin) > 0))
                 keep = keep[np.unique(classes[keep], return_index=True)[1]]
                 if len(keep):
                     found = pa.array([ids[begin[i] : begin[i + 1]].tobytes() for i in keep], pa.binary())
-                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(line_names(ids, begin, classes)[keep]), found], ["cls", "cls2", "words"])
+                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(line_names(second, begin)[keep]), found], ["cls", "cls2", "words"])
 
     return run
 

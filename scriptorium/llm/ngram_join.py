@@ -13,7 +13,7 @@ shingles alone last and empty ones at the end, so a passage that a third of the
 Where that many signatures of two sets are all empty, the argument fails; such sets (short ones, mostly) also enumerate
 their first H + 1 single shingles.
 
-Equal sets are one class, found by 128 bits of hash; classes with many copies sign once. The classes of a signature are
+Equal sets are one class, found by 128 bits of two hashes of their words' bytes; classes with many copies sign once. The classes of a signature are
 compared with its hub, the class with most common shingles (the middle of a group of copies, if there is one). Classes that
 stay apart from a hub meet the others that have this hub, block by block; of those pairs, ones in one component, ones that
 the triangle inequality of the Jaccard distance to the hub excludes, and ones whose bitmaps differ in more places than the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.cuts import cut, keep, scratch
 from scriptorium.llm.graphs import components, small
-from scriptorium.llm.hashing import Words, mix, shingle_sets, signed, slices, sums
+from scriptorium.llm.hashing import Words, mix, shingle_pairs, shingle_sets, signed, slices, sums
 from scriptorium.llm.prefilter import Bloom, bloom
 
 #: Counters of the sketch of shingle counts, the pieces in which it is added up, and the groups that add up a piece first.
@@ -67,9 +67,9 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _names(classes: np.ndarray, sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """64 more bits of each class's hash."""
-    return mix(sums(mix(sets, 12), begin) ^ mix(classes, 13), 14)
+def _names(second: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64 more bits for each class, from the second hashes of its shingles."""
+    return mix(sums(mix(second, 12), begin) ^ mix(np.diff(begin).astype(np.uint64), 13), 14)
 
 
 def _hashes(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -83,12 +83,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for first, data, offsets in slices(batch.column(1)):
-            sets, begin = shingle_sets(*words(data, offsets))
+            sets, second, begin = shingle_pairs(*words.twice(data, offsets))
             sizes = np.diff(begin)
             counts += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             classes = _hashes(sets, begin)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(sizes)), pa.array(sizes), signed(classes), signed(_names(classes, sets, begin)), pa.array(bitmaps(sets, begin), pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
+                [ids.slice(first, len(sizes)), pa.array(sizes), signed(classes), signed(_names(second, begin)), pa.array(bitmaps(sets, begin), pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
                 names,
             )
     if counts.any():

@@ -175,6 +175,41 @@ def test_words_of_any_text():
     assert counts == [len(_words(t)) for t in texts]
 
 
+def _alternating(n, a="a", b="b"):
+    """Two words of n letters that have equal sums of powers (Thue and Morse)."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Texts of long words of two letters, and one-word lines whose names share many bits in some hashes, are all different."""
+    texts = [x for n in (8, 64, 1024, 2048, 4096) for p in ("ab", ("a" * 8, "b" * 8), ("ab" * 8, "ba" * 8)) for x in _alternating(n, *p)]
+    texts += ["id01900555", "id04218146", "id01900555 x", "x id04218146"]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {(x.doc_id, x.component_id) for x in ngram_components(docs).collect()} == {(i, i) for i, _ in rows}
+    assert {(x.doc_id, x.text) for x in line_dedup.dedup_lines(docs).collect()} == set(rows)
+    words = hashing.Words()
+    ((_, data, offsets),) = hashing.slices(pa.array([t for _, t in rows]), 1 << 30)
+    one, two, _ = words.twice(data, offsets)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len({w for _, t in rows for w in t.split()}) and not set(one.tolist()) & set(two.tolist())
+
+
+def test_hashes_of_many_words():
+    """Six million names of one form, and random words in upper and lower case, have hashes of their own."""
+    words = hashing.Words()
+    seen = [words(data, offsets)[0] for k in range(0, 6_000_000, 500_000) for _, data, offsets in hashing.slices(pa.array([" ".join(f"id{i:08d}" for i in range(k, k + 500_000))]))]
+    assert len(np.unique(np.concatenate(seen))) == 6_000_000
+    r = random.Random(1)
+    texts = ["".join(r.choice("abAB\0 é") for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    got = [h for _, data, offsets in hashing.slices(pa.array(texts), 300) for h in words(data, offsets)[0].tolist()]
+    known = {}
+    for w, h in zip((w for t in texts for w in _words(t)), got, strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def _line_corpus(seed):
     r = random.Random(seed)
     pool = [[f"t{r.randrange(80)}" for _ in range(r.choice([1, 2, 4, 5, 6, 9, 12, 25, 60]))] for _ in range(30)]
