@@ -71,3 +71,13 @@ longest AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, p[1:2] AS p, f FROM c
 kept AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.l, s.r, s.score FROM scored s LEFT JOIN longest g ON g.lang = s.lang AND g.p = s.p WHERE g.f IS NULL OR 100 * g.f < 50 * s.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+_HEX5 = "CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)"
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+WARC = f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM hashed)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: {"|| ".join(f"substr({_BASE32}, CAST(({_HEX5} >> {s}) & 31 AS INTEGER) + 1, 1)" for s in (15, 10, 5, 0))}), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts"""

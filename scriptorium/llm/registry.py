@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import collocations, decontaminate, language, licenses, line_dedup, main_text, oracles, pieces, quality, secrets, topk
+from scriptorium.functions import storage
+from scriptorium.functions.cuts import shared_dir
+from scriptorium.llm import collocations, decontaminate, language, licenses, line_dedup, main_text, oracles, pieces, quality, secrets, topk, warc
 from scriptorium.llm.ngram_join import ngram_components
 
 
@@ -62,11 +66,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"), secrets.train())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the archives that are written; the archives themselves are deleted once they are read."""
+    root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    try:
+        return warc.archived(_table(spark, sf_dir, "pages"), root)
+    finally:
+        storage.delete(spark, root)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-_OWN = (op1_ngram_join, op2_topk_search, op3_decontamination, op4_license_scan, op5_quality, op6_sentencepiece, op7_language_id, op8_main_text, op9_line_dedup, op10_secret_scan, op13_collocations)
+_OWN = (op1_ngram_join, op2_topk_search, op3_decontamination, op4_license_scan, op5_quality, op6_sentencepiece, op7_language_id, op8_main_text, op9_line_dedup, op10_secret_scan, op11_warc, op13_collocations)
 QUERIES = {x.__name__: x for x in _OWN}
 
 #: The others are beyond SQL: trained models, a tokenizer, edit distances inside texts, HTML.
@@ -75,5 +88,6 @@ ORACLES: dict[str, str] = {
     "op2_topk_search": oracles.TOP_K,
     "op4_license_scan": oracles.LICENSES,
     "op9_line_dedup": oracles.LINE_DEDUP,
+    "op11_warc": oracles.WARC,
     "op13_collocations": oracles.COLLOCATIONS,
 }
