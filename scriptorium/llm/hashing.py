@@ -60,6 +60,13 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tu
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 #: What is left of a piece of so many bytes.
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 

@@ -81,3 +81,15 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(8), lambda i: {"|| ".join(f"substr({_BASE32}, CAST(({_HEX5} >> {s}) & 31 AS INTEGER) + 1, 1)" for s in (15, 10, 5, 0))}), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+stats AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM words),
+items AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark) GROUP BY item_id, t),
+tfs AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM words) WHERE t IN (SELECT t FROM items) GROUP BY doc_id, n, t),
+dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM dfs, stats),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (t) JOIN tfs USING (t), stats GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import storage
 from scriptorium.functions.cuts import shared_dir
-from scriptorium.llm import collocations, decontaminate, language, licenses, line_dedup, main_text, oracles, pieces, quality, secrets, topk, warc
+from scriptorium.llm import collocations, decontaminate, language, licenses, line_dedup, main_text, oracles, pieces, quality, ranked, secrets, topk, warc
 from scriptorium.llm.ngram_join import ngram_components
 
 
@@ -75,11 +75,15 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         storage.delete(spark, root)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-_OWN = (op1_ngram_join, op2_topk_search, op3_decontamination, op4_license_scan, op5_quality, op6_sentencepiece, op7_language_id, op8_main_text, op9_line_dedup, op10_secret_scan, op11_warc, op13_collocations)
+_OWN = (op1_ngram_join, op2_topk_search, op3_decontamination, op4_license_scan, op5_quality, op6_sentencepiece, op7_language_id, op8_main_text, op9_line_dedup, op10_secret_scan, op11_warc, op12_ranked_search, op13_collocations)
 QUERIES = {x.__name__: x for x in _OWN}
 
 #: The others are beyond SQL: trained models, a tokenizer, edit distances inside texts, HTML.
@@ -89,5 +93,6 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.LICENSES,
     "op9_line_dedup": oracles.LINE_DEDUP,
     "op11_warc": oracles.WARC,
+    "op12_ranked_search": oracles.RANKED,
     "op13_collocations": oracles.COLLOCATIONS,
 }

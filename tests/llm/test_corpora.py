@@ -12,10 +12,12 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import collocations, warc
+from scriptorium.functions import cuts
+from scriptorium.llm import collocations, ranked, warc
 from scriptorium.llm.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,8 +67,6 @@ def test_states_are_those_of_an_automaton():
     r = random.Random(3)
     words = [r.choice("abc") for _ in range(200)]
     text = " ".join(words)
-    import pyarrow as pa
-
     found = collections.Counter()
     shard = collocations.Shard(pa.array(["x"]), pa.array([text]), 4)
     all_ = [np.ones(len(e), bool) for e in shard.automaton.ends]
@@ -179,3 +179,84 @@ def test_records_of_plain_and_folded_streams():
     for data in (text, gzip.compress(text[:95]) + gzip.compress(text[95:])):
         found = list(warc.records(io.BytesIO(data)))
         assert [b for _, b in found] == [b"abc", b""] and found[0][0]["x-long"] == "a b"
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _brute_ranked(docs, items, k=10):
+    terms = [(i, re.findall(TERM, _lower(t))) for i, t in docs if i is not None]
+    n_docs, total = sum(1 for _, w in terms if w), sum(len(w) for _, w in terms)
+    df = collections.Counter(t for _, w in terms for t in set(w))
+    out = []
+    for item, text in items:
+        scored = []
+        asked = re.findall(TERM, _lower(text))
+        for i, w in terms:
+            tf, score = collections.Counter(w), 0
+            for t in asked:
+                if tf[t]:
+                    weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    m = 100 - 75 + 75 * len(w) * n_docs // total
+                    score += weight * (1000000000 * tf[t] // (1000 * tf[t] + 8 * m))
+            if score > 0:
+                scored.append((-score, i))
+        out += [(item, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+def _ranked_corpus(seed):
+    r = random.Random(seed)
+    topics = [[f"{c}{i}" for i in range(40)] for c in "abcdefgh"]
+    make = lambda: " ".join(r.choice(r.choice(topics[:2]) if r.random() < 0.3 else r.choice(topics)[:1] + own[:20]) for own in [r.choice(topics)] for _ in range(r.choice([1, 3, 20, 60])))
+    texts = [make() for _ in range(400)]
+    texts += texts[:60] + ["", None, "  ..", "É é É", "same words here"] + ["same words here"] * 40 + ["A1 " * 3000]
+    docs = [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(3, "b1 b2"), (3, "b1 b2"), (None, "a1 a2")]
+    items = [(i, make()) for i in range(25)] + [(100, "same words"), (101, "é"), (102, None), (103, "zzz"), (104, "a1 A1 a1 b2"), (104, "a1 A1 a1 b2"), (105, "..")]
+    return docs, items
+
+
+@pytest.mark.parametrize(("block", "most", "sample"), [(1 << 22, 64, 2048), (3000, 8, 200), (500, 1, 0)])
+def test_ranked_search(spark, block, most, sample):
+    docs, items = _ranked_corpus(block)
+    table = spark.createDataFrame([(*x, "own", 1) for x in docs], "doc_id long, text string, block string, score int").repartition(5)
+    asked = spark.createDataFrame([(*x, "own") for x in items], "item_id long, text string, rank string")
+    got = sorted(tuple(x) for x in ranked.ranked(table, asked, block_bytes=block, most=most, sample=sample).collect())
+    assert got == _brute_ranked(docs, [x for x in dict.fromkeys(items) if x[1] is not None])
+
+
+def test_ranked_search_in_passes_and_of_nothing(spark):
+    docs, items = _ranked_corpus(9)
+    table, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    with cuts.scratch(spark):
+        index = ranked.build_index(table, block_bytes=2000, most=16)
+        for k in (1, 3):
+            got = sorted(tuple(x) for x in ranked.search(index, asked, k, pass_chars=900, wave=1).collect())
+            assert got == _brute_ranked(docs, [x for x in dict.fromkeys(items) if x[1] is not None], k)
+        assert ranked.search(index, asked.limit(0)).collect() == []
+    assert ranked.ranked(table.limit(0), asked).collect() == []
+
+
+def test_clusters_are_passed_over():
+    """Of documents of many topics, dealt at random, few clusters are visited; those passed over hold no better one."""
+    r = random.Random(4)
+    docs = [" ".join(f"{i % 32}w{r.randrange(60)}" for _ in range(30)) for i in range(2000)]
+    order = r.sample(range(2000), 2000)
+    clusters = list(ranked._clusters(0, np.arange(2000), pa.array([docs[i] for i in order]), 2000, 60000, 64))
+    queries = ranked.Queries([f"{i}w1 {i}w2 {i}w3" for i in range(32)])
+    df = np.zeros(96, np.int64)
+    for batch in clusters:
+        for (own, number), x in zip(queries.known(batch), batch.column("begin"), strict=True):
+            df[number] += np.diff(np.frombuffer(x.as_buffer(), np.int32))[own]
+    queries.weigh(df, 2000)
+    best, visits, total = ranked.Best(32, 10, np.ones(32, np.int64), np.full(32, 2**63 - 1)), 0, 0
+    for batch in clusters:
+        rows, known = batch.to_pylist(), queries.known(batch)
+        bounds = [queries.bounds(own, number, np.frombuffer(row["best"], np.int32)) for (own, number), row in zip(known, rows, strict=True)]
+        for c in sorted(range(len(rows)), key=lambda c: -int(bounds[c].max())):
+            items = best.may(bounds[c], rows[c]["least_doc"])
+            ranked._visit(queries, rows[c], *known[c], items, best)
+            visits, total = visits + len(items), total + 32
+    assert visits < total / 8
+    found = [tuple(x.values()) for x in best.rows().to_pylist()]
+    assert sorted(found) == sorted((q, d, s) for q, _, d, s in _brute_ranked([(i, docs[order[i]]) for i in range(2000)], [(i, f"{i}w1 {i}w2 {i}w3") for i in range(32)]))
