@@ -7,36 +7,66 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import ChunkConfig
 from scriptorium.operators import chunking
+from scriptorium.operators.filters import filter_chunks
 
 CASE = "id string, question string, path string, source_text string, expect_start_line int, expect_end_line int, family string, failure_mode string"
 
 
-def outcomes(cases: DataFrame, config: ChunkConfig) -> DataFrame:
-    """(id, family, path, hit, matched_citation): the first covering chunk's citation, null for a miss.
+#: Lines of a range in which cases meet chunks.
+RANGE = 64
+
+
+def _chunks(cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
+    """Chunks (setting, __source, chunk_no, start_line, end_line, citation) that stay, of each distinct file and each of configs."""
+    sources = cases.select("path", F.col("source_text").alias("text")).distinct().withColumn("__source", F.xxhash64("path", "text"))
+    made = chunking.sections(sources, [(c.strategy, c.max_lines) for c in configs])
+    kept = []
+    for rules in dict.fromkeys(c.filter for c in configs):
+        own = [k for k, c in enumerate(configs) if c.filter == rules]
+        of_rules = made if len(own) == len(configs) else made.filter(F.col("setting").isin(own))
+        kept.append(filter_chunks(of_rules, rules, by=("setting", "__source")).filter("drop_rule is null"))
+    whole = kept[0]
+    for more in kept[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("setting", "__source", "chunk_no", "start_line", "end_line", chunking.citation(whole).alias("citation"))
 
-    Each distinct file is chunked once. The join is an equality on the file with the range as a condition.
+
+def outcomes_of(cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
+    """(setting, id, family, path, hit, matched_citation) for each case and the number of each of configs: the first covering
+    chunk's citation, null for a miss.
+
+    Each distinct file is read once and chunked by all settings. A chunk stands in the ranges of RANGE lines that it has lines in, a case in that
+    of its first line, and only chunks and cases of one range meet; so many cases of one long file are no product with its chunks.
     """
-    sources = cases.select("path", F.col("source_text").alias("text")).distinct()
-    chunks = chunking.chunk(sources.withColumn("__source", F.xxhash64("path", "text")), config)
-    chunks = chunks.withColumn("citation", chunking.citation(chunks)).select("__source", "chunk_no", "start_line", "end_line", "citation")
-    asked = cases.withColumn("__source", F.xxhash64("path", "source_text"))
-    covers = (asked["__source"] == chunks["__source"]) & (chunks["start_line"] <= asked["expect_start_line"]) & (chunks["end_line"] >= asked["expect_end_line"])
-    found = asked.join(chunks, covers, "left").groupBy("id", "family", asked["path"]).agg(F.min_by("citation", "chunk_no").alias("matched_citation"))
-    return found.select("id", "family", "path", F.col("matched_citation").isNotNull().alias("hit"), "matched_citation")
+    chunks = _chunks(cases, configs)
+    dealt = chunks.withColumn("__range", F.explode(F.sequence(F.expr(f"start_line div {RANGE}"), F.expr(f"end_line div {RANGE}"))))
+    asked = cases.withColumn("__source", F.xxhash64("path", "source_text")).withColumn("__range", F.expr(f"expect_start_line div {RANGE}"))
+    asked = asked.select("id", "family", "path", "__source", "__range", "expect_start_line", "expect_end_line").withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1))))
+    met = asked.join(dealt, ["setting", "__source", "__range"], "left")
+    covers = (F.col("start_line") <= F.col("expect_start_line")) & (F.col("end_line") >= F.col("expect_end_line"))
+    found = met.groupBy("setting", "id", "family", "path").agg(F.min(F.when(covers, F.struct("chunk_no", "citation"))).getField("citation").alias("matched_citation"))
+    return found.select("setting", "id", "family", "path", F.col("matched_citation").isNotNull().alias("hit"), "matched_citation")
 
 
-def by_family(cases: DataFrame, config: ChunkConfig) -> DataFrame:
-    """(strategy, max_lines, family, hits, total) for each family of cases, and for all of them as family ``all``."""
-    got = outcomes(cases, config).rollup("family").agg(F.grouping("family").alias("g"), F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("total"))
-    return got.select(F.lit(config.strategy).alias("strategy"), F.lit(config.max_lines).alias("max_lines"), F.when(F.col("g") == 1, "all").otherwise(F.col("family")).alias("family"), "hits", "total")
+def outcomes(cases: DataFrame, config: ChunkConfig) -> DataFrame:
+    """``outcomes_of`` one setting: (id, family, path, hit, matched_citation)."""
+    return outcomes_of(cases, [config]).drop("setting")
 
 
 def compare(cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
-    """``by_family`` of all settings."""
-    first, *rest = (by_family(cases, c) for c in configs)
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+    """(strategy, max_lines, family, hits, total) for each family of cases, and for all of them as family ``all``, by each setting; all
+    settings in one pass."""
+    got = outcomes_of(cases, configs).groupingSets([["setting", "family"], ["setting"]], "setting", "family").agg(
+        F.grouping("family").alias("g"), F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("total")
+    )
+    name = F.element_at(F.array(*(F.lit(c.strategy) for c in configs)), F.col("setting") + 1)
+    lines = F.element_at(F.array(*(F.lit(c.max_lines) for c in configs)), F.col("setting") + 1)
+    return got.select(name.alias("strategy"), lines.alias("max_lines"), F.when(F.col("g") == 1, "all").otherwise(F.col("family")).alias("family"), "hits", "total")
+
+
+def by_family(cases: DataFrame, config: ChunkConfig) -> DataFrame:
+    """``compare`` of one setting."""
+    return compare(cases, [config])
 
 
 def chunk_counts(cases: DataFrame, config: ChunkConfig) -> DataFrame:

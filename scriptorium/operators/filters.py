@@ -39,11 +39,11 @@ def page_furniture(content: Column) -> Column:
     return F.when(begins, (F.size(lines) > 0) & F.forall(lines, is_page)).otherwise(F.lit(False))
 
 
-def filter_chunks(chunks: DataFrame, config: FilterConfig | None = None, more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def filter_chunks(chunks: DataFrame, config: FilterConfig | None = None, more: dict[str, Callable[[Column], Column]] | None = None, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """chunks (path, chunk_no, content and others) with drop_rule and drop_detail, null for those that stay.
 
     more: rules of the user by name, each from the content's column to a condition; they come after the built-in ones and
-    before the search for repeats.
+    before the search for repeats. Repeats are searched for among chunks of equal ``by``.
     """
     config = config or FilterConfig()
     if not config.enabled:
@@ -56,7 +56,7 @@ def filter_chunks(chunks: DataFrame, config: FilterConfig | None = None, more: d
         rule = rule.when(breaks(content), name)
     found = chunks.withColumn("drop_rule", rule)
     if config.drop_duplicates:
-        first = Window.partitionBy("path", "__key", F.col("drop_rule").isNull()).orderBy("chunk_no")
+        first = Window.partitionBy(*by, "__key", F.col("drop_rule").isNull()).orderBy("chunk_no")
         again = F.col("drop_rule").isNull() & (F.row_number().over(first) > 1)
         found = found.withColumn("__key", F.sha2(T.fold_key(content), 256)).withColumn("drop_rule", F.when(again, "duplicate").otherwise(F.col("drop_rule"))).drop("__key")
     size = F.length(T.strip(content)).cast("string")

@@ -1,10 +1,14 @@
 """Structure of Markdown texts: headings, their ancestors, the blocks they begin, and pieces of long blocks.
 
-All of it works on a document's array of lines with higher-order functions, so nothing is shuffled.
+Headings of a table come from expressions over its lines. Ancestors and pieces need what went before within a document: one pass
+over its lines, with the open headings on a stack, so time is that of the lines whatever their number.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +16,12 @@ from scriptorium.functions import text as T
 
 #: One to six signs after spaces, then a space or tab; a title must follow.
 HEADING = r"(?s)^ *(#{1,6})[ \t](.*)$"
-BLOCK = "struct<start_line:int,end_line:int,level:int,title:string,heading_path:string>"
+_HEADING = re.compile(r" *(#{1,6})[ \t](.*)", re.S)
+MARKDOWN = (".md", ".markdown")
 
 
-def is_markdown(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(md|markdown)\z")
+def is_markdown(path: str | None) -> bool:
+    return (path or "").lower().endswith(MARKDOWN)
 
 
 def find_headings(lines: Column) -> Column:
@@ -33,56 +38,48 @@ def find_headings(lines: Column) -> Column:
     return F.filter(may, lambda h: h["title"] != "")
 
 
-def heading_paths(headings: Column) -> Column:
-    """For each heading the titles of its ancestors and its own, joined by ' > '.
-
-    The chain of ancestors has rising levels, so what a heading closes is all that is not above it.
-    """
-    empty = F.expr("named_struct('open', cast(array() as array<struct<line:int,level:int,title:string>>), 'paths', cast(array() as array<string>))")
-
-    def step(state: Column, h: Column) -> Column:
-        chain = F.concat(F.filter(state["open"], lambda x: x["level"] < h["level"]), F.array(h))
-        path = F.array_join(F.transform(chain, lambda x: x["title"]), " > ")
-        return F.struct(chain.alias("open"), F.concat(state["paths"], F.array(path)).alias("paths"))
-
-    return F.aggregate(headings, empty, step, lambda state: state["paths"])
-
-
-def block_bounds(headings: Column, paths: Column, n_lines: Column) -> Column:
-    """An array of blocks: one from each heading to the line before the next, and one of level 0 before the first."""
-
-    def block(start: Column, end: Column, level: Column, title: Column, path: Column) -> Column:
-        return F.struct(start.alias("start_line"), end.alias("end_line"), level.alias("level"), title.alias("title"), path.alias("heading_path"))
-
-    own = F.transform(
-        headings,
-        lambda h, i: block(h["line"], F.coalesce(F.get(headings, i + 1)["line"] - 1, n_lines), h["level"], h["title"], F.get(paths, i)),
-    )
-    first = F.get(headings, F.lit(0))["line"]
-    before = F.when(first > 1, F.array(block(F.lit(1), first - 1, F.lit(0), F.lit(""), F.lit("")))).otherwise(F.expr(f"cast(array() as array<{BLOCK}>)"))
-    return F.concat(before, own)
-
-
-def split_block(lines: Column, start: Column, end: Column, max_lines: int) -> Column:
-    """An array of (start_line, end_line): a block of more than max_lines lines in pieces.
+def heading(line: str) -> tuple[int, str] | None:
+    """Level and title of a line that is a heading."""
+    found = _HEADING.match(line) if "#" in line else None
+    title = found[2].strip() if found else ""
+    return (len(found[1]), title) if found and title else None
+
+
+def blocks(lines: list[str]) -> Iterator[tuple[int, int, int, str, str]]:
+    """(first line, last line, level, title, path) of the block that each heading begins, which goes to the line before the next, and
+    of one of level 0 before the first. A path has the titles of a heading's ancestors and its own, joined by ' > '. Texts
+    without a heading have no blocks."""
+    stack: list[tuple[int, str]] = []
+    start, level, title = 1, 0, ""
+    for n, line in enumerate(lines, 1):
+        if not (found := heading(line)):
+            continue
+        if n > start:
+            yield start, n - 1, level, title, " > ".join(t for _, t in stack)
+        # levels on the stack rise, so what a heading closes is its end
+        while stack and stack[-1][0] >= found[0]:
+            stack.pop()
+        stack.append(found)
+        start, (level, title) = n, found
+    if stack:
+        yield start, len(lines), level, title, " > ".join(t for _, t in stack)
+
+
+def pieces(lines: list[str], start: int, end: int, max_lines: int) -> Iterator[tuple[int, int]]:
+    """(first line, last line): a block of more than max_lines lines in pieces.
 
     A piece ends at max_lines lines, or at a blank line once it is half full (two lines at least) and has two lines
     that are not blank. What is left, when it fits, is the last piece.
     """
-    least = max(2, max_lines // 2)
-    begin = F.expr("named_struct('at', 0, 'filled', 0, 'cuts', cast(array() as array<int>))")
-    size = end - start + 1
-
-    def step(state: Column, i: Column) -> Column:
-        blank = T.is_blank(F.get(lines, start + i - 1))
-        filled = state["filled"] + F.when(blank, 0).otherwise(1)
-        count = i - state["at"] + 1
-        cut = (size - state["at"] > max_lines) & ((count >= max_lines) | (blank & (count >= least) & (filled >= 2)))
-        return F.when(cut, F.struct((i + 1).alias("at"), F.lit(0).alias("filled"), F.concat(state["cuts"], F.array(i)).alias("cuts"))).otherwise(
-            F.struct(state["at"].alias("at"), filled.alias("filled"), state["cuts"].alias("cuts"))
-        )
-
-    cuts = F.aggregate(F.sequence(F.lit(0), size - 1), begin, step, lambda state: state["cuts"])
-    ends = F.concat(F.transform(cuts, lambda c: start + c), F.array(end))
-    pieces = F.transform(ends, lambda e, k: F.struct(F.when(k == 0, start).otherwise(F.get(ends, k - 1) + 1).alias("start_line"), e.alias("end_line")))
-    return F.when(size <= max_lines, F.array(F.struct(start.alias("start_line"), end.alias("end_line")))).otherwise(pieces)
+    least, filled = max(2, max_lines // 2), 0
+    for n in range(start, end + 1):
+        if end - start + 1 <= max_lines:
+            break
+        blank = not lines[n - 1].strip()
+        filled += not blank
+        count = n - start + 1
+        if count >= max_lines or (blank and count >= least and filled >= 2):
+            yield start, n
+            start, filled = n + 1, 0
+    if start <= end:
+        yield start, end

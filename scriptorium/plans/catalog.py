@@ -128,7 +128,7 @@ def find_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C.SQL_CONV}, {SQL_HEADS} SELECT path, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(level AS INTEGER) AS level, title, heading_path FROM blocks")
 def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.structure(C.conv_md(spark, sf_dir)).select("path", F.inline_outer("__blocks")).filter("start_line is not null")
+    return chunking.heading_blocks(C.conv_md(spark, sf_dir)).select("path", "start_line", "end_line", "level", "title", "heading_path")
 
 
 @query(f"""WITH RECURSIVE {C.SQL_CONV}, {SQL_HEADS}, {SQL_SPLIT} SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line) AS INTEGER) AS chunk_no, CAST(start_line AS INTEGER) AS start_line,

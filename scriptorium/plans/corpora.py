@@ -1,7 +1,7 @@
 """Corpora that the driver's tables give, built alike for Spark and as SQL.
 
-documents become one file each (``doc_files``), conversations files with headings (``conv_md``: 50 turns of one
-conversation each, so that a file is bounded), and from the files comes a ledger of an earlier import (``prev_ledger``).
+documents become one file each (``doc_files``), conversations files with headings (``conv_md``: one each, longer ones one for
+each 5,000 turns, so that a file is bounded), and from the files comes a ledger of an earlier import (``prev_ledger``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from scriptorium.functions.cuts import cut
 from scriptorium.operators import ingest
 
 NOW = "2026-09-19T00:00:00"
-TURNS = 50
+TURNS = 5000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from scriptorium.config import AdmissionConfig, ChunkConfig, FilterConfig, Impor
 from scriptorium.functions import text as T
 from scriptorium.functions.cuts import shared_dir
 from scriptorium.operators import chunking, evaluate, filters, ingest, planner
+from scriptorium.operators import headings as H
 from scriptorium.operators.importer import import_documents
 from scriptorium.operators.store import Conflict, CorpusStore, read_json_ledger, write_json_ledger
 from scriptorium.plans import samples
@@ -82,7 +84,7 @@ def test_markdown_against_a_restatement(spark):
 
 def test_handbook_blocks(spark):
     df = spark.createDataFrame([("handbook.md", samples.HANDBOOK)], "path string, text string")
-    rows = chunking.structure(df).select(F.inline("__blocks")).collect()
+    rows = chunking.heading_blocks(df).collect()
     assert [(r.start_line, r.end_line) for r in rows] == [(1, 2), (3, 4), (5, 10), (11, 15), (16, 17), (18, 26), (27, 31), (32, 33), (34, 38), (39, 42)]
     pieces = [(r.start_line, r.end_line) for r in chunking.markdown_heading(df, 6).collect()]
     assert (18, 23) in pieces and (24, 26) in pieces and len(pieces) == 11
@@ -338,11 +340,102 @@ def test_folding_equals_python(spark):
     assert sorted(map(sorted, keys.values())) == sorted(map(sorted, folded.values()))
 
 
-def test_a_flat_folder_is_dealt_to_tasks(spark, tmp_path):
+def test_a_flat_folder_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    from scriptorium.sources import files as source
+
+    monkeypatch.setattr(source, "TASK_BYTES", 1 << 16)
     for k in range(200):
-        (tmp_path / f"f{k}.md").write_text(f"text number {k}")
+        (tmp_path / f"f{k}.md").write_text(f"text number {k}" * 300)
     files = scan(spark, str(tmp_path))
-    assert files.rdd.getNumPartitions() > 8 and files.select("path").distinct().count() == files.count() == 200
+    sizes = [len(x) for x in files.rdd.glom().collect()]
+    assert len(sizes) > 8 and max(sizes) < 40 and sum(sizes) == 200 and files.select("path").distinct().count() == 200
+
+
+def test_folders_are_listed_by_rounds(spark, tmp_path):
+    """Deep and wide trees, odd names, links that lead nowhere, and folders that cannot be read."""
+    want = {}
+    for k in range(60):
+        folder = tmp_path / "root" / "/".join(f"d{k % m}" for m in range(1, 2 + k % 9))
+        folder.mkdir(parents=True, exist_ok=True)
+        for name in (f"a {k}.md", f".hid{k}", f"ä%20{k}#?.md"):
+            (folder / name).write_bytes(b"x" * k)
+            want["docs/" + str((folder / name).relative_to(tmp_path / "root"))] = k
+    (tmp_path / "root" / "gone.md").symlink_to(tmp_path / "nowhere")
+    files = scan(spark, str(tmp_path / "root"))
+    assert {r.path: r.size for r in files.collect()} == want
+    assert all(r.content == (b"x" * r.size if r.path.endswith(".md") else None) for r in files.collect())
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"f{k}.{'md' if k % 2 else 'txt'}").write_bytes(b"x" * k)
+    files = scan(spark, str(tmp_path)).filter("size <= 10 and path like '%.md' and size % 3 = 0")
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(size,10)" in plan.replace(" ", "") or "size <= 10" not in plan.split("Filter")[1].split("\n")[0]
+    assert sorted(r.size for r in files.collect()) == [3, 9]
+
+
+def test_many_headings_take_seconds(spark):
+    """200,000 headings in a file, many levels, and long blocks: time is that of the lines."""
+    levels = "\n".join("#" * (1 + k % 6) + f" t{k}" for k in range(200_000))
+    flat, text = "\n".join(["# a"] * 200_000), "# a\n" + "\n".join(["x", "y", ""] * 100_000)
+    docs = spark.createDataFrame([("a.md", levels), ("b.md", flat), ("c.md", text)], "path string, text string")
+    began = time.time()
+    counts = {r.path: r["count"] for r in chunking.heading_blocks(docs).groupBy("path").count().collect()}
+    assert counts == {"a.md": 200_000, "b.md": 200_000, "c.md": 1}
+    rows = {r.path: (r.n, r.last) for r in chunking.markdown_heading(docs, 12).groupBy("path").agg(F.count("*").alias("n"), F.max("end_line").alias("last")).collect()}
+    assert rows["a.md"] == rows["b.md"] == (200_000, 200_000) and rows["c.md"][1] == 300_000
+    lined = docs.select("path", F.inline_outer(H.find_headings(T.split_lines(F.col("text")))))
+    assert lined.count() == 400_001
+    assert time.time() - began < 60
+
+
+def test_table_functions(spark):
+    docs = spark.createDataFrame([("a.py", "import a\n\n\nx = 1\n# end"), ("b.md", "# A\n\ntext\n## B\nmore"), ("c.md", None)], "path string, text string")
+    docs.createOrReplaceTempView("docs_of_udtf")
+    chunking.register_table_functions(spark)
+    for name in chunking.SPANS:
+        got = spark.sql(f"select path, c.* from docs_of_udtf, lateral chunk_text('{name}', path, text, 2) c").collect()
+        assert sorted(got) == sorted(chunking.get_strategy(name)(docs, 2).collect()) and got
+    heads = spark.sql("select path, b.title, b.heading_path from docs_of_udtf, lateral heading_blocks(text) b where path = 'b.md'").collect()
+    assert sorted(heads) == [("b.md", "A", "A"), ("b.md", "B", "A > B")]
+    with pytest.raises(Exception, match="no strategy"):
+        spark.sql("select * from chunk_text('none', 'a', 'b', 2)").collect()
+    spark.catalog.dropTempView("docs_of_udtf")
+
+
+def test_a_document_that_fails_stops_no_other(spark, tmp_path):
+    """What a chunker raises marks one document as failed; the next import tries it again."""
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    files = _files(spark, {f"d{i}.md": f"# Title {i}\n\nbody of document {i}" for i in range(30)})
+
+    def faulty(path, text):
+        if path in ("d7.md", "d9.md"):
+            raise LookupError(f"no words for {path}")
+        yield from chunking.chunk_rows(chunking.windows, path, text, 50)
+        if path == "d11.md":
+            raise ValueError("after its rows")
+
+    done = import_documents(files, target, NOW, chunker=chunking.per_document(faulty))
+    assert (done.failed, done.documents, done.chunks) == (3, 27, 27)
+    ledger, chunks = _state(target)
+    assert {p for p, s in ledger.items() if s == "failed"} == {"d7.md", "d9.md", "d11.md"} and "d11.md" not in {p for p, _ in chunks}
+    rows = chunking.per_document(faulty)(files.select("path", "text")).filter("error is not null").collect()
+    assert sorted((r.path, r.error, r.content) for r in rows) == [("d11.md", "ValueError: after its rows", None), ("d7.md", "LookupError: no words for d7.md", None), ("d9.md", "LookupError: no words for d9.md", None)]
+    again = import_documents(files, target, NOW)
+    assert again.actions == {"resumed": 3, "unchanged": 27} and again.failed == 0 and set(_state(target)[0].values()) == {"ready"}
+
+
+def test_many_cases_on_one_file(spark):
+    """20,000 cases on a file of as many chunks are no product."""
+    n = 20_000
+    text = "\n".join(map(str, range(1, n + 1)))
+    ids = spark.range(n).select((F.col("id") + 1).cast("int").alias("k"))
+    cases = ids.select(F.col("k").cast("string").alias("id"), F.lit("q").alias("question"), F.lit("a.txt").alias("path"), F.lit(text).alias("source_text"), F.col("k").alias("expect_start_line"), (F.col("k") + F.col("k") % 2).alias("expect_end_line"), F.lit("f").alias("family"), F.lit("").alias("failure_mode"))
+    began = time.time()
+    got = evaluate.compare(cases, [ChunkConfig("fixed_lines", 1, FilterConfig(enabled=False)), ChunkConfig("fixed_lines", 2, FilterConfig(enabled=False)), ChunkConfig("fixed_lines", 100)])
+    assert {(r.max_lines, r.hits, r.total) for r in got.filter("family = 'all'").collect()} == {(1, n // 2, n), (2, n, n), (100, n, n)}
+    assert time.time() - began < 120
 
 
 def test_settings():
