@@ -34,7 +34,7 @@ from scriptorium.llm.prefilter import Bloom, bloom
 #: Bytes of text of a shard, unless a single text has more.
 SHARD = 2 << 20
 #: Bytes of texts for each range of counters and least ranges, the logarithm of a range's counters, and phrases that a task adds up first.
-RANGE_BYTES, LEAST_RANGES, LOG_COUNTERS, HELD = 32 << 20, 32, 26, 4 << 20
+RANGE_BYTES, LEAST_RANGES, LOG_COUNTERS, HELD = 32 << 20, 32, 26, 1 << 20
 #: Bytes of phrases that may be broadcast, besides the bound on their number.
 BROADCAST_BYTES = 64 << 20
 #: What parts words within a piece, and what parts pieces.
@@ -219,9 +219,9 @@ def frequent_counters(named: DataFrame, depth: int, least: int, ranges: int, log
             for places, counts in zip(batch.column("places"), batch.column("counts"), strict=True):
                 at = np.frombuffer(places.as_buffer(), np.uint32)
                 total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(counts.as_buffer(), kind), least)
-        enough = np.flatnonzero(total >= least) | key[0].as_py() << log
-        for a in range(0, len(enough), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(enough[a : a + (1 << 18)])], ["id"])
+        for a in range(0, len(total), 1 << 20):
+            enough = np.flatnonzero(total[a : a + (1 << 20)] >= least) + a
+            yield pa.RecordBatch.from_arrays([pa.array(enough | key[0].as_py() << log)], ["id"])
 
     return named.mapInArrow(run, "range int, places binary, counts binary").groupBy("range").applyInArrow(added, "id long")
 
