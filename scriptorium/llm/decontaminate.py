@@ -3,7 +3,7 @@
 Texts and items are reduced to words of letters and digits in lower case, one space apart. An item of n characters may
 be found with k = n // 12 edits, but one of few words and few characters only exactly and as whole words. An item is cut into k + 1 pieces; k edits leave one of them whole, so every place of the item
 has an exact hit of a piece (found for all pieces at once by an Aho-Corasick automaton), at a place that is off by k
-at most. The window around each hit is verified by Myers' bit-parallel edit distance ("A Fast Bit-Vector Algorithm for
+at most. The windows around an item's hits, merged where they meet, are verified by Myers' bit-parallel edit distance ("A Fast Bit-Vector Algorithm for
 Approximate String Matching Based on Dynamic Programming", 1999).
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.cuts import cut
+from scriptorium.functions.cuts import cut, keep, scratch
 from scriptorium.llm.batches import text_slices
 from scriptorium.llm.hashing import NOT_ALNUM, slices
 
@@ -29,7 +29,7 @@ PER_EDIT, LEAST_WORDS = 12, 5
 FEW_WORDS, SHORT = 5, 24
 #: Characters of items that are searched for in one pass over the documents; more items make more passes.
 PASS_CHARS = 4 << 20
-#: Windows whose distances a task remembers.
+#: Stretches whose places a task remembers.
 REMEMBERED = 1 << 14
 
 #: Blocks of scripts that are written without spaces: Thai to Tibetan, Myanmar, Khmer, kana and Han with their extensions.
@@ -101,35 +101,61 @@ class Finder:
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
-        self.seen: dict[tuple[int, str], tuple[int, int]] = {}
+        self.seen: dict[tuple[int, str], tuple[int, int, int]] = {}
 
     def __call__(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """For each item found: (edits, characters before the place, its length), the place with fewest edits, then the first."""
+        """For each item found: (edits, characters before the place, its length), the first of those with fewest edits.
+
+        The windows around an item's hits are merged where they meet, and each stretch is gone through once, so time is that
+        of the text, however often a piece repeats.
+        """
         found: dict[int, tuple[int, int, int]] = {}
-        last: dict[int, tuple[int, int]] = {}
+        stretches: dict[int, list[list[int]]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for i, offset in where:
-                _, item, k, bits, back = self.items[i]
+                _, item, k, _, _ = self.items[i]
                 begin = end + 1 - length - offset
                 if self.short[i]:  # hits come in order of their ends, so the first place is the first hit
                     if i not in found and not (begin and joined(text[begin - 1], item[0])) and not (end + 1 < len(text) and joined(item[-1], text[end + 1])):
                         found[i] = (0, begin, len(item))
                     continue
                 a, b = max(0, begin - k), min(len(text), begin + len(item) + k)
-                if b - a < len(item) - k or (i in last and last[i][0] <= a and b <= last[i][1]):
-                    continue
-                last[i] = (a, b)
-                window = text[a:b]
-                if (i, window) not in self.seen:
-                    if len(self.seen) >= REMEMBERED:
-                        self.seen.clear()
-                    self.seen[i, window] = edits(bits, len(item), window)
-                distance, stop = self.seen[i, window]
-                if distance <= k:
-                    size = edits(back, len(item), window[:stop][::-1])[1]
-                    found[i] = min(found.get(i, (distance, a + stop - size, size)), (distance, a + stop - size, size))
+                own = stretches.setdefault(i, [])
+                if own and a <= own[-1][1] and own[-1][0] <= b:
+                    own[-1][0], own[-1][1] = min(a, own[-1][0]), max(b, own[-1][1])
+                else:
+                    own.append([a, b])
+        for i, own in stretches.items():
+            merged: list[list[int]] = []
+            for a, b in sorted(own):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            k, best = self.items[i][2], None
+            for a, b in merged:
+                if b - a >= len(self.items[i][1]) - k:
+                    distance, start, size = self._place(i, text[a:b])
+                    if distance <= k and (best is None or distance < best[0]):
+                        best = (distance, a + start, size)
+            if best:
+                found[i] = best
         return {self.items[i][0]: x for i, x in found.items()}
 
+    def _place(self, i: int, stretch: str) -> tuple[int, int, int]:
+        """The fewest edits of an item in a stretch, and the start and length of the first place that has them."""
+        _, item, k, bits, back = self.items[i]
+        short = len(stretch) <= 4 * len(item)
+        if short and (i, stretch) in self.seen:
+            return self.seen[i, stretch]
+        distance, stop = edits(bits, len(item), stretch)
+        size = edits(back, len(item), stretch[max(0, stop - len(item) - k) : stop][::-1])[1] if distance <= k else 0
+        if short:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[i, stretch] = (distance, stop - size, size)
+        return distance, stop - size, size
+
 
 def _passes(benchmark: DataFrame, least_words: int, chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size; one at a time is with the driver."""
@@ -162,6 +188,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, least
     digits, counted from 0. Items with equal texts are all found; rows with equal doc_id and item_id count as one
     document and one item, with the fewest edits. An empty table gives no rows.
     """
+    with scratch(docs.sparkSession):
+        return keep(_leaks(docs, benchmark, per_edit, least_words, pass_chars), "leaks")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int, least_words: int, pass_chars: int) -> DataFrame:
     usable = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     names = ["doc_id", "item_id", "edits", "first_word", "n_words"]
 

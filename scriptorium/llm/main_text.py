@@ -2,8 +2,9 @@
 Density", 2011).
 
 The nodes are a page's block elements; inline elements are a part of their block. Elements that hold no article by their
-tag (scripts, forms, nav, aside, footer and so on), hidden ones and containers whose whole name says so (class="comments",
-"site-footer", not "share-price") are taken out first. A node of C characters, T tags, LC characters in links and LT links
+tag (scripts, fields, nav, aside, footer and so on), hidden ones and containers whose whole name says so (class="comments",
+"site-footer", not "share-price") are taken out first, and so is a form, unless the article stands in it (it has an article, main or h1, or
+half of the page's text). What is taken out ends where its parent ends, and one that is never closed at the next block. A node of C characters, T tags, LC characters in links and LT links
 has the density
 
     C / T * log(C / LC * T / LT), to the base ln(C / (C - LC) * LC + LCb / Cb * C + e)
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,9 +32,9 @@ from scriptorium.llm.batches import text_slices
 
 #: Elements that are blocks of their own, that hold no text of a page, and that are no part of an article.
 BLOCKS = set(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption header hgroup details summary address center fieldset hr".split()
+    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption header hgroup details summary address center fieldset form hr".split()
 )
-SILENT = set("script style noscript template head title iframe object embed svg math canvas audio video map select option optgroup textarea datalist button label input form nav aside footer menu dialog".split())
+SILENT = set("script style noscript template head title iframe object embed svg math canvas audio video map select option optgroup textarea datalist button label input nav aside footer menu dialog".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: Words of class and id of what is no part of an article, words that may stand beside them, and roles.
 NOISE = set(
@@ -53,15 +54,16 @@ _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "named", "keeps", "chars", "tags", "link_chars", "links", "density", "total", "enters", "leaves")
+    __slots__ = ("tag", "parent", "children", "noise", "named", "keeps", "chars", "tags", "link_chars", "links", "density", "total", "enters", "leaves", "depth", "own_links")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False):
         #: noise goes; what is only named so is judged by its density. keeps: 2 above an article, 1 above its title.
         self.tag, self.parent, self.noise, self.named, self.keeps = tag, parent, noise, named, 0
         #: Nodes, and (text, whether in a link) in page order.
         self.children: list[Node | tuple[str, bool]] = []
-        self.chars = self.link_chars = self.links = 0
+        self.chars = self.link_chars = self.links = self.own_links = 0
         self.tags, self.density, self.total, self.enters, self.leaves = 1, 0.0, 0.0, 0, 0
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def _named(attrs: dict[str, str]) -> set[str]:
@@ -79,35 +81,49 @@ def _hidden(attrs: dict[str, str]) -> bool:
 
 
 class Page(HTMLParser):
-    """A tree of a page's blocks, also of one whose tags are not closed."""
+    """A tree of a page's blocks, also of one whose tags are not closed. Time is that of the tags, however deep they are."""
 
-    def __init__(self):
+    def __init__(self, html: str = ""):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
-        self.open: Counter[str] = Counter()  # tags of the node that is open and of those around it
+        self.open: defaultdict[str, list[Node]] = defaultdict(list)  # the open nodes of each tag
+        self.inline: list[Node] = []  # those that are no blocks
+        #: Tags that are open in a part without article, from its own on, how many of each, and whether its own is never closed.
         self.silent: list[str] = []
+        self.held: Counter[str] = Counter()
+        self.unclosed = False
+        self.ends = Counter(x.lower() for x in re.findall(r"</([a-zA-Z][a-zA-Z0-9]*)", html))
         self.link: Node | None = None  # the block in which the open link began
 
+    def _silence(self, tag: str) -> None:
+        self.silent, self.held, self.unclosed = [tag], Counter([tag]), not self.ends[tag]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.silent:
-            if tag not in VOID and tag in SILENT:
-                self.silent.append(tag)
-            elif tag in ("body", "article", "main") and self.silent[0] in ("head", "title"):
-                self.silent.clear()
+            own = self.silent[0]
+            if (
+                (own in ("head", "title") and tag in ("body", "article", "main"))
+                or (self.unclosed and tag in BLOCKS and len(self.silent) == 1)
+                or (own == "label" and tag in BLOCKS and self.at.tag in _IN_PARAGRAPH)
+            ):
+                self.silent = []
             else:
+                if tag not in VOID:
+                    self.silent.append(tag)
+                    self.held[tag] += 1
                 return
         if tag in ("html", "body"):
             return
         found = {k: v or "" for k, v in attrs}
         if tag in SILENT:
-            if tag not in VOID and not self.silent:
-                self.silent.append(tag)
+            if tag not in VOID:
+                self._silence(tag)
             return
         if tag == "br":
             self.at.children.append((" ", False))
         elif tag == "a":
             self.link = self.at
-            self.at.links += 1
+            self.at.own_links += 1
         elif tag in BLOCKS:
             self._implied(tag)
             if tag == "hr":
@@ -130,19 +146,19 @@ class Page(HTMLParser):
     def _enter(self, node: Node) -> None:
         self.at.children.append(node)
         self.at = node
-        self.open[node.tag] += 1
+        self.open[node.tag].append(node)
+        if node.tag not in BLOCKS:
+            self.inline.append(node)
 
     def _implied(self, tag: str) -> None:
         """Ends what a block of this tag cannot stand in: an open paragraph, and the row, cell or item before."""
         while self.at.parent and self.at.tag in _IN_PARAGRAPH:
             self._leave(self.at)
         ends, stop = _ENDS.get(tag, (set(), set()))
-        x: Node | None = self.at if any(self.open[t] for t in ends) else None
-        last = None
-        while x and x.parent and x.tag not in stop and x.tag in BLOCKS:
-            if x.tag in ends:
-                last = x
-            x = x.parent
+        if not ends:
+            return
+        floor = max([x[-1].depth for t in stop if (x := self.open[t])] + [x.depth for x in self.inline[-1:]], default=0)
+        last = min((x[-1] for t in ends if (x := self.open[t]) and x[-1].depth > floor), key=lambda x: x.depth, default=None)
         if last:
             self._leave(last)
 
@@ -150,25 +166,30 @@ class Page(HTMLParser):
         """Ends a node that is open, and all that is open in it."""
         if self.link and self.link is not node.parent:
             self.link = None
-        x = self.at
-        while x is not node:
-            self.open[x.tag] -= 1
-            x = x.parent
-        self.open[node.tag] -= 1
-        self.at = node.parent or self.root
+        while True:
+            x = self.at
+            self.open[x.tag].pop()
+            if self.inline and self.inline[-1] is x:
+                self.inline.pop()
+            self.at = x.parent or self.root
+            if x is node:
+                return
 
     def handle_endtag(self, tag: str) -> None:
+        self.ends[tag] -= 1
         if self.silent:
-            if tag in self.silent:
-                del self.silent[max(i for i, x in enumerate(self.silent) if x == tag) :]
-            return
+            if self.held[tag]:
+                while self.silent:
+                    self.held[x := self.silent.pop()] -= 1
+                    if x == tag:
+                        return
+            if not self.open[tag]:  # else the parent ends, and with it what is silent
+                return
+            self.silent = []
         if tag == "a":
             self.link = None
         elif self.open[tag]:
-            x = self.at
-            while x.tag != tag:
-                x = x.parent
-            self._leave(x)
+            self._leave(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.silent and data:
@@ -177,10 +198,30 @@ class Page(HTMLParser):
 
 def _measure(root: Node) -> list[Node]:
     """Counts and densities of the tree without noise; the nodes, parents first."""
+    nodes = _counted(root)
+    forms = [n for n in nodes if n.tag == "form" and not n.keeps and 2 * n.chars < root.chars]
+    if forms:
+        for form in forms:
+            form.noise = True
+        nodes = _counted(root)
+    share = root.link_chars / max(1, root.chars)
+    for node in nodes:
+        c, lc, tags = node.chars, node.link_chars, node.tags + node.links
+        if c:
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            node.density = c / tags * max(0.0, math.log(max(1.0, c / max(1, lc) * tags / max(1, node.links)))) / max(1.0, math.log(base) if base > math.e else 1.0)
+    for node in nodes:
+        node.total = sum(c.density for c in node.children if isinstance(c, Node))
+    return nodes
+
+
+def _counted(root: Node) -> list[Node]:
+    """The nodes without noise, parents first, with characters, tags and links of their own and of what is in them."""
     nodes, queue = [], [root]
     while queue:
         node = queue.pop()
         nodes.append(node)
+        node.chars, node.link_chars, node.tags, node.links = 0, 0, 1, node.own_links
         node.children = [c for c in node.children if not (isinstance(c, Node) and c.noise and not c.keeps)]
         queue.extend(c for c in reversed(node.children) if isinstance(c, Node))
     for node in reversed(nodes):
@@ -194,14 +235,6 @@ def _measure(root: Node) -> list[Node]:
                 n = len("".join(c[0].split()))
                 node.chars += n
                 node.link_chars += n * c[1]
-    share = root.link_chars / max(1, root.chars)
-    for node in nodes:
-        c, lc, tags = node.chars, node.link_chars, node.tags + node.links
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            node.density = c / tags * max(0.0, math.log(max(1.0, c / max(1, lc) * tags / max(1, node.links)))) / max(1.0, math.log(base) if base > math.e else 1.0)
-    for node in nodes:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node))
     return nodes
 
 
@@ -253,7 +286,7 @@ def main_text(html: str | None) -> str:
     """The main text of one page: blocks joined by newlines; empty if there is none."""
     if not html:
         return ""
-    page = Page()
+    page = Page(html)
     page.feed(html)
     page.close()
     node, core, threshold = _main(page.root)

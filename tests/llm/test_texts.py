@@ -439,6 +439,47 @@ def test_large_pages_take_seconds(html):
     assert time.time() - began < 20
 
 
+ARTICLE = "".join(f"<p>Sentence {k} of an article that goes on for quite a while, with commas, and says something new each time.</p>" for k in range(8))
+PLAIN = main_text.main_text(f"<body><div>{ARTICLE}</div></body>")
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><form action='x' id='aspnetForm'><input type=hidden value=1><div>{ARTICLE}</div><select><option>One<option>Two</select></form></body>",
+        f"<body><form><main><h1></h1>{ARTICLE}</main></form><form><p>Your mail<input></p><p>Send us your mail address</p></form></body>",
+        f"<body><div><label>Name<input></div><div>{ARTICLE}</div><label>closed</label></body>",
+        f"<body><div><p><label>Name<input><p></p></div><div>{ARTICLE}</div><div><label>Again</label></div></body>",
+        f"<body><div><nav><ul><li><a href=x>Menu</a></ul></div><div>{ARTICLE}</div><nav><a href=y>more</a></nav></body>",
+        f"<body><div><button>Press</div><section>{ARTICLE}</section></body>",
+        f"<body><section><aside><div>Aside<p>open</section><div>{ARTICLE}</div><aside>x</aside></body>",
+        f"<body><label>Name<div>{ARTICLE}</div></body>",
+        f"<body><div><nav><div><nav>Inner</nav></div></nav></div><article>{ARTICLE}</article></body>",
+    ],
+)
+def test_silent_parts_end(html):
+    assert PLAIN.count("\n") == 7 and main_text.main_text(html) == PLAIN
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<nav>" * 50_000 + "x" + "</nav>" * 50_000,
+        "<nav>" * 50_000,
+        "<li><ul>" + "<div><li></li>" * 50_000,
+        "<ul>" + "<li>x" * 50_000,
+        "<table>" + "<tr><td>x" * 25_000 + "</table>",
+        "<label><div>" * 25_000 + "</p>" * 25_000,
+        "<p><label>" * 25_000 + "x",
+        "<span hidden>" * 25_000 + "<li>" * 25_000,
+    ],
+)
+def test_deep_pages_take_seconds(html):
+    began = time.time()
+    main_text.main_text(html + f"<article>{ARTICLE}</article>")
+    assert time.time() - began < 5
+
+
 def test_pages_of_an_empty_table(spark):
     empty = main_text.extract(spark.createDataFrame([], "page_id long, url string, html string"))
     assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
