@@ -117,6 +117,21 @@ def test_language_samples_are_bounded(spark, monkeypatch):
     assert {x.doc_id: x.lang_pred for x in got} == {i: k for i, _, k in rows}
 
 
+def test_samples_have_a_bound(spark):
+    """Of three million rows, one key of which is repeated 100,000 times, no more than asked for come, the least ones by hash."""
+    from scriptorium.llm.folds import sample
+
+    rows = spark.range(3_000_000).select((F.col("id") % 7).cast("string").alias("label"), F.when(F.col("id") < 100_000, F.lit(3)).otherwise(F.col("id")).alias("doc_id"), F.lit("text").alias("text"))
+    got = sample(rows, "label", 500)
+    assert {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} == {str(k): 500 for k in range(7)}
+    assert got.columns == rows.columns and got.select("label", "doc_id").distinct().count() == 3500
+    more = sample(rows, "label", 400, skip=100)
+    first = sample(rows.select("doc_id", "label"), "label", 100)
+    assert sorted(map(str, first.unionByName(more.select("doc_id", "label")).collect())) == sorted(map(str, got.select("doc_id", "label").collect()))
+    few = spark.createDataFrame([(1, "a", "x"), (1, "a", "w"), (None, "a", "y"), (2, None, "z"), (3, "b", None)], "doc_id long, label string, text string")
+    assert sorted(map(tuple, sample(few, "label", 9).collect())) == [(1, "a", "w"), (3, "b", None)]
+
+
 def test_long_and_odd_texts_of_models(spark):
     """Empty tables, a null doc_id, a text of 20 MB, and columns with the results' names."""
     rows = [(i, "some plain words of a text " * 3, 1) for i in range(30)] + [(100, "word " * 4_000_000, 0), (None, "no id", 1), (101, None, 0)]
