@@ -57,10 +57,10 @@ ARROW_ROWS, _ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ARROW_ROWS rows for what runs inside; the session's own setting comes back after it."""
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside; the session's own setting comes back after it."""
     before = spark.conf.get(_ARROW)
-    spark.conf.set(_ARROW, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    spark.conf.set(_ARROW, str(min(int(before), rows) if int(before) > 0 else rows))
     try:
         yield
     finally:
