@@ -58,13 +58,9 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tu
         done += n
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-
-
 def lowered(data: np.ndarray) -> np.ndarray:
     """Bytes with A-Z as a-z."""
-    return _LOWER[data]
+    return data + ((data - np.uint8(ord("A")) < 26).view(np.uint8) << np.uint8(5))
 
 
 #: What is left of a piece of so many bytes.
@@ -98,6 +94,13 @@ class Words:
     def __init__(self, separators: bytes = SPACES):
         self.is_word = np.ones(256, bool)
         self.is_word[list(separators)] = False
+        self.spaces = set(separators) == set(SPACES)
+
+    def words(self, data: np.ndarray) -> np.ndarray:
+        """Which bytes are of words."""
+        if self.spaces:  # as the table says, without looking up
+            return (data - np.uint8(0x09) > 4) & (data != 0x20)
+        return self.is_word[data]
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where words start; a text's start also ends a word."""
@@ -105,26 +108,31 @@ class Words:
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words start and end."""
-        word = self.is_word[data]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        last = word.copy()
-        last[:-1] &= ~word[1:]
-        at = offsets[offsets < len(data)]
-        first[at] = word[at]
-        before = at[at > 0] - 1
-        last[before] = word[before]
-        return np.flatnonzero(first), np.flatnonzero(last) + 1
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word = self.words(data)
+        turns = np.empty(n + 1, bool)
+        turns[0], turns[n] = word[0], word[n - 1]
+        np.not_equal(word[1:], word[:-1], out=turns[1:n])
+        found = np.flatnonzero(turns)
+        first, last = found[0::2], found[1::2]
+        at = offsets[(offsets > 0) & (offsets < n)]
+        at = at[word[at] & word[at - 1]]  # texts that meet within a run
+        if len(at):
+            at = np.unique(at)
+            first, last = (np.sort(np.concatenate([x, at]), kind="stable") for x in (first, last))
+        return first, last
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' hashes, and where each text's words begin among them (one more than texts)."""
         at, end = self.spans(data, offsets)
-        return hash_words(_LOWER[data], at, end), np.searchsorted(at, offsets)
+        return hash_words(lowered(data), at, end), np.searchsorted(at, offsets)
 
     def twice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As a call, and between its two results the words' second hashes."""
         at, end = self.spans(data, offsets)
-        lower = _LOWER[data]
+        lower = lowered(data)
         return hash_words(lower, at, end), hash_words(lower, at, end, 50), np.searchsorted(at, offsets)
 
 

@@ -64,28 +64,30 @@ def word_sets(words: Words, data: np.ndarray, offsets: np.ndarray, rank: np.ndar
     hashes, second, begin = words.twice(data, offsets) if twice else (*(found := words(data, offsets))[:1], None, found[1])
     if not len(hashes):
         return hashes, hashes, np.zeros(len(offsets), np.int64)
-    # the slice's words by number, so that line, rank and word fit one key
-    order = np.argsort(hashes)
-    ranked = hashes[order]
-    edge = np.ones(len(ranked), bool)
-    edge[1:] = ranked[1:] != ranked[:-1]
-    known, pick = ranked[edge], order[edge]
-    key = np.empty(len(hashes), np.uint64)
-    key[order] = np.cumsum(edge) - 1
-    bits = np.uint64(len(known).bit_length())
-    if rank is not None:
-        key |= (rank[(known & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << bits)[key.astype(np.int64)]
     counts = np.diff(begin)
     full = np.flatnonzero(counts)
-    key |= np.repeat(np.arange(len(full), dtype=np.uint64) << (bits + np.uint64(RANK_BITS)), counts[full])
+    # one key to sort by: line, rank, as many bits of the hash as there is room for, and which word it is
+    of_line, of_word = np.uint64(len(full).bit_length()), np.uint64(len(hashes).bit_length())
+    of_hash = np.uint64(64 - RANK_BITS) - of_line - of_word
+    key = (hashes >> (np.uint64(64) - of_hash)) << of_word | np.arange(len(hashes), dtype=np.uint64)
+    if rank is not None:
+        key |= rank[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << (of_hash + of_word)
+    key |= np.repeat(np.arange(len(full), dtype=np.uint64) << (of_hash + of_word + np.uint64(RANK_BITS)), counts[full])
     key.sort()
-    keep = np.ones(len(key), bool)
-    keep[1:] = key[1:] != key[:-1]
-    key = key[keep]
+    at = (key & ((np.uint64(1) << of_word) - np.uint64(1))).astype(np.int64)
+    key >>= of_word
+    ids, same = hashes[at], key[1:] == key[:-1]
+    if (odd := np.flatnonzero(same & (ids[1:] != ids[:-1]))).size:  # different words that those bits do not tell apart, few if any
+        edges = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+        for g in np.unique(np.searchsorted(edges, odd, side="right") - 1):
+            own = slice(edges[g], edges[g + 1])
+            at[own] = at[own][np.argsort(ids[own], kind="stable")]
+        ids = hashes[at]
+    keep = np.ones(len(ids), bool)
+    keep[1:] = ~(same & (ids[1:] == ids[:-1]))
     count = np.zeros(len(offsets) - 1, np.int64)
-    count[full] = np.bincount((key >> (bits + np.uint64(RANK_BITS))).astype(np.int64), minlength=len(full))
-    number = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return known[number], second[pick][number] if twice else known[:0], np.concatenate([[0], np.cumsum(count)])
+    count[full] = np.bincount((key[keep] >> (of_hash + np.uint64(RANK_BITS))).astype(np.int64), minlength=len(full))
+    return ids[keep], second[at[keep]] if twice else ids[:0], np.concatenate([[0], np.cumsum(count)])
 
 
 def line_classes(ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -269,13 +271,16 @@ def _chosen_lines(of_docs: Bloom, of_classes: Bloom):
         for batch in batches:
             batch = batch.filter(pa.array(of_docs(batch.column(0).to_numpy())))
             for _, data, offsets, _, _ in line_slices(batch.column(1)):
-                ids, second, begin = word_sets(words, data, offsets, None, twice=True)
+                ids, _, begin = word_sets(words, data, offsets, None)
                 classes = line_classes(ids, begin)
                 keep = np.flatnonzero(of_classes(classes.view(np.int64)) & (np.diff(begin) > 0))
                 keep = keep[np.unique(classes[keep], return_index=True)[1]]
                 if len(keep):
                     found = pa.array([ids[begin[i] : begin[i + 1]].tobytes() for i in keep], pa.binary())
-                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(line_names(second, begin)[keep]), found], ["cls", "cls2", "words"])
+                    # names of these lines alone
+                    own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in keep])
+                    _, second, begin = word_sets(words, own, np.concatenate([[0], np.cumsum(np.diff(offsets)[keep])]), None, twice=True)
+                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(line_names(second, begin)), found], ["cls", "cls2", "words"])
 
     return run
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.cuts import cut, keep, scratch
+from scriptorium.functions.cuts import cut, keep, scratch, small_batches
 from scriptorium.llm.batches import text_slices
 from scriptorium.llm.graphs import small
 from scriptorium.llm.hashing import NOT_ALNUM, Words, lowered, slices
@@ -39,8 +39,8 @@ SAMPLE, SAMPLE_BYTES, LEVELS = 2048, 8 << 20, 5
 BLOCK_BYTES, CLUSTER, ROUNDS = 4 << 20, 64, 4
 #: Clusters that a query visits first, characters of items in a pass, and shares of the lists that are merged at the end.
 WAVE, PASS_CHARS, SHARES = 4, 4 << 20, 64
-#: Terms of queries that are scored together.
-TERMS_AT_ONCE = 1 << 15
+#: Terms of queries that are scored together, and clusters (some 100 kB each) that go to a Python worker at once.
+TERMS_AT_ONCE, CLUSTERS_AT_ONCE = 1 << 15, 64
 
 
 def split_terms(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
@@ -234,7 +234,7 @@ def _clusters(block: int, ids: np.ndarray, texts: pa.Array, documents: int, term
         members = np.flatnonzero(group == g)
         own = own[np.argsort(term[own], kind="stable")]
         used, begin = np.unique(term[own], return_index=True)
-        names = vocabulary.take(pa.array(used)).cast(pa.binary()).combine_chunks() if isinstance(vocabulary, pa.ChunkedArray) else vocabulary.take(pa.array(used))
+        names = vocabulary.take(pa.array(used))
         lengths = pc.binary_length(names).to_numpy().astype(np.int64)
         rows.append((
             block << 20 | g, int(ids[members[0]]), ids[members].astype(np.int64).tobytes(), np.cumsum(lengths).astype(np.int32).tobytes(), b"".join(names.to_pylist()),
@@ -242,9 +242,9 @@ def _clusters(block: int, ids: np.ndarray, texts: pa.Array, documents: int, term
             np.searchsorted(members, doc[own]).astype(np.uint16).tobytes(), impact[own].astype(np.int32).tobytes(),
         ))
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
-    names = [x.split()[0] for x in INDEX.split(", ")]
-    for a in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), kinds, strict=True)], names)
+    columns = [x.split()[0] for x in INDEX.split(", ")]
+    for a in range(0, len(rows), CLUSTERS_AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + CLUSTERS_AT_ONCE], strict=True), kinds, strict=True)], columns)
 
 
 class Queries:
@@ -358,7 +358,8 @@ def search(index: Index, items: DataFrame, k: int = 10, pass_chars: int = PASS_C
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
         keys = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(block)], "q long, item_id long")
-        return cut(_search_pass(index, Queries([t for _, t in block]), k, wave).join(F.broadcast(keys), "q").select("item_id", "rank", "doc_id", "score"), "found")
+        with small_batches(spark, CLUSTERS_AT_ONCE):
+            return cut(_search_pass(index, Queries([t for _, t in block]), k, wave).join(F.broadcast(keys), "q").select("item_id", "rank", "doc_id", "score"), "found")
 
     for row in cut(usable, "items").toLocalIterator():
         if block and size + len(row[1]) > pass_chars:
