@@ -82,10 +82,23 @@ def _import(files: DataFrame, target: CorpusStore, now: str, config: ImportConfi
     if n_orphans and not clear_orphans:
         planner.check_removals(plan, max(known, store_docs.count()), config.max_removal_ratio, n_orphans)
 
+    moved = plan.filter("action = 'renamed'").select("doc_id", F.col("path").alias("new_path"), "previous_path")
+    out = plan.filter("action = 'removed'").select("doc_id", "path").unionByName(plan.filter("action = 'updated'").select(F.col("previous_doc_id").alias("doc_id"), F.col("previous_path").alias("path")))
+    mine = work.select("doc_id", "path").unionByName(out).unionByName(moved.select("doc_id", F.col("new_path").alias("path"))).unionByName(moved.select("doc_id", F.col("previous_path").alias("path")))
+    mine = cut(mine.unionByName(lost.join(target.ledger(before).select("doc_id", "path"), "doc_id")), "mine")
+
+    def base(version: Version) -> DataFrame:
+        """The ledger of a version, as far as it is to be trusted."""
+        return (target.ledger(version).limit(0) if discarded and version.number == before.number else target.ledger(version)).join(lost, "doc_id", "left_anti")
+
     # the claim: rows in work take the place of all rows of their id or path
     claimed = work.select("doc_id", "path", F.lit("processing").alias("status"), F.lit(0).alias("chunk_count"), F.lit(now).alias("started_at"), F.lit("").alias("ready_at"))
-    kept = ledger.join(work.select("doc_id"), "doc_id", "left_anti").join(work.select("path"), "path", "left_anti")
-    claim = target.commit(before, ledger=target.write(kept.select(claimed.columns).unionByName(claimed), "ledger"), store_id=target.store_id or before.store_id)
+
+    def claiming(version: Version) -> dict:
+        kept = base(version).join(work.select("doc_id"), "doc_id", "left_anti").join(work.select("path"), "path", "left_anti")
+        return {"ledger": target.write(kept.select(claimed.columns).unionByName(claimed), "ledger"), "store_id": target.store_id or version.store_id}
+
+    claim = target.commit_on(before, mine, claiming)
 
     part = uuid.uuid4().hex
     made = cut(_with_error(chunker(texts)), "chunks")
@@ -100,20 +113,22 @@ def _import(files: DataFrame, target: CorpusStore, now: str, config: ImportConfi
         "doc_id", "path", F.when(F.col("bad"), "failed").otherwise("ready").alias("status"), F.when(F.col("bad"), 0).otherwise(F.col("n_chunks")).alias("chunk_count"),
         F.lit(now).alias("started_at"), F.when(F.col("bad"), "").otherwise(F.lit(now)).alias("ready_at"),
     )
-    moved = plan.filter("action = 'renamed'").select("doc_id", F.col("path").alias("new_path"))
-    out = plan.filter("action = 'removed'").select("doc_id").unionByName(plan.filter("action = 'updated'").select(F.col("previous_doc_id").alias("doc_id")))
-    rest = ledger.join(work.select("doc_id"), "doc_id", "left_anti").join(out, "doc_id", "left_anti").join(moved, "doc_id", "left")
-    rest = rest.withColumn("path", F.coalesce("new_path", "path")).select(rows.columns)
-    final = cut(rest.unionByName(rows), "ledger")
-
-    stay = store_docs.join(work.select("doc_id"), "doc_id", "left_anti").join(final.select("doc_id"), "doc_id", "left_semi").join(moved, "doc_id", "left")
-    stay = stay.withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
+    renamed = cut(ledger.join(moved.select("doc_id", "new_path"), "doc_id").withColumn("path", F.col("new_path")).select(rows.columns), "renamed")
     fresh = done.filter("bad is null").select("doc_id", "path", "n_chunks", F.lit(part).alias("part"))
-    tables = cut(stay.select(fresh.columns).unionByName(fresh), "store-docs")
-    live = {r[0] for r in tables.select("part").distinct().collect()}  # one for each import that is still of use
-    version = target.commit(
-        claim, ledger=target.write(final, "ledger"), docs=target.write(tables, "docs"), parts=tuple(p for p in (*before.parts, part) if p in live)
-    )
+    made_tables: list[DataFrame] = []
+
+    def finishing(version: Version) -> dict:
+        changed = work.select("doc_id").unionByName(out.select("doc_id")).unionByName(renamed.select("doc_id"))
+        final = cut(base(version).join(changed, "doc_id", "left_anti").select(rows.columns).unionByName(renamed).unionByName(rows), "ledger")
+        stay = target.docs(version).join(work.select("doc_id"), "doc_id", "left_anti").join(final.select("doc_id"), "doc_id", "left_semi").join(moved.select("doc_id", "new_path"), "doc_id", "left")
+        stay = stay.withColumn("path", F.coalesce("new_path", "path")).select(fresh.columns)
+        made_tables.append(cut(stay.unionByName(fresh), "store-docs"))
+        live = {r[0] for r in made_tables[-1].select("part").distinct().collect()}  # one for each import that is still of use
+        parts = tuple(p for p in dict.fromkeys((*version.parts, part)) if p in live)
+        return {"ledger": target.write(final, "ledger"), "docs": target.write(made_tables[-1], "docs"), "parts": parts}
+
+    version = target.commit_on(claim, mine, finishing)
+    tables = made_tables[-1]
     total = tables.agg(F.count("*"), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
     return ImportReport(
         version, {r[0]: r[1] for r in planner.action_counts(plan).collect()}, total[0], total[1], lost.count(), n_orphans, failed.count(), discarded

@@ -1,4 +1,5 @@
-"""From files to documents: every file gets a status, in one pass over contents and one shuffle of ids and paths."""
+"""From files to documents: every file gets a status, by two passes over contents and one shuffle of ids and paths. Texts are never
+shuffled, nor written on the way; what is left behind is the table of repeated ids that the result reads."""
 
 from __future__ import annotations
 
@@ -44,8 +45,7 @@ def ingest(files: DataFrame, config: AdmissionConfig | None = None, more: dict[s
     own = [F.when(breaks(F.col("path"), F.col("text")), F.lit(name)) for name, breaks in (more or {}).items()]
     judged = read.withColumn("late", F.coalesce(unread, secret)).withColumn("own", F.when(F.col("early").isNull() & F.col("late").isNull(), F.coalesce(*own, F.lit(None))).cast("string"))
     judged = judged.withColumn("doc_id", F.when(F.coalesce("early", "late", "own").isNull(), T.fingerprint(F.col("text"))))
-    # files are read and judged once; of what follows only ids and paths are shuffled, never texts
-    judged = cut(judged, "judged")
+    # copies are found by ids and paths alone, so texts are neither shuffled nor written; the files are read again with what is known of copies
     order = F.struct(path_order(F.col("path")).alias("parts"), "path")
     groups = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.min(order).getField("path").alias("first_path"), F.count("*").alias("n"))
     found = judged.join(small(cut(groups.filter("n > 1").drop("n"), "copies")), "doc_id", "left")

@@ -10,17 +10,22 @@ than it makes.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.cuts import cut
 from scriptorium.operators.planner import LEDGER
 
 DOCS = "doc_id string, path string, n_chunks int, part string"
 CHUNKS = "doc_id string, chunk_no int, start_line int, end_line int, content string, heading_path string"
 FORMAT = 1
+#: How often a commit is tried on the version of another import that was first.
+REBASES = 20
 
 
 class Conflict(RuntimeError):
@@ -57,12 +62,40 @@ class CorpusStore:
         numbers = self._versions()
         if not numbers:
             return Version(store_id=self.store_id or uuid.uuid4().hex[:12])
-        text = self.spark.read.text(f"{self.root}/versions/{numbers[-1]:010d}.json", wholetext=True).first()[0]
+        return self._read(numbers[-1])
+
+    def _read(self, number: int) -> Version:
+        text = self.spark.read.text(f"{self.root}/versions/{number:010d}.json", wholetext=True).first()[0]
         found = json.loads(text)
         if found["format"] != FORMAT:
             raise ValueError(f"the store has format {found['format']}, this reads {FORMAT}")
         return Version(**found | {"parts": tuple(found["parts"])})
 
+    def at(self, number: int) -> Version:
+        """The version of a number, as long as it is kept."""
+        if number not in self._versions():
+            raise LookupError(f"there is no version {number}")
+        return self._read(number)
+
+    def clear_up(self, keep: int = 10, grace_seconds: int = 86_400) -> int:
+        """Deletes all versions but the last ``keep``, and the tables and parts that none of those names; the number of folders deleted.
+
+        Folders that are younger than the grace may belong to an import that has not committed yet, so they stay.
+        """
+        numbers = self._versions()
+        kept = [self._read(n) for n in numbers[-max(1, keep) :]]
+        named = {x for v in kept for x in (v.ledger, v.docs, *(self.chunk_folder(p) for p in v.parts))}
+        named = {self._path(x).toUri().getPath() for x in named if x}
+        for n in numbers[: -max(1, keep)]:
+            self._fs.delete(self._path(f"{self.root}/versions/{n:010d}.json"), False)
+        deleted, limit = 0, time.time() - grace_seconds
+        for kind in ("ledger", "docs", "chunks"):
+            folder = self._path(f"{self.root}/{kind}")
+            for x in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if x.getPath().toUri().getPath() not in named and x.getModificationTime() / 1000 <= limit:
+                    deleted += bool(self._fs.delete(x.getPath(), True))
+        return deleted
+
     def ledger(self, version: Version) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(version.ledger) if version.ledger else self.spark.createDataFrame([], LEDGER)
 
@@ -132,6 +165,28 @@ class CorpusStore:
         self._put(json.dumps(asdict(after)), target, f"version {after.number} was committed by another import")
         return after
 
+    def touched(self, a: Version, b: Version) -> DataFrame:
+        """(doc_id, path) of ledger rows that are not alike in two versions, as each of them has it."""
+        x, y = self.ledger(a), self.ledger(b)
+        return x.exceptAll(y).unionByName(y.exceptAll(x)).select("doc_id", "path").distinct()
+
+    def commit_on(self, before: Version, mine: DataFrame, changes: Callable[[Version], dict]) -> Version:
+        """Commits what changes makes of the version that it is given, and, if another import was first, of that one's version, as long as
+        the rows that it touched have no id and no path of mine (doc_id, path). Otherwise the conflict is raised."""
+        base = before
+        for _ in range(REBASES):
+            try:
+                return self.commit(base, **changes(base))
+            except Conflict:
+                now = self.current()
+                if before.number and now.store_id != before.store_id:
+                    raise
+                others = cut(self.touched(base, now), "touched")
+                if not others.join(mine.select("doc_id"), "doc_id", "left_semi").isEmpty() or not others.join(mine.select("path"), "path", "left_semi").isEmpty():
+                    raise
+                base = now
+        raise Conflict(f"{REBASES} other imports were first, one after another")
+
     def _put(self, text: str, target: str, conflict: str) -> None:
         """Writes a small file whole or not at all, and never over another."""
         jvm, path, draft = self.spark._jvm, self._path(target), self._path(f"{target}.{uuid.uuid4().hex}.draft")

@@ -426,6 +426,65 @@ def test_a_document_that_fails_stops_no_other(spark, tmp_path):
     assert again.actions == {"resumed": 3, "unchanged": 27} and again.failed == 0 and set(_state(target)[0].values()) == {"ready"}
 
 
+def test_imports_of_disjoint_files_both_commit(spark, tmp_path):
+    """An import that another one overtakes is made on the other's version, unless both touch one document or path."""
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    one = {f"a{i}.md": f"# A {i}\n\nbody of document {i} in a" for i in range(4)}
+    two = {f"b{i}.md": f"# B {i}\n\nbody of document {i} in b" for i in range(5)}
+    import_documents(_files(spark, {"a0.md": "# A\n\nfirst body", "old.md": one["a1.md"], "b9.md": "# B\n\nstays as it is"}), target, NOW)
+
+    def meanwhile(other):
+        """A chunker during which another import is begun and done."""
+        done = []
+
+        def chunker(docs):
+            if not done:
+                done.append(import_documents(_files(spark, other), target, NOW, remove=False))
+            return chunking.fixed_lines(docs, 50)
+
+        return chunker
+
+    got = import_documents(_files(spark, one), target, NOW, chunker=meanwhile(two), remove=False)
+    assert got.actions == {"updated": 1, "renamed": 1, "added": 2} and got.documents == 10
+    ledger, chunks = _state(target)
+    assert set(ledger) == set(one) | set(two) | {"b9.md"} and set(ledger.values()) == {"ready"}
+    assert chunks == {(p, t) for p, t in {**one, **two, "b9.md": "# B\n\nstays as it is"}.items()}
+    # one document, or one path, in both
+    same = {"c.md": "# C\n\nthe same body", "d.md": "# D\n\nanother one"}
+    for other in ({"e.md": same["d.md"]}, {"d.md": "# E\n\nother text for this path"}):
+        before = import_documents(_files(spark, one), target, NOW, remove=False)
+        with pytest.raises(Conflict):
+            import_documents(_files(spark, same), target, "2026-09-19T09:00:00", chunker=meanwhile_stealing(spark, target, other), remove=False)
+        assert before.version.number < target.current().number
+
+
+def meanwhile_stealing(spark, target, other):
+    """A chunker during which another import takes over what is claimed, as its time is over."""
+
+    def chunker(docs):
+        import_documents(_files(spark, other), target, "2026-09-20T09:00:00", remove=False)
+        return chunking.fixed_lines(docs, 50)
+
+    return chunker
+
+
+def test_versions_are_kept_and_cleared_up(spark, tmp_path):
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    for k in range(3):
+        import_documents(_files(spark, {"a.md": f"# A\n\nbody number {k}", f"b{k}.md": f"# B\n\nbody of b {k}"}), target, NOW, ImportConfig(max_removal_ratio=1))
+    now = target.current()
+    assert target.at(now.number) == now and {r.content for r in target.chunks(target.at(2)).collect()} == {"# A\n\nbody number 0", "# B\n\nbody of b 0"}
+    before = _state(target)
+    assert target.clear_up(keep=100) == 0 and target.clear_up(keep=2) == 0 and _state(target) == before  # all are young
+    loose = target.write(target.docs(now), "docs")  # as of an import that is under way
+    assert target.clear_up(keep=2) == 0 and os.path.isdir(loose.removeprefix("file:"))
+    assert target.clear_up(keep=1, grace_seconds=-5) > 5 and _state(target) == before and target.current() == now
+    with pytest.raises(LookupError):
+        target.at(2)
+    import_documents(_files(spark, {"a.md": "# A\n\nbody number 9"}), target, NOW, remove=False)
+    assert ("a.md", "# A\n\nbody number 9") in _state(target)[1]
+
+
 def test_many_cases_on_one_file(spark):
     """20,000 cases on a file of as many chunks are no product."""
     n = 20_000
