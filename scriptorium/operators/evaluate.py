@@ -16,9 +16,8 @@ CASE = "id string, question string, path string, source_text string, expect_star
 RANGE = 64
 
 
-def _chunks(cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
-    """Chunks (setting, __source, chunk_no, start_line, end_line, citation) that stay, of each distinct file and each of configs."""
-    sources = cases.select("path", F.col("source_text").alias("text")).distinct().withColumn("__source", F.xxhash64("path", "text"))
+def _chunks(sources: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
+    """Chunks (setting, __source, chunk_no, start_line, end_line, citation) that stay, of each of sources (__source, path, text) and of configs."""
     made = chunking.sections(sources, [(c.strategy, c.max_lines) for c in configs])
     kept = []
     for rules in dict.fromkeys(c.filter for c in configs):
@@ -35,12 +34,24 @@ def outcomes_of(cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
     """(setting, id, family, path, hit, matched_citation) for each case and the number of each of configs: the first covering
     chunk's citation, null for a miss.
 
-    Each distinct file is read once and chunked by all settings. A chunk stands in the ranges of RANGE lines that it has lines in, a case in that
+    Each distinct file is read once and chunked by all settings.
+    """
+    sources = cases.select("path", F.col("source_text").alias("text")).distinct().withColumn("__source", F.xxhash64("path", "text").cast("string"))
+    return _met(sources, cases.withColumn("__source", F.xxhash64("path", "source_text").cast("string")), configs)
+
+
+def outcomes_in(sources: DataFrame, cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
+    """``outcomes_of`` cases (id, family, path, expect_start_line, expect_end_line) whose files are rows of sources (path, text), a path once."""
+    return _met(sources.select("path", "text").withColumn("__source", F.col("path")), cases.withColumn("__source", F.col("path")), configs)
+
+
+def _met(sources: DataFrame, cases: DataFrame, configs: list[ChunkConfig]) -> DataFrame:
+    """The outcomes of cases by their __source. A chunk stands in the ranges of RANGE lines that it has lines in, a case in that
     of its first line, and only chunks and cases of one range meet; so many cases of one long file are no product with its chunks.
     """
-    chunks = _chunks(cases, configs)
+    chunks = _chunks(sources, configs)
     dealt = chunks.withColumn("__range", F.explode(F.sequence(F.expr(f"start_line div {RANGE}"), F.expr(f"end_line div {RANGE}"))))
-    asked = cases.withColumn("__source", F.xxhash64("path", "source_text")).withColumn("__range", F.expr(f"expect_start_line div {RANGE}"))
+    asked = cases.withColumn("__range", F.expr(f"expect_start_line div {RANGE}"))
     asked = asked.select("id", "family", "path", "__source", "__range", "expect_start_line", "expect_end_line").withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1))))
     met = asked.join(dealt, ["setting", "__source", "__range"], "left")
     covers = (F.col("start_line") <= F.col("expect_start_line")) & (F.col("end_line") >= F.col("expect_end_line"))

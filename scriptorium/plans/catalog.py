@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import AdmissionConfig, ChunkConfig, ImportConfig
 from scriptorium.functions import text as T
-from scriptorium.functions.cuts import shared_dir
+from scriptorium.functions import storage
+from scriptorium.functions.cuts import cut, keep, shared_dir
 from scriptorium.operators import admission, chunking, evaluate, filters, importer, ingest, planner, store
 from scriptorium.operators import headings as H
 from scriptorium.plans import corpora as C
 from scriptorium.plans import samples
+from scriptorium.sources import files as source
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -308,3 +310,60 @@ def import_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = importer.import_documents(C.doc_files(spark, sf_dir), target, C.NOW, config).version
     stored = target.docs(version).select("doc_id", F.col("n_chunks").alias("stored"))
     return target.ledger(version).join(stored, "doc_id", "left").select("doc_id", "path", "status", "chunk_count", "stored")
+
+
+_SCANNED = """files AS (SELECT doc_id, source, text, doc_id % 12 AS m, CASE WHEN doc_id % 12 = 2 THEN '.env.' || doc_id WHEN doc_id % 12 = 3 THEN '_' || doc_id || '.md' WHEN doc_id % 12 = 4 THEN doc_id || '.txt' ELSE doc_id || '.md' END AS name,
+    CASE WHEN doc_id % 12 = 1 THEN '.hidden' WHEN doc_id % 12 = 5 THEN 'node_modules' WHEN doc_id % 12 = 6 THEN 'deep/er/still' ELSE 'd' || (doc_id % 7) END AS folder FROM documents)"""
+
+
+@query(rf"""WITH {_SCANNED} SELECT 'docs/' || source || '/' || folder || '/' || name AS path, CAST(strlen(text) + CASE WHEN m = 7 THEN 1 ELSE 0 END AS BIGINT) AS size,
+  m IN (2, 4) AS unread, CASE WHEN m IN (2, 4) THEN NULL WHEN m = 7 THEN sha256('FF' || hex(text)) ELSE sha256(hex(text)) END AS bytes_sha256
+  FROM files WHERE m NOT IN (1, 5)""")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a tree of files, written by tasks and scanned: hidden and ignored folders, hidden names, other suffixes
+    and bytes that are no text among them. The tree is deleted once it is read."""
+    root = storage.qualified(spark, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}")
+    m, number = F.col("doc_id") % 12, F.col("doc_id").cast("string")
+    name = F.when(m == 2, F.concat(F.lit(".env."), number)).when(m == 3, F.concat(F.lit("_"), number, F.lit(".md"))).when(m == 4, F.concat(number, F.lit(".txt"))).otherwise(F.concat(number, F.lit(".md")))
+    folder = F.when(m == 1, ".hidden").when(m == 5, "node_modules").when(m == 6, "deep/er/still").otherwise(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")))
+    body = F.when(m == 7, F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    files = C.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", folder, name).alias("path"), body.alias("content"))
+    try:
+        cut(source.write_files(files, root), "written").count()
+        rows = source.scan(spark, root).select("path", "size", F.col("content").isNull().alias("unread"), F.sha2(F.hex("content"), 256).alias("bytes_sha256"))
+        return keep(rows, "scanned")
+    finally:
+        storage.delete(spark, root)
+
+
+@query(f"WITH {_PLAN} SELECT path, action, CASE WHEN action = 'renamed' THEN previous_path || ' -> ' || path || ' (same content)' WHEN action = 'updated' THEN path || ' (new content, was ' || previous_doc_id || ')' WHEN action = 'removed' THEN path || ' (gone)' WHEN action = 'locked' THEN path || ' (in work elsewhere)' WHEN action = 'resumed' THEN path || ' (' || coalesce(reason, 'taken over') || ')' ELSE path END AS description FROM plan")
+def plan_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.in_order(planner.described(_plan(spark, sf_dir))).select("path", "action", "description")
+
+
+@query(f"""WITH {C.SQL_FILES}, {_sql_windows('doc_files', WINDOW)} SELECT path, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, content, heading_path FROM chunks""")
+def chunks_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents by the table function, in SQL."""
+    chunking.register_table_functions(spark)
+    C.doc_texts(spark, sf_dir).createOrReplaceTempView("texts_of_documents")
+    return spark.sql(f"SELECT d.path, c.* FROM texts_of_documents d, LATERAL chunk_text('fixed_lines', d.path, d.text, {WINDOW}) c")
+
+
+_TURNS = f"{C.SQL_CONV}, asked AS (SELECT 'conv/' || conv_id || '-' || (turn // {C.TURNS}) || '.md' AS path, conv_id || ':' || turn AS id, role AS family, 'Turn ' || turn || ' ' || role AS title FROM conversations)"
+
+
+@query(rf"""WITH RECURSIVE {_TURNS}, {SQL_HEADS}, {_sql_split(BLOCK)}, spans AS ({SQL_PIECES}),
+chunks AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY start_line) AS chunk_no, start_line, end_line, content, heading_path FROM spans WHERE NOT ({C.sql_blank("content")})), {SQL_FILTERED},
+cases AS (SELECT a.id, a.family, a.path, h.ln AS line FROM asked a JOIN heads h ON h.path = a.path AND h.title = a.title)
+SELECT id, family, path, matched_citation IS NOT NULL AS hit, matched_citation FROM (SELECT c.id, c.family, c.path, min(CASE WHEN k.drop_rule IS NULL THEN k.path || ':' || k.start_line || '-' || k.end_line END) AS matched_citation
+  FROM cases c LEFT JOIN filtered k ON k.path = c.path AND k.start_line <= c.line AND k.end_line >= c.line + 2 GROUP BY ALL)""")
+def eval_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each turn of each conversation: the lines of its heading and the first line under it."""
+    texts = C.conv_md(spark, sf_dir)
+    heads = chunking.heading_blocks(texts).select("path", "title", F.col("start_line").alias("line"))
+    turn = F.col("turn").cast("string")
+    asked = C.table(spark, sf_dir, "conversations").select(
+        C.conv_path().alias("path"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn).alias("id"), F.col("role").alias("family"), F.concat(F.lit("Turn "), turn, F.lit(" "), "role").alias("title")
+    )
+    cases = asked.join(heads, ["path", "title"]).select("id", "family", "path", F.col("line").alias("expect_start_line"), (F.col("line") + 2).alias("expect_end_line"))
+    return evaluate.outcomes_in(texts, cases, [ChunkConfig("markdown_heading", BLOCK)]).drop("setting")

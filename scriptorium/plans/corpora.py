@@ -6,7 +6,7 @@ each 5,000 turns, so that a file is bounded), and from the files comes a ledger
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -30,6 +30,11 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_files(spark, sf_dir).select("path", T.normalize(F.col("text")).alias("text"))
 
 
+def conv_path() -> Column:
+    """The file of a turn (conv_id, turn)."""
+    return F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("-"), F.floor(F.col("turn") / TURNS).cast("string"), F.lit(".md"))
+
+
 def conv_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.floor(F.col("turn") / TURNS).cast("long")
     sign = F.when(F.col("turn") % 2 == 0, "## ").otherwise("### ")
@@ -38,8 +43,7 @@ def conv_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = turns.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("pieces"))
     body = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
     head = F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"))
-    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("block").cast("string"), F.lit(".md"))
-    return whole.select(path.alias("path"), T.normalize(F.concat(head, body)).alias("text"))
+    return whole.withColumn("turn", F.col("block") * TURNS).select(conv_path().alias("path"), T.normalize(F.concat(head, body)).alias("text"))
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,32 @@ def list_files(spark: SparkSession, root: str, ignored: tuple[str, ...] | None =
     return found
 
 
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes content (binary) of each row to the file path below root, by tasks; (path, size) of what was written. root is a qualified path.
+
+    A file is written under another name and renamed, so a lost task leaves no half file under its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                store, where = storage.opened(f"{root}/{path}")
+                folder = where.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                draft = f"{folder}/.{uuid.uuid4().hex}.draft"
+                with store.open_output_stream(draft, compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(draft, where)
+                sizes.append(len(content.as_buffer()))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, size long")
+
+
 class _Part(InputPartition):
     """A file of the listing."""
 
