@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
@@ -21,6 +24,28 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def put_new(store: fs.FileSystem, path: str, text: str) -> bool:
+    """Writes a small file whole, unless it is there: false then. For any process."""
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    with store.open_output_stream(draft, compression=None) as out:
+        out.write(text.encode())
+    try:
+        if isinstance(store, fs.LocalFileSystem):
+            os.link(draft, path)  # unlike a rename, never over another
+        elif store.get_file_info(path).type != fs.FileType.NotFound:
+            return False
+        else:
+            store.move(draft, path)  # HDFS refuses to rename over another
+            return True
+    except FileExistsError:
+        return False
+    finally:
+        if store.get_file_info(draft).type != fs.FileType.NotFound:
+            store.delete_file(draft)
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a file or a folder with all in it, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

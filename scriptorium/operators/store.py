@@ -39,6 +39,8 @@ class Version:
     ledger: str = ""
     docs: str = ""
     parts: tuple[str, ...] = ()
+    #: Parts that the sink wrote since docs and ledger were; their documents come over those, later ones over earlier ones.
+    deltas: tuple[str, ...] = ()
     format: int = field(default=FORMAT)
 
 
@@ -69,7 +71,7 @@ class CorpusStore:
         found = json.loads(text)
         if found["format"] != FORMAT:
             raise ValueError(f"the store has format {found['format']}, this reads {FORMAT}")
-        return Version(**found | {"parts": tuple(found["parts"])})
+        return Version(**found | {"parts": tuple(found["parts"]), "deltas": tuple(found.get("deltas", ()))})
 
     def at(self, number: int) -> Version:
         """The version of a number, as long as it is kept."""
@@ -84,23 +86,40 @@ class CorpusStore:
         """
         numbers = self._versions()
         kept = [self._read(n) for n in numbers[-max(1, keep) :]]
-        named = {x for v in kept for x in (v.ledger, v.docs, *(self.chunk_folder(p) for p in v.parts))}
+        named = {x for v in kept for x in (v.ledger, v.docs, *(self.chunk_folder(p) for p in v.parts), *(f"{self.root}/deltas/part={p}" for p in v.deltas))}
         named = {self._path(x).toUri().getPath() for x in named if x}
         for n in numbers[: -max(1, keep)]:
             self._fs.delete(self._path(f"{self.root}/versions/{n:010d}.json"), False)
         deleted, limit = 0, time.time() - grace_seconds
-        for kind in ("ledger", "docs", "chunks"):
+        for kind in ("ledger", "docs", "chunks", "deltas", "drafts"):
             folder = self._path(f"{self.root}/{kind}")
             for x in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
                 if x.getPath().toUri().getPath() not in named and x.getModificationTime() / 1000 <= limit:
                     deleted += bool(self._fs.delete(x.getPath(), True))
         return deleted
 
+    def _saved(self, version: Version) -> DataFrame:
+        """(doc_id, path, n_chunks, part, at) of the documents of deltas, each as the last one has it."""
+        folders = [f"{self.root}/deltas/part={p}" for p in version.deltas]
+        rows = self.spark.read.schema("doc_id string, path string, n_chunks int, at string, part string").option("basePath", f"{self.root}/deltas").parquet(*folders)
+        whole = rows.groupBy("doc_id", "part").agg(F.max("path").alias("path"), F.sum("n_chunks").cast("int").alias("n_chunks"), F.max("at").alias("at"))
+        order = F.array_position(F.array(*map(F.lit, version.deltas)), F.col("part"))
+        last = whole.groupBy("doc_id").agg(F.max_by(F.struct("path", "n_chunks", "part", "at"), order).alias("x"))
+        return last.select("doc_id", "x.*")
+
     def ledger(self, version: Version) -> DataFrame:
-        return self.spark.read.schema(LEDGER).parquet(version.ledger) if version.ledger else self.spark.createDataFrame([], LEDGER)
+        base = self.spark.read.schema(LEDGER).parquet(version.ledger) if version.ledger else self.spark.createDataFrame([], LEDGER)
+        if not version.deltas:
+            return base
+        saved = self._saved(version).select("doc_id", "path", F.lit("ready").alias("status"), F.col("n_chunks").alias("chunk_count"), F.col("at").alias("started_at"), F.col("at").alias("ready_at"))
+        return base.join(saved.select("doc_id"), "doc_id", "left_anti").join(saved.select("path"), "path", "left_anti").select(saved.columns).unionByName(saved)
 
     def docs(self, version: Version) -> DataFrame:
-        return self.spark.read.schema(DOCS).parquet(version.docs) if version.docs else self.spark.createDataFrame([], DOCS)
+        base = self.spark.read.schema(DOCS).parquet(version.docs) if version.docs else self.spark.createDataFrame([], DOCS)
+        if not version.deltas:
+            return base
+        saved = self._saved(version).select("doc_id", "path", "n_chunks", "part")
+        return base.join(saved.select("doc_id"), "doc_id", "left_anti").join(saved.select("path"), "path", "left_anti").select(saved.columns).unionByName(saved)
 
     def chunks(self, version: Version) -> DataFrame:
         """Chunks of the version's documents with their present paths, from one scan of all its parts."""
@@ -159,7 +178,9 @@ class CorpusStore:
         return path
 
     def commit(self, before: Version, **changes) -> Version:
-        """Makes the version after ``before`` current."""
+        """Makes the version after ``before`` current. Deltas of before are put into the tables that are written anew."""
+        if before.deltas and "deltas" not in changes:
+            changes = {"ledger": self.write(self.ledger(before), "ledger"), "docs": self.write(self.docs(before), "docs")} | changes | {"deltas": ()}
         after = Version(**asdict(before) | changes | {"number": before.number + 1})
         target = f"{self.root}/versions/{after.number:010d}.json"
         self._put(json.dumps(asdict(after)), target, f"version {after.number} was committed by another import")

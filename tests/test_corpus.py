@@ -485,6 +485,40 @@ def test_versions_are_kept_and_cleared_up(spark, tmp_path):
     assert ("a.md", "# A\n\nbody number 9") in _state(target)[1]
 
 
+def test_the_store_as_a_sink(spark, tmp_path):
+    """A save is one version; one that fails leaves the former version, and nothing of its own, behind."""
+    from scriptorium.sources.sink import CorpusSink
+
+    spark.dataSource.register(CorpusSink)
+    target = CorpusStore(spark, str(tmp_path / "store"), "s1")
+    files = {f"d{i}.md": f"# Title {i}\n\nbody of document {i}\n\n## More\n\nand more of {i}" for i in range(6)}
+    import_documents(_files(spark, files), target, NOW)
+
+    def save(chunks, mode="append"):
+        chunks.repartition(3).write.format("corpus_store").options(root=str(tmp_path / "store"), now=NOW).mode(mode).save()
+
+    new = {"e.md": "# E\n\nnew document", "d1.md": files["d1.md"] + "\nlonger than before"}
+    chunks = chunking.markdown_heading(_files(spark, new).select("path", "text").withColumn("doc_id", F.sha2("path", 256)), 50)
+    save(chunks)
+    want = {p: t for p, t in {**files, **new}.items()}
+    ledger, stored = _state(target)
+    assert set(ledger) == set(want) and all("\n".join(sorted((c for q, c in stored if q == p), key=lambda c: c.startswith("## "))).replace("\n", "") == t.replace("\n", "") for p, t in want.items())
+    assert sum(r.n_chunks for r in target.docs(target.current()).collect()) == target.chunks(target.current()).count() == len(stored)
+    before = target.current()
+    broken = chunks.withColumn("doc_id", F.when(F.col("path") == "e.md", F.col("doc_id")))
+    with pytest.raises(Exception, match="needs the id"):
+        save(broken)
+    assert target.current() == before and _state(target) == (ledger, stored) and not os.listdir(tmp_path / "store" / "drafts")
+    # a later save of a document replaces it, an import goes on from there, and an import folds what was saved
+    save(chunks.filter("path = 'e.md' and chunk_no = 1").withColumn("content", F.lit("only this now")))
+    assert {c for p, c in _state(target)[1] if p == "e.md"} == {"only this now"}
+    import_documents(_files(spark, {"f.md": "# F\n\nfrom an import"}), target, NOW, remove=False)
+    assert target.current().deltas == () and {p for p, _ in _state(target)[1]} == {*want, "f.md"}
+    save(chunks.filter("path = 'e.md'"), "overwrite")
+    assert set(_state(target)[0]) == {"e.md"}
+    assert target.clear_up(keep=1, grace_seconds=-5) > 0 and {p for p, _ in _state(target)[1]} == {"e.md"}
+
+
 def test_many_cases_on_one_file(spark):
     """20,000 cases on a file of as many chunks are no product."""
     n = 20_000
