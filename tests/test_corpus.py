@@ -519,6 +519,38 @@ def test_the_store_as_a_sink(spark, tmp_path):
     assert target.clear_up(keep=1, grace_seconds=-5) > 0 and {p for p, _ in _state(target)[1]} == {"e.md"}
 
 
+def test_a_ledger_in_state_with_expiry(spark, tmp_path):
+    """A claim is live until its time is over, which a timer tells between batches; state outlives the query."""
+    from datetime import datetime, timedelta
+
+    from scriptorium.streaming.ledger import EVENT, plan_stream
+
+    begin = datetime(2026, 9, 19)
+    batches = [
+        [("a", "i1", "seen", 0), ("b", "i2", "seen", 0), ("b", "i2", "ready", 5), ("c", "i3", "seen", 0), ("c", "i3", "failed", 1), (None, "i", "seen", 0)],
+        [("a", "i1", "seen", 10), ("b", "i2", "seen", 10), ("c", "i3", "seen", 10), ("b", "i9", "seen", 11)],
+        [("z", "i5", "seen", 200)],
+        [("a", "i1", "seen", 201), ("b", "i9", "ready", 202), ("b", "i9", "gone", 203), ("b", "i2", "seen", 204)],
+    ]
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(p, d, e, begin + timedelta(minutes=m)) for p, d, e, m in rows], EVENT).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = plan_stream(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")))
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True)
+        writer.start(str(tmp_path / "out")).awaitTermination()
+        found = [(r.path, r.doc_id, r.action, r.previous_doc_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+        for x in got:
+            found.remove(x)
+        got += found
+        want = [
+            {("a", "i1", "added", None), ("b", "i2", "added", None), ("c", "i3", "added", None)},
+            {("a", "i1", "locked", "i1"), ("b", "i2", "unchanged", "i2"), ("c", "i3", "resumed", "i3"), ("b", "i9", "updated", "i2")},
+            {("z", "i5", "added", None), ("a", "i1", "expired", None), ("b", "i9", "expired", "i2"), ("c", "i3", "expired", None)},
+            {("a", "i1", "resumed", "i1"), ("b", "i9", "removed", "i9"), ("b", "i2", "added", None)},
+        ][k]
+        assert set(found) == want and len(found) == len(want), k
+
+
 def test_many_cases_on_one_file(spark):
     """20,000 cases on a file of as many chunks are no product."""
     n = 20_000
