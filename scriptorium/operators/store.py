@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.cuts import cut
 from scriptorium.operators.planner import LEDGER
+from scriptorium.sources import json_map
 
 DOCS = "doc_id string, path string, n_chunks int, part string"
 CHUNKS = "doc_id string, chunk_no int, start_line int, end_line int, content string, heading_path string"
@@ -244,15 +245,15 @@ def orphans(store_docs: DataFrame, ledger: DataFrame) -> DataFrame:
     return store_docs.join(ledger.select("doc_id"), "doc_id", "left_anti")
 
 
-def read_json_ledger(spark: SparkSession, path: str) -> DataFrame:
+def read_json_ledger(spark: SparkSession, path: str, split: int = json_map.SPLIT) -> DataFrame:
     """A ledger from one JSON file {version, store_id, docs: {doc_id: row}}; older rows lack a status (then ready) or
-    have imported_at for ready_at. A file that is not there is an empty ledger."""
+    have imported_at for ready_at. A file that is not there is an empty ledger. It is read in ranges of split bytes."""
     row = "struct<path:string,status:string,chunk_count:int,started_at:string,ready_at:string,imported_at:string>"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
         return spark.createDataFrame([], LEDGER)
-    text = spark.read.text(path, wholetext=True)
-    docs = text.select(F.explode(F.from_json("value", f"struct<docs:map<string,{row}>>").getField("docs")).alias("doc_id", "r"))
+    entries = json_map.read_entries(spark, path, "docs", split)
+    docs = entries.select(F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,{row}>")).alias("doc_id", "r"))
     known = F.when(F.col("r.status").isin("processing", "ready", "failed"), F.col("r.status")).otherwise("ready")
     empty = F.lit("")
     return docs.select(

@@ -280,6 +280,21 @@ def test_a_crash_between_draft_and_version(spark, tmp_path):
     assert target.commit(now, ledger=now.ledger).number == now.number + 1
 
 
+@pytest.mark.parametrize("split", [1 << 20, 7, 64, 1000])
+def test_json_ledgers_in_parts(spark, tmp_path, split):
+    """The same rows by one range and by many; quotes, backslashes, brackets and commas in strings; other maps beside docs."""
+    r = random.Random(split)
+    odd = lambda: "".join(r.choice(['a', '"', "\\", "{", "}", "[", ",", ":", "é", "\n", " ", '"docs": {']) for _ in range(r.randint(0, 9)))
+    n = 12 if split < 20 else 150
+    docs = {f"{odd()}{k}": {"path": odd(), "status": r.choice(["ready", "failed", "odd"]), "chunk_count": k, "started_at": odd(), "ready_at": "", "more": {"x": [1, {"y": odd()}]}} for k in range(n)}
+    whole = {"version": 1, "meta": {"docs": {"no": {"path": "no"}}, "list": [{"a": 1}, 2]}, "name": 'docs": {', "docs": docs, "tail": {"t": {"path": "no"}, "u": None}}
+    (tmp_path / "l.json").write_text(json.dumps(whole, indent=r.choice([None, 2]), ensure_ascii=bool(r.randrange(2))))
+    got = {x.doc_id: (x.path, x.status, x.chunk_count, x.started_at) for x in read_json_ledger(spark, str(tmp_path / "l.json"), split).collect()}
+    assert got == {i: (d["path"], d["status"] if d["status"] != "odd" else "ready", d["chunk_count"], d["started_at"]) for i, d in docs.items()}
+    (tmp_path / "e.json").write_text('{"version": 1}')
+    assert read_json_ledger(spark, str(tmp_path / "e.json"), split).count() == 0
+
+
 def test_json_ledger_is_written_as_it_is_read(spark, tmp_path):
     rows = [("i2", 'b "x".md', "failed", 0, "t", ""), ("i1", "ä.md", "ready", 3, "t", "u")]
     path = str(tmp_path / "ledger.json")
