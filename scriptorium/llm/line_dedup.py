@@ -143,8 +143,9 @@ def word_ranks(pieces: DataFrame) -> np.ndarray:
 PREFIX = "key long, cls long, n int, place int, b0 long, b1 long, doc long, line int"
 
 
-def _prefixes(rank_bytes: bytes) -> Callable:
-    """Rows for the prefix words of a slice's classes, each with the class's first line in the slice.
+def _prefixes(rank_bytes: bytes, of_classes: Bloom | None = None, of_keys: Bloom | None = None) -> Callable:
+    """Rows for the prefix words of a slice's classes, each with the class's first line in the slice; with filters, of the classes or keys
+    that may be wanted only.
 
     The key is the word, or the word and two of its shares: the lines of a word that more than 2 ** HOT_LOG lines hold are
     dealt to shares, and every two shares meet under a key of their own.
@@ -162,6 +163,8 @@ def _prefixes(rank_bytes: bytes) -> Callable:
                 order = np.lexsort((number, docs))
                 once = order[np.unique(classes[order], return_index=True)[1]]
                 used = once[n[once] >= 4]
+                if of_classes:
+                    used = used[of_classes(classes[used].view(np.int64))]
                 if not len(used):
                     continue
                 bits, full, where = np.zeros((2, len(n)), np.uint64), np.flatnonzero(n), mix(ids, 3) >> np.uint64(57)
@@ -180,6 +183,9 @@ def _prefixes(rank_bytes: bytes) -> Callable:
                 own = classes[used][of] % shares
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 key = np.where(shares > 1, mix(word + (low << np.uint64(44)) + mix(high, 5), 4), mix(word, 4))
+                if of_keys:
+                    wanted = of_keys(key.view(np.int64))
+                    key, of, place = key[wanted], of[wanted], place[wanted]
                 yield pa.RecordBatch.from_arrays(
                     [signed(key), signed(classes[used][of]), pa.array(size[of].astype(np.int32)), pa.array(place.astype(np.int32)), signed(bits[0, used][of]), signed(bits[1, used][of]), pa.array(docs[used][of]), pa.array(number[used][of].astype(np.int32))],
                     ["key", "cls", "n", "place", "b0", "b1", "doc", "line"],
@@ -322,8 +328,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(cls, cls2, gone=true) of classes similar to a class that begins earlier."""
-    sent = docs.select("doc_id", "text").mapInArrow(_prefixes(ranks.tobytes()), PREFIX)
-    dealt = sent.repartition("key").sortWithinPartitions("key", "doc", "line")
+    texts = docs.select("doc_id", "text")
+    sent = texts.mapInArrow(_prefixes(ranks.tobytes()), PREFIX)
+    dealt = sent.repartition("key").sortWithinPartitions("key", "doc", "line").drop("doc", "line")
     met = cut(dealt.mapInArrow(_candidates, "x long, y long").distinct(), "met")
     pairs = met.filter("x is not null")
     gone = cut(_similar_later(docs, earliest, pairs), "gone")
@@ -331,8 +338,8 @@ def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame
     left = cut(met.filter("x is null").select(F.col("y").alias("cls")).join(gone.select("cls"), "cls", "left_anti"), "left")
     if left.isEmpty():
         return gone
-    y = cut(sent.join(small(left), "cls").select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "place", "b0", "b1"))).distinct(), "left-rows")
-    x = sent.join(small(y.select("key").distinct()), "key").select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "place", "b0", "b1"))).distinct()
+    y = cut(texts.mapInArrow(_prefixes(ranks.tobytes(), of_classes=bloom(left, "cls")), PREFIX).join(small(left), "cls").select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "place", "b0", "b1"))).distinct(), "left-rows")
+    x = texts.mapInArrow(_prefixes(ranks.tobytes(), of_keys=bloom(y.select("key").distinct(), "key")), PREFIX).join(small(y.select("key").distinct()), "key").select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "place", "b0", "b1"))).distinct()
     may = (
         "cls_x <> cls_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - place_x, n_y - place_y) >= 4 * (n_x + n_y)"
         " and 9 * (bit_count(b0_x ^ b0_y) + bit_count(b1_x ^ b1_y)) <= n_x + n_y"
