@@ -53,7 +53,7 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
 
 
 #: Rows that go to a Python worker at once while a table is cut; of long texts, Spark's 10,000 fill a worker's memory.
-ARROW_ROWS, _ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, _ARROW = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
