@@ -23,7 +23,7 @@ from scriptorium.llm.batches import text_slices
 
 MARKER = "▁"
 #: Characters of chunks in a task's table before it is emptied.
-TABLE_CHARS = 8 << 20
+TABLE_CHARS = 4 << 20
 #: Chunks given to the library at a time.
 CHUNKS = 4096
 _CHUNK = re.compile(f"{MARKER}+[^{MARKER}]*")
