@@ -39,8 +39,8 @@ SAMPLE, SAMPLE_BYTES, LEVELS = 2048, 8 << 20, 5
 BLOCK_BYTES, CLUSTER, ROUNDS = 4 << 20, 64, 4
 #: Clusters that a query visits first, characters of items in a pass, and shares of the lists that are merged at the end.
 WAVE, PASS_CHARS, SHARES = 4, 4 << 20, 64
-#: Terms of queries that are scored together, and clusters (some 100 kB each) that go to a Python worker at once.
-TERMS_AT_ONCE, CLUSTERS_AT_ONCE = 1 << 15, 64
+#: Terms of queries that are scored together, and clusters (some 200 kB each) that are read and go to a Python worker at once.
+TERMS_AT_ONCE, CLUSTERS_AT_ONCE = 1 << 15, 16
 
 
 def split_terms(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
@@ -189,7 +189,8 @@ def build_index(docs: DataFrame, sample: int = SAMPLE, levels: int = LEVELS, blo
                 total[k] += np.bincount(leaf, x, minlength=total.shape[1]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), *map(pa.array, total)], ["leaf", "bytes", "terms", "docs"])
 
-    leaves = rows.mapInArrow(measured, "leaf long, bytes long, terms long, docs long").groupBy("leaf").agg(F.sum("bytes"), F.sum("terms"), F.sum("docs")).collect()
+    with small_batches(docs.sparkSession):
+        leaves = rows.mapInArrow(measured, "leaf long, bytes long, terms long, docs long").groupBy("leaf").agg(F.sum("bytes"), F.sum("terms"), F.sum("docs")).collect()
     documents, terms = sum(x[3] for x in leaves), sum(x[2] for x in leaves)
     blocks = np.ones(1 << tree.levels, np.int64)
     for leaf, in_bytes, *_ in leaves:
@@ -357,8 +358,9 @@ def search(index: Index, items: DataFrame, k: int = 10, pass_chars: int = PASS_C
     found, block, size = None, [], 0
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
-        keys = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(block)], "q long, item_id long")
-        with small_batches(spark, CLUSTERS_AT_ONCE):
+        # from Arrow, as rows would start Python workers of another kind beside those that search
+        keys = spark.createDataFrame(pa.table({"q": pa.array(range(len(block)), pa.int64()), "item_id": pa.array([item for item, _ in block], pa.int64())}))
+        with small_batches(spark, CLUSTERS_AT_ONCE, read=True):
             return cut(_search_pass(index, Queries([t for _, t in block]), k, wave).join(F.broadcast(keys), "q").select("item_id", "rank", "doc_id", "score"), "found")
 
     for row in cut(usable, "items").toLocalIterator():

@@ -440,3 +440,17 @@ def test_queries_search_for_short_items(spark, tmp_path):
     assert [(x.doc_id, x.item_id) for x in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7)]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [x.doc_id for x in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_ranked_search_holds_few_clusters_at_once(spark, monkeypatch):
+    """A row of the index is large, so readers and Python workers get few at once; the session's settings come back."""
+    from scriptorium.llm import ranked
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, seen, plain = [spark.conf.get(x) for x in names], [], ranked._search_pass
+    monkeypatch.setattr(ranked, "_search_pass", lambda *a: (seen.append([int(spark.conf.get(x)) for x in names]), plain(*a))[1])
+    docs = spark.createDataFrame([(i, f"common w{i % 7} x{i}") for i in range(300)], "doc_id long, text string")
+    got = ranked.ranked(docs, spark.createDataFrame([(1, "x9 w2"), (2, "none")], "item_id long, text string"), most=4)
+    assert [r.doc_id for r in got.orderBy("item_id", "rank").limit(2).collect()] == [9, 2] and got.filter("item_id = 2").isEmpty()
+    assert seen and all(x <= ranked.CLUSTERS_AT_ONCE <= 16 for s in seen for x in s)
+    assert [spark.conf.get(x) for x in names] == before
