@@ -554,3 +554,19 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert stage(spark, odd.limit(0), SF).count() == 0
     kept = sorted(((r.doc_id or 0, r.text or "") for r in dict(pipeline.STAGES)["ngram_jaccard_join"](spark, odd, SF).collect()))
     assert kept == sorted((i or 0, t or "") for i, t in rows if i != 10**6 + 2)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """A sign that no row of a sample of 4,000 a label has tells what is worse; the threshold is that of all rows."""
+    from scriptorium.llm.folds import sample
+
+    marks = spark.range(10_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    drawn = {r.doc_id for r in sample(marks, "label", 4000).collect()}
+    r = random.Random(5)
+    text = lambda i: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 6))) for _ in range(20)) + " ~~~~" * (i % 2 == 0 and i not in drawn)
+    rows = [(i, text(i), i % 2) for i in range(10_000)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    got = {x.doc_id: x for x in quality.score(spark.createDataFrame([(i, t) for i, t, _ in rows], DOCS), model).collect()}
+    assert not any(got[i].predicted for i, t, _ in rows if "~" in t) and sum("~" in t for _, t, _ in rows) == 1000
+    under, at = sum(x.predicted == 0 for x in got.values()), sum(abs(x.score - 0.5) < 1e-6 for x in got.values())
+    assert under <= 5000 <= under + at and at < 1000  # as many as there are worse rows, but for equal strengths
