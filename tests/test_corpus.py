@@ -595,3 +595,33 @@ def test_nothing_else_needs_llm():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name)) as f:
                         assert "scriptorium.llm" not in f.read(), name
+
+
+def test_contents_are_normalized_once_to_find_copies(spark, monkeypatch):
+    """No filter on the id is moved down to the contents, where it would normalize them for each of its uses."""
+    from scriptorium.operators import ingest
+
+    plans, plain = [], ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, name))[1])
+    rows = [("a.md", "same text\n"), ("b.md", "same text"), ("c.md", "one\ntwo\r\n\nfour"), ("d.md", " "), ("e.md", "Password = x"), ("f.md", "API-KEY\t:'" + "k" * 16), ("g.md", "SECRET token: no"), ("h.txt", "x")]
+    got = ingest.ingest(spark.createDataFrame([(p, t, len(t)) for p, t in rows], "path string, text string, size long"))
+    assert len(plans) == 1 and plans[0].count("trim(") == 1
+    assert {r.path: (r.rule, r.detail) for r in got.collect()} == {
+        "a.md": (None, None), "b.md": ("duplicate", "a.md"), "c.md": (None, None), "d.md": ("unreadable", None), "e.md": ("secret_content", "password"),
+        "f.md": ("secret_content", "key_assignment"), "g.md": (None, None), "h.txt": (None, None),
+    }
+
+
+def test_trees_are_deleted_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver deletes folders that tasks have emptied."""
+    import os
+
+    from scriptorium.functions import storage
+    from scriptorium.sources import files as source
+
+    root, left, plain = f"file:{tmp_path}/tree", [], storage.delete
+    table = spark.createDataFrame([(f"a/b{i % 3}/{i}.md", b"x") for i in range(30)] + [("a/0.md", b"y"), ("top.md", b"z")], "path string, content binary")
+    assert source.write_files(table, root).count() == 32
+    monkeypatch.setattr(storage, "delete", lambda s, path: (left.extend(f for *_, names in os.walk(f"{tmp_path}/tree") for f in names), plain(s, path))[1])
+    source.delete_tree(table, root)
+    assert [x for x in left if not x.endswith(".crc")] == ["top.md"] and not os.path.exists(f"{tmp_path}/tree")
