@@ -328,12 +328,13 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(m == 1, ".hidden").when(m == 5, "node_modules").when(m == 6, "deep/er/still").otherwise(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")))
     body = F.when(m == 7, F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
     files = C.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", folder, name).alias("path"), body.alias("content"))
+    written = None
     try:
-        cut(source.write_files(files, root), "written").count()
+        written = cut(source.write_files(files, root), "written")
         rows = source.scan(spark, root).select("path", "size", F.col("content").isNull().alias("unread"), F.sha2(F.hex("content"), 256).alias("bytes_sha256"))
         return keep(rows, "scanned")
     finally:
-        storage.delete(spark, root)
+        source.delete_tree(written, root) if written is not None else storage.delete(spark, root)
 
 
 @query(f"WITH {_PLAN} SELECT path, action, CASE WHEN action = 'renamed' THEN previous_path || ' -> ' || path || ' (same content)' WHEN action = 'updated' THEN path || ' (new content, was ' || previous_doc_id || ')' WHEN action = 'removed' THEN path || ' (gone)' WHEN action = 'locked' THEN path || ' (in work elsewhere)' WHEN action = 'resumed' THEN path || ' (' || coalesce(reason, 'taken over') || ')' ELSE path END AS description FROM plan")
