@@ -105,22 +105,6 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, size long")
 
 
-def delete_tree(files: DataFrame, root: str) -> None:
-    """Deletes the folder root: tasks delete the files (path) in it, as a single process takes long for many, the driver what is left."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                store, where = storage.opened(f"{root}/{path}")
-                if store.get_file_info(where).type == fs.FileType.File:
-                    store.delete_file(where)
-            yield batch
-
-    spark = files.sparkSession
-    files.select("path").distinct().repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(run, "path string").count()
-    storage.delete(spark, root)
-
-
 class _Part(InputPartition):
     """A file of the listing."""
 
