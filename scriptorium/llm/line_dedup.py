@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.cuts import cut, keep, scratch
@@ -269,24 +269,34 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def _chosen_lines(of_docs: Bloom, of_classes: Bloom):
-    """Sorted word sets of lines whose doc_id and class may be wanted: rows (cls, cls2, words)."""
+def _places(docs: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """64 bits for each line's place, as ``_place`` makes them."""
+    return docs << 20 ^ number
+
+
+def _place() -> Column:
+    return F.shiftleft("doc_id", 20).bitwiseXOR(F.col("line").cast("long"))
+
+
+def _chosen_lines(of_lines: Bloom, of_classes: Bloom):
+    """Sorted word sets of lines whose place and class may be wanted: rows (cls, cls2, words). Other lines' words are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            batch = batch.filter(pa.array(of_docs(batch.column(0).to_numpy())))
-            for _, data, offsets, _, _ in line_slices(batch.column(1)):
-                ids, _, begin = word_sets(words, data, offsets, None)
-                classes = line_classes(ids, begin)
+            ids_of_docs = batch.column(0).to_numpy()
+            for first, data, offsets, rows, number in line_slices(batch.column(1)):
+                wanted = np.flatnonzero(of_lines(_places(ids_of_docs[first + rows], number)))
+                if not len(wanted):
+                    continue
+                own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in wanted])
+                ids, second, begin = word_sets(words, own, np.concatenate([[0], np.cumsum(np.diff(offsets)[wanted])]), None, twice=True)
+                classes, more = line_classes(ids, begin), line_names(second, begin)
                 keep = np.flatnonzero(of_classes(classes.view(np.int64)) & (np.diff(begin) > 0))
                 keep = keep[np.unique(classes[keep], return_index=True)[1]]
                 if len(keep):
                     found = pa.array([ids[begin[i] : begin[i + 1]].tobytes() for i in keep], pa.binary())
-                    # names of these lines alone
-                    own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in keep])
-                    _, second, begin = word_sets(words, own, np.concatenate([[0], np.cumsum(np.diff(offsets)[keep])]), None, twice=True)
-                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(line_names(second, begin)), found], ["cls", "cls2", "words"])
+                    yield pa.RecordBatch.from_arrays([signed(classes[keep]), signed(more[keep]), found], ["cls", "cls2", "words"])
 
     return run
 
@@ -356,7 +366,7 @@ def _similar_later(docs: DataFrame, earliest: DataFrame, pairs: DataFrame) -> Da
     """
     needed = cut(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct(), "needed")
     first = cut(earliest.join(small(needed), "cls"), "first")
-    chosen = _chosen_lines(bloom(first, "doc_id"), bloom(first, "cls"))
+    chosen = _chosen_lines(bloom(first, _place()), bloom(first, "cls"))
     sets = cut(docs.select("doc_id", "text").mapInArrow(chosen, "cls long, cls2 long, words binary").join(small(first), ["cls", "cls2"]).dropDuplicates(["cls", "cls2"]), "words")
     full = (
         pairs.join(sets.select(F.col("cls").alias("x"), F.col("cls2").alias("x2"), F.col("words").alias("wx")), "x")

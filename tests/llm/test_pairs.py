@@ -454,3 +454,15 @@ def test_ranked_search_holds_few_clusters_at_once(spark, monkeypatch):
     assert [r.doc_id for r in got.orderBy("item_id", "rank").limit(2).collect()] == [9, 2] and got.filter("item_id = 2").isEmpty()
     assert seen and all(x <= ranked.CLUSTERS_AT_ONCE <= 16 for s in seen for x in s)
     assert [spark.conf.get(x) for x in names] == before
+
+
+def test_line_dedup_verifies_by_wanted_lines_alone(spark):
+    """Sets are made of the lines asked for, by document and number, and not of the document's other lines."""
+    rows = [(7, "one two three\nfour five six\n\nseven eight"), (-5, "four five six\nseven eight"), (2**62, "nine\nten")]
+    asked = spark.createDataFrame([(7, 1), (-5, 1), (2**62, 0)], "doc_id long, line int")
+    every = pa.RecordBatch.from_pydict({"doc_id": [x for x, _ in rows], "text": [x for _, x in rows]})
+    words = hashing.Words()
+    want = {tuple(np.sort(words(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0])) for x in (b"four five six", b"seven eight", b"nine")}
+    any_class = prefilter.Bloom(np.full(1024, 2**64 - 1, np.uint64))
+    got = list(line_dedup._chosen_lines(prefilter.bloom(asked, line_dedup._place()), any_class)(iter([every])))
+    assert {tuple(np.frombuffer(x.as_py(), np.uint64)) for b in got for x in b.column("words")} == want
