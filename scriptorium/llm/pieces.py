@@ -4,7 +4,8 @@ White space is marked: a text is prefixed by one marker and its spaces become ma
 the vocabulary holds a marker after another character, no piece crosses from one marked word (its markers,
 then its characters) to the next, and merges in one word do not depend on another. So each distinct marked
 word is segmented once, with what it decodes to, and a text's ids are the table's rows joined by the places
-of its words. A task keeps one table for its texts; it is emptied at a bounded size, which costs time only.
+of its words. Most words decode to themselves, so the table holds what a word decodes to only where it is
+another. A task keeps one table for its texts; it is emptied at a bounded size, which costs time only.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.cuts import keep
 from scriptorium.llm.batches import text_slices
 
 MARKER = "▁"
@@ -30,7 +32,7 @@ _CHUNK = re.compile(f"{MARKER}+[^{MARKER}]*")
 
 
 class ChunkTable:
-    """Distinct marked words with their ids (as bytes of int32) and their decoded characters."""
+    """Distinct marked words with their ids (as bytes of int32), and what they decode to where that is not the word with spaces for markers."""
 
     def __init__(self, model: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -57,7 +59,8 @@ class ChunkTable:
             back = self.library.decode([[self.anchor, *x] for x in found], num_threads=1)
             for x, ids, text in zip(part, found, back, strict=True):
                 self.ids[x] = array("i", ids).tobytes()
-                self.decoded[x] = text[1:]
+                if text[1:] != x.replace(MARKER, " "):
+                    self.decoded[x] = text[1:]
                 self.chars += len(x)
 
     def __call__(self, text: str) -> tuple[bytes, str]:
@@ -70,7 +73,10 @@ class ChunkTable:
             self.decoded.clear()
             self.chars = 0
         self.add(set(chunks))
-        return b"".join(map(self.ids.__getitem__, chunks)), "".join(map(self.decoded.__getitem__, chunks))[1:]
+        ids = b"".join(map(self.ids.__getitem__, chunks))
+        if not self.decoded or self.decoded.keys().isdisjoint(chunks):
+            return ids, text.replace(MARKER, " ")
+        return ids, "".join(self.decoded.get(x, x.replace(MARKER, " ")) for x in chunks)[1:]
 
 
 def encode_and_decode(docs: DataFrame, model: str, text: str = "text", end: bool = True) -> DataFrame:
@@ -104,11 +110,12 @@ def _ddl(df: DataFrame) -> str:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs, as a table; so few texts at a time go to a Python worker."""
     found = encode_and_decode(docs.select("doc_id", "text"), model)
-    return found.select(
+    rows = found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return keep(rows, "digests")

@@ -570,3 +570,30 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert not any(got[i].predicted for i, t, _ in rows if "~" in t) and sum("~" in t for _, t, _ in rows) == 1000
     under, at = sum(x.predicted == 0 for x in got.values()), sum(abs(x.score - 0.5) < 1e-6 for x in got.values())
     assert under <= 5000 <= under + at and at < 1000  # as many as there are worse rows, but for equal strengths
+
+
+def test_chunk_table_holds_other_decodings_only():
+    """Words that decode to themselves are held once; unknown characters and markers decode as the library does."""
+    from scriptorium.llm.registry import piece_model
+
+    table = pieces.ChunkTable(piece_model())
+    for text in ("some words  of a text\nand more ", "▁ marked▁▁ ", " "):
+        ids, decoded = table(text)
+        assert np.frombuffer(ids, np.int32).tolist() == table.library.encode(text) and decoded == table.library.decode(table.library.encode(text))
+    assert not table.decoded
+    table.decoded["▁some"] = " other"
+    assert table("some words")[1] == "other words" and table("no such")[1] == "no such"
+
+
+def test_stages_send_few_texts_at_once(spark):
+    """What language ID and the tokenizer return is read from tables that were cut with small batches, so no text goes to a Python worker later."""
+    import corpus_pipeline
+
+    long = "the weather of the day was fair and the sea was calm " * 3
+    docs = spark.createDataFrame([(i, f"{long} {i}", "en", "s", 9) for i in range(60)] + [(60, "漢字 かな", None, "s", 9), (61, None, "en", "s", 9), (None, "123", "en", "s", 9), (None, long, None, "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    model = language.fit_on_documents(docs)
+    want = language.predict(docs, model).filter("accepted").select(*corpus_pipeline.COLUMNS)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, want.collect())) and 0 < kept.count() < 64
+    for df in (kept, corpus_pipeline.tokens(spark, docs, "")):
+        assert "MapInArrow" not in df._jdf.queryExecution().toString()
