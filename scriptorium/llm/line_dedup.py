@@ -34,6 +34,8 @@ RANK_BITS, BYTES = 5, 1 << 18
 FIRST, ROWS, HOT_LOG = 8, 1 << 18, 17
 #: Pairs whose bitmaps are compared at a time.
 PAIRS = 1 << 19
+#: Most rows in a block, and rows of a bucket and buckets while the rows are few.
+BLOCK, BUCKET_ROWS, BUCKETS = 1 << 11, 1 << 12, (1 << 11) - 1
 NEWLINE = 10
 
 
@@ -143,9 +145,9 @@ def word_ranks(pieces: DataFrame) -> np.ndarray:
 PREFIX = "key long, cls long, n int, place int, b0 long, b1 long, doc long, line int"
 
 
-def _prefixes(rank_bytes: bytes, of_classes: Bloom | None = None, of_keys: Bloom | None = None) -> Callable:
-    """Rows for the prefix words of a slice's classes, each with the class's first line in the slice; with filters, of the classes or keys
-    that may be wanted only.
+def _prefixes(rank_bytes: bytes, of_lines: Bloom | None = None, of_classes: Bloom | None = None, of_keys: Bloom | None = None) -> Callable:
+    """Rows for the prefix words of a slice's classes, each with the class's first line in the slice; with filters, of the lines' places,
+    classes or keys that may be wanted only. Words of lines that are not wanted are not looked at.
 
     The key is the word, or the word and two of its shares: the lines of a word that more than 2 ** HOT_LOG lines hold are
     dealt to shares, and every two shares meet under a key of their own.
@@ -156,6 +158,12 @@ def _prefixes(rank_bytes: bytes, of_classes: Bloom | None = None, of_keys: Bloom
         for batch in batches:
             ids_of_docs = batch.column(0).to_numpy()
             for first, data, offsets, rows, number in line_slices(batch.column(1)):
+                if of_lines:
+                    wanted = np.flatnonzero(of_lines(_places(ids_of_docs[first + rows], number)))
+                    if not len(wanted):
+                        continue
+                    data, offsets = _only(data, offsets, wanted)
+                    rows, number = rows[wanted], number[wanted]
                 ids, _, begin = word_sets(words, data, offsets, rank)
                 n = np.diff(begin)
                 classes, docs = line_classes(ids, begin), ids_of_docs[first + rows]
@@ -194,6 +202,56 @@ def _prefixes(rank_bytes: bytes, of_classes: Bloom | None = None, of_keys: Bloom
     return run
 
 
+#: Columns of a block, and the bytes of each.
+_COLUMNS = {"key": "<i8", "cls": "<i8", "n": "<i4", "place": "<i4", "b0": "<i8", "b1": "<i8", "doc": "<i8", "line": "<i4"}
+_WIDTHS = np.array([np.dtype(t).itemsize for t in _COLUMNS.values()])
+
+
+def bucket_bits(rank: np.ndarray) -> int:
+    """The logarithm of the number of buckets by key, so that one holds some ROWS rows at most. The rows are estimated from the
+    words' ranks: a quarter of a line's words, and a line more words, are in its prefix."""
+    rows = int((np.int64(1) << rank.astype(np.int64)).sum()) // 4
+    return max(rows // ROWS, min(rows // BUCKET_ROWS, BUCKETS), 1).bit_length()
+
+
+def _blocks(prefixes: Callable, bits: int) -> Callable:
+    """The rows of ``_prefixes`` as (bucket, rows): a block holds up to BLOCK rows of one bucket, the first bits of the key. So Spark deals
+    and sorts some hundredth as many rows. A block's bytes lie place by place: first bytes of all keys, second ones and so on."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in _COLUMNS]
+        key = columns[0].view(np.uint64)
+        order = np.argsort(key)
+        planes = np.concatenate([c[order].view(np.uint8).reshape(len(c), -1).T for c in columns])
+        bucket = (key[order] >> np.uint64(64 - bits)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(bucket)) + 1
+        edges = np.unique(np.concatenate([[0], edges, np.arange(BLOCK, len(key), BLOCK)]))
+        ends = np.append(edges[1:], len(key))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array([planes[:, a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())], ["bucket", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in prefixes(batches):
+            held.append(batch)
+            count += len(batch)
+            if count >= ROWS:
+                yield out(held)
+                held, count = [], 0
+        if count:
+            yield out(held)
+
+    return run
+
+
+def _opened(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns of whole buckets, sorted by key and line, without doc and line."""
+    planes = np.concatenate(blocks, axis=1)
+    columns = [np.ascontiguousarray(x.T).view(t).ravel() for x, t in zip(np.split(planes, np.cumsum(_WIDTHS)[:-1]), _COLUMNS.values(), strict=True)]
+    order = np.lexsort((columns[7], columns[6], columns[0]))
+    return [c[order] for c in columns[:6]]
+
+
 def _earliest(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (earlier class, class) for whole groups of rows sorted by key and line: of each class's candidates in a
     group the first ones; and the classes that have more.
@@ -243,30 +301,28 @@ def _ranked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (x, y), x earlier, from rows sorted by key and line; (null, y) where y has more candidates in a group.
+    """Rows (x, y), x earlier, from blocks sorted by bucket; (null, y) where y has more candidates in a group.
 
-    Groups are handled whole, many at a time; memory is that of ROWS rows or of the largest group.
+    Buckets are handled whole, many at a time; memory is that of ROWS rows or of the largest bucket.
     """
 
-    def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-        x, y, more = _earliest(rows)
+    def out(blocks: list[np.ndarray]) -> pa.RecordBatch:
+        x, y, more = _earliest(_opened(blocks))
         more = np.unique(more)
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(len(more), pa.int64())]), pa.array(np.concatenate([y, more]))], ["x", "y"])
 
-    held: list[list[np.ndarray]] = []
-    count = 0
+    held: list[np.ndarray] = []
+    count, last = 0, None
     for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns[:6]])
-        count += len(batch)
-        if count < ROWS:
-            continue
-        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cut_at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
-        if cut_at:
-            yield out([c[:cut_at] for c in rows])
-        held, count = [[c[cut_at:] for c in rows]], len(rows[0]) - cut_at
+        for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != last and count >= ROWS:
+                yield out(held)
+                held, count = [], 0
+            # copied, so that no block keeps its batch
+            held.append(np.frombuffer(rows.as_buffer(), np.uint8).reshape(_WIDTHS.sum(), -1).copy())
+            count, last = count + held[-1].shape[1], bucket
     if count:
-        yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+        yield out(held)
 
 
 def _places(docs: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -278,6 +334,11 @@ def _place() -> Column:
     return F.shiftleft("doc_id", 20).bitwiseXOR(F.col("line").cast("long"))
 
 
+def _only(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the wanted lines, and their offsets."""
+    return np.concatenate([data[offsets[i] : offsets[i + 1]] for i in wanted]), np.concatenate([[0], np.cumsum(np.diff(offsets)[wanted])])
+
+
 def _chosen_lines(of_lines: Bloom, of_classes: Bloom):
     """Sorted word sets of lines whose place and class may be wanted: rows (cls, cls2, words). Other lines' words are not looked at."""
 
@@ -289,8 +350,7 @@ def _chosen_lines(of_lines: Bloom, of_classes: Bloom):
                 wanted = np.flatnonzero(of_lines(_places(ids_of_docs[first + rows], number)))
                 if not len(wanted):
                     continue
-                own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in wanted])
-                ids, second, begin = word_sets(words, own, np.concatenate([[0], np.cumsum(np.diff(offsets)[wanted])]), None, twice=True)
+                ids, second, begin = word_sets(words, *_only(data, offsets, wanted), None, twice=True)
                 classes, more = line_classes(ids, begin), line_names(second, begin)
                 keep = np.flatnonzero(of_classes(classes.view(np.int64)) & (np.diff(begin) > 0))
                 keep = keep[np.unique(classes[keep], return_index=True)[1]]
@@ -339,8 +399,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(cls, cls2, gone=true) of classes similar to a class that begins earlier."""
     texts = docs.select("doc_id", "text")
-    sent = texts.mapInArrow(_prefixes(ranks.tobytes()), PREFIX)
-    dealt = sent.repartition("key").sortWithinPartitions("key", "doc", "line").drop("doc", "line")
+    sent = texts.mapInArrow(_blocks(_prefixes(ranks.tobytes()), bucket_bits(ranks)), "bucket long, rows binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     met = cut(dealt.mapInArrow(_candidates, "x long, y long").distinct(), "met")
     pairs = met.filter("x is not null")
     gone = cut(_similar_later(docs, earliest, pairs), "gone")
@@ -348,7 +408,9 @@ def _later(docs: DataFrame, earliest: DataFrame, ranks: np.ndarray) -> DataFrame
     left = cut(met.filter("x is null").select(F.col("y").alias("cls")).join(gone.select("cls"), "cls", "left_anti"), "left")
     if left.isEmpty():
         return gone
-    y = cut(texts.mapInArrow(_prefixes(ranks.tobytes(), of_classes=bloom(left, "cls")), PREFIX).join(small(left), "cls").select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "place", "b0", "b1"))).distinct(), "left-rows")
+    # a class's first line has its words
+    of_left = _prefixes(ranks.tobytes(), of_lines=bloom(earliest.join(small(left), "cls"), _place()), of_classes=bloom(left, "cls"))
+    y = cut(texts.mapInArrow(of_left, PREFIX).join(small(left), "cls").select("key", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "place", "b0", "b1"))).distinct(), "left-rows")
     x = texts.mapInArrow(_prefixes(ranks.tobytes(), of_keys=bloom(y.select("key").distinct(), "key")), PREFIX).join(small(y.select("key").distinct()), "key").select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "place", "b0", "b1"))).distinct()
     may = (
         "cls_x <> cls_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - place_x, n_y - place_y) >= 4 * (n_x + n_y)"

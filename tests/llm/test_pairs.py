@@ -466,3 +466,34 @@ def test_line_dedup_verifies_by_wanted_lines_alone(spark):
     any_class = prefilter.Bloom(np.full(1024, 2**64 - 1, np.uint64))
     got = list(line_dedup._chosen_lines(prefilter.bloom(asked, line_dedup._place()), any_class)(iter([every])))
     assert {tuple(np.frombuffer(x.as_py(), np.uint64)) for b in got for x in b.column("words")} == want
+
+
+def test_line_dedup_deals_blocks(spark, monkeypatch):
+    """Rows of prefix words are dealt in blocks of one bucket, some hundredth as many; opened, they are the same rows in order."""
+    r = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{r.randrange(3000)}" for _ in range(r.choice([5, 20, 60]))) for _ in range(20)) for _ in range(400)]
+    every = pa.RecordBatch.from_pydict({"doc_id": [i * 7919 - 10**12 for i in range(400)], "text": texts})
+    rank = np.full(line_dedup.COUNTERS, 3, np.uint8)
+    plain = line_dedup._prefixes(rank.tobytes())
+    table = pa.Table.from_batches(list(plain(iter([every])))).sort_by([("key", "ascending"), ("doc", "ascending"), ("line", "ascending")])
+    blocks = [(b, x.as_py()) for batch in line_dedup._blocks(plain, 6)(iter([every])) for b, x in zip(batch.column(0).to_pylist(), batch.column(1))]
+    assert {b for b, _ in blocks} == set(range(64)) and 100 * len(blocks) < table.num_rows
+    width = line_dedup._WIDTHS.sum()
+    opened = line_dedup._opened([np.frombuffer(x, np.uint8).reshape(width, -1) for _, x in blocks])
+    assert all((got == table.column(c).to_numpy()).all() for got, c in zip(opened, line_dedup._COLUMNS, strict=False))
+    assert 1 == line_dedup.bucket_bits(np.zeros(1 << 10, np.uint8)) < line_dedup.bucket_bits(np.full(1 << 20, 5, np.uint8)) <= 11
+    assert line_dedup.bucket_bits(np.full(1 << 20, 20, np.uint8)) > 15  # 10^11 rows: buckets grow in number, not in size
+    monkeypatch.setattr(line_dedup, "BLOCK", 10)
+    assert max(len(x) for batch in line_dedup._blocks(plain, 1)(iter([every])) for x in batch.column(1).to_pylist()) <= 10 * width
+
+
+def test_line_dedup_meets_the_rest_by_wanted_lines_alone(spark):
+    """Prefix words of classes that meet all their candidates are taken from those classes' lines; other lines are not looked at."""
+    rows = [(7, "one two three four\nfive six seven eight\nnine ten eleven twelve"), (8, "a b c d\nfive six seven eight")]
+    every = pa.RecordBatch.from_pydict({"doc_id": [x for x, _ in rows], "text": [x for _, x in rows]})
+    rank = np.zeros(line_dedup.COUNTERS, np.uint8).tobytes()
+    asked = prefilter.bloom(spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, line int"), line_dedup._place())
+    got = [(x["doc"], x["line"], x["n"]) for b in line_dedup._prefixes(rank, of_lines=asked)(iter([every])) for x in b.to_pylist()]
+    assert sorted(set(got)) == [(7, 1, 4), (8, 0, 4)]
+    want = {x["key"] for b in line_dedup._prefixes(rank)(iter([every])) for x in b.to_pylist() if (x["doc"], x["line"]) in {(7, 1), (8, 0)}}
+    assert {x["key"] for b in line_dedup._prefixes(rank, of_lines=asked)(iter([every])) for x in b.to_pylist()} == want
