@@ -34,8 +34,10 @@ RANK_BITS, BYTES = 5, 1 << 18
 FIRST, ROWS, HOT_LOG = 8, 1 << 18, 17
 #: Pairs whose bitmaps are compared at a time.
 PAIRS = 1 << 19
-#: Most rows in a block, and rows of a bucket and buckets while the rows are few.
-BLOCK, BUCKET_ROWS, BUCKETS = 1 << 11, 1 << 12, (1 << 11) - 1
+#: Rows of which a task makes blocks, those it sends together, and most rows in a block.
+HELD, SENT, BLOCK = 1 << 17, 1 << 14, 1 << 11
+#: Rows of a bucket, and buckets, while the rows are few.
+BUCKET_ROWS, BUCKETS = 1 << 12, (1 << 11) - 1
 NEWLINE = 10
 
 
@@ -216,18 +218,22 @@ def bucket_bits(rank: np.ndarray) -> int:
 
 def _blocks(prefixes: Callable, bits: int) -> Callable:
     """The rows of ``_prefixes`` as (bucket, rows): a block holds up to BLOCK rows of one bucket, the first bits of the key. So Spark deals
-    and sorts some hundredth as many rows. A block's bytes lie place by place: first bytes of all keys, second ones and so on."""
+    and sorts far fewer rows. A block's bytes lie place by place: first bytes of all keys, second ones and so on."""
 
-    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in _COLUMNS]
-        key = columns[0].view(np.uint64)
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([b.column("key").to_numpy() for b in held]).view(np.uint64)
         order = np.argsort(key)
-        planes = np.concatenate([c[order].view(np.uint8).reshape(len(c), -1).T for c in columns])
+        planes = np.empty((_WIDTHS.sum(), len(key)), np.uint8)
+        for c, end, width in zip(_COLUMNS, np.cumsum(_WIDTHS), _WIDTHS, strict=True):
+            planes[end - width : end] = np.concatenate([b.column(c).to_numpy() for b in held])[order].view(np.uint8).reshape(-1, width).T
         bucket = (key[order] >> np.uint64(64 - bits)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket)) + 1
-        edges = np.unique(np.concatenate([[0], edges, np.arange(BLOCK, len(key), BLOCK)]))
-        ends = np.append(edges[1:], len(key))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array([planes[:, a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())], ["bucket", "rows"])
+        edges = np.unique(np.concatenate([np.flatnonzero(np.diff(bucket)) + 1, np.arange(0, len(key), BLOCK)]))
+        ends, at = np.append(edges[1:], len(key)), 0
+        while at < len(edges):  # few rows at once, so neither this worker nor Spark holds all blocks again
+            end = max(at + 1, int(np.searchsorted(ends, edges[at] + SENT, side="right")))
+            found = [planes[:, i:j].tobytes() for i, j in zip(edges[at:end], ends[at:end], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[at:end]]), pa.array(found, pa.binary())], ["bucket", "rows"])
+            at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,21 +241,25 @@ def _blocks(prefixes: Callable, bits: int) -> Callable:
         for batch in prefixes(batches):
             held.append(batch)
             count += len(batch)
-            if count >= ROWS:
-                yield out(held)
+            if count >= HELD:
+                yield from out(held)
                 held, count = [], 0
         if count:
-            yield out(held)
+            yield from out(held)
 
     return run
 
 
 def _opened(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """The columns of whole buckets, sorted by key and line, without doc and line."""
-    planes = np.concatenate(blocks, axis=1)
-    columns = [np.ascontiguousarray(x.T).view(t).ravel() for x, t in zip(np.split(planes, np.cumsum(_WIDTHS)[:-1]), _COLUMNS.values(), strict=True)]
-    order = np.lexsort((columns[7], columns[6], columns[0]))
-    return [c[order] for c in columns[:6]]
+    ends = dict(zip(_COLUMNS, np.cumsum(_WIDTHS), strict=True))
+
+    def column(name: str) -> np.ndarray:
+        own = slice(ends[name] - np.dtype(_COLUMNS[name]).itemsize, ends[name])
+        return np.ascontiguousarray(np.concatenate([b[own] for b in blocks], axis=1).T).view(_COLUMNS[name]).ravel()
+
+    order = np.lexsort((column("line"), column("doc"), column("key")))
+    return [column(name)[order] for name in list(_COLUMNS)[:6]]
 
 
 def _earliest(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

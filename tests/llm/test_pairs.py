@@ -469,7 +469,7 @@ def test_line_dedup_verifies_by_wanted_lines_alone(spark):
 
 
 def test_line_dedup_deals_blocks(spark, monkeypatch):
-    """Rows of prefix words are dealt in blocks of one bucket, some hundredth as many; opened, they are the same rows in order."""
+    """Rows of prefix words are dealt in blocks of one bucket, far fewer than the rows; opened, they are the same rows in order."""
     r = random.Random(3)
     texts = ["\n".join(" ".join(f"w{r.randrange(3000)}" for _ in range(r.choice([5, 20, 60]))) for _ in range(20)) for _ in range(400)]
     every = pa.RecordBatch.from_pydict({"doc_id": [i * 7919 - 10**12 for i in range(400)], "text": texts})
